@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "bpe")
+MODULES = ("quality", "bpe", "warc", "urls")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
