@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "bpe", "warc", "urls", "neardup")
+MODULES = ("quality", "bpe", "warc", "urls", "neardup", "toxicity")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
