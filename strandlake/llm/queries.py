@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "bpe", "warc", "urls", "neardup", "toxicity", "lm")
+MODULES = ("quality", "bpe", "warc", "urls", "neardup", "toxicity", "lm", "packing")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
