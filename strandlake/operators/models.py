@@ -1,33 +1,73 @@
-"""Fits and out-of-fold scores with Spark ML, to the conventions of the penalised fits that they stand for."""
+"""Fits and out-of-fold scores: penalised logistic models, forests and boosted trees, cross-fits and stacks."""
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def logistic(rows: DataFrame, features: list[str], c: float = 1.0, label: str = "label", weight: str | None = None, penalise_intercept: bool = True) -> PipelineModel:
-    """L2 logistic regression of standardised features with inverse strength c.
+@dataclass
+class Logistic:
+    """Weights on standardised features, the intercept last."""
 
-    The penalty is 1 / (c n), n the rows or the sum of weights.  Features are scaled by their population deviation.
-    penalise_intercept puts a constant feature in the intercept's place, which then is penalised as others are.
+    features: list[str]
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+
+    def probability(self) -> Column:
+        z = F.lit(float(self.weights[-1]))
+        for f, m, s, w in zip(self.features, self.mean, self.scale, self.weights, strict=False):
+            z = z + (F.col(f) - float(m)) / float(s) * float(w)
+        return 1 / (1 + F.exp(-z))
+
+
+def logistic(rows: DataFrame, features: list[str], c: float = 1.0, label: str = "label", weight: str | None = None, penalise_intercept: bool = True, rounds: int = 30) -> Logistic:
+    """L2 logistic regression of standardised features with inverse strength c: the sum of losses times c plus half
+    the squared weights, solved to convergence.
+
+    Features are scaled by their population deviation, unweighted; a constant one keeps scale 1.  Newton's sums, as
+    many as the square of the features, are taken by Spark in each round; only they reach the driver.
+    penalise_intercept treats the intercept as a weight like others.
     """
-    total = rows.agg(F.sum(weight) if weight else F.count("*"), F.count("*")).first()
-    n = float(total[0])
-    stages = [VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(withMean=True, inputCol="_raw", outputCol="_scaled")]
-    grow = math.sqrt(total[1] / max(1, total[1] - 1))
-    lr = LogisticRegression(featuresCol="_x", labelCol=label, regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, fitIntercept=not penalise_intercept, maxIter=200, tol=1e-10, **({"weightCol": weight} if weight else {}))
-    from pyspark.ml.feature import SQLTransformer
+    d = len(features)
+    m = rows.agg(*(F.avg(f).alias(f"m{k}") for k, f in enumerate(features)), *(F.stddev_pop(f).alias(f"s{k}") for k, f in enumerate(features))).first()
+    mean = np.array([m[f"m{k}"] or 0.0 for k in range(d)], float)
+    scale = np.array([m[f"s{k}"] or 1.0 for k in range(d)], float)
+    data = rows.select(*(F.col(f).cast("double") for f in features), F.col(label).cast("double").alias("_y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))
+    w = np.zeros(d + 1)
+    ridge = np.ones(d + 1) / c
+    if not penalise_intercept:
+        ridge[-1] = 0.0
+
+    def sums(at: np.ndarray):
+        def run(batches):
+            total = np.zeros((d + 1, d + 2))
+            for b in batches:
+                v = b.to_numpy(float)
+                x = np.column_stack([(v[:, :d] - mean) / scale, np.ones(len(v))])
+                p = 1 / (1 + np.exp(-np.clip(x @ at, -35, 35)))
+                total[:, :-1] += x.T * (v[:, -1] * p * (1 - p)) @ x
+                total[:, -1] += x.T @ (v[:, -1] * (p - v[:, -2]))
+            yield pd.DataFrame({"k": np.arange(total.size), "v": total.ravel()})
+
+        return run
 
-    one = f"concat(transform(vector_to_array(_scaled), x -> x * {grow}), array(1.0D))" if penalise_intercept else f"transform(vector_to_array(_scaled), x -> x * {grow})"
-    stages += [SQLTransformer(statement=f"SELECT *, array_to_vector({one}) AS _x FROM __THIS__"), lr]
-    return Pipeline(stages=stages).fit(rows)
+    for _ in range(rounds):
+        got = data.mapInPandas(sums(w), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")["v"].to_numpy().reshape(d + 1, d + 2)
+        step = np.linalg.solve(got[:, :-1] + np.diag(ridge) + 1e-12 * np.eye(d + 1), got[:, -1] + ridge * w)
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return Logistic(features, mean, scale, w)
 
 
 def forest(rows: DataFrame, features: list[str], trees: int = 100, label: str = "label") -> PipelineModel:
@@ -38,8 +78,10 @@ def boosted(rows: DataFrame, features: list[str], trees: int = 30, label: str =
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, seed=42)]).fit(rows)
 
 
-def probability(model: PipelineModel, rows: DataFrame, name: str = "probability") -> DataFrame:
+def probability(model: PipelineModel | Logistic, rows: DataFrame, name: str = "probability") -> DataFrame:
     """Append the probability of class 1; helper columns go."""
+    if isinstance(model, Logistic):
+        return rows.withColumn(name, model.probability())
     out = model.transform(rows).withColumn(name, vector_to_array("probability")[1])
     return out.select(*(c for c in rows.columns if c != name), name)
 
@@ -99,7 +141,8 @@ def calibration_line(rows: DataFrame, score: str = "score", label: str = "label"
         if not det:
             break
         da, db = (s["h2"] * s["g0"] - s["h1"] * s["g1"]) / det, (s["h0"] * s["g1"] - s["h1"] * s["g0"]) / det
-        a, b = a + da, b + db
+        longest = max(1.0, abs(da), abs(db))  # steps of at most 1 keep Newton from overshooting
+        a, b = a + da / longest, b + db / longest
         if abs(da) + abs(db) < 1e-10:
             break
     z.unpersist()

@@ -116,7 +116,7 @@ def align(a: str, b: str, opening: int = 10, extension: int = 1) -> tuple[int, i
 
 def shared_residues(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two arrays of residue counts."""
-    return F.aggregate(F.zip_with(a, b, F.least), F.lit(0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
 
 
 def residue_counts(s: Column) -> Column:
@@ -189,7 +189,7 @@ def nearest(queries: DataFrame, pool: DataFrame, floor: float = 0.8, blocks: int
     """
     q = queries.select(F.col("row_idx").alias("l_idx"), F.col("sequence").alias("l_seq")).withColumn("block", F.pmod("l_idx", F.lit(blocks)))
     packed = q.groupBy("block").agg(F.collect_list(F.struct("l_idx", "l_seq")).alias("queries"))
-    p = pool.select(F.col("row_idx").alias("r_idx"), F.col("sequence").alias("r_seq")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    p = pool.select(F.col("row_idx").alias("r_idx"), F.col("sequence").alias("r_seq")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     met = p.join(packed, "block")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
