@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as X
 from ..operators import audit, grouping, metrics, models, resample, similarity
-from ..sources import fasta
+from ..sources import fasta, tables
 from .frames import SCORED, scored, table, words, words_sql
 
 QUERIES: dict = {}
@@ -210,6 +210,51 @@ def audit_items(spark, sf_dir):
     return audit.items(d.agg(F.count("*").alias("documents"), F.count("label").alias("labelled"), F.count_if(F.col("label") == 1).alias("positive")).join(F.broadcast(t)))
 
 
+@query(f"WITH {SCORED} SELECT cutoff, row_idx, score FROM d, (SELECT unnest([0.4, 0.5, 0.6])::DOUBLE AS cutoff) WHERE score < cutoff")
+def retained_by_cutoff(spark, sf_dir):
+    """rows whose value lies strictly below each cutoff."""
+    d = scored(spark, sf_dir).select("row_idx", "score")
+    return d.select(F.explode(F.array(F.lit(0.4), F.lit(0.5), F.lit(0.6))).alias("cutoff"), "row_idx", "score").where("score < cutoff")
+
+
+@query(f"WITH {SCORED} SELECT row_idx, lower(trim(' ' || CASE WHEN label = 1 THEN 'Yes' WHEN label = 0 THEN 'TRUE' ELSE 'no' END || ' ')) IN ('true', '1', 'yes') AS flag, coalesce(lang, '') || '_x' AS suffixed FROM d")
+def parsed_flags(spark, sf_dir):
+    """Truth from text, value maps and suffixes."""
+    t = F.concat(F.lit(" "), F.when(F.col("label") == 1, "Yes").when(F.col("label") == 0, "TRUE").otherwise("no"), F.lit(" "))
+    return scored(spark, sf_dir).select("row_idx", tables.true_text(t).alias("flag"), F.concat(F.coalesce("lang", F.lit("")), F.lit("_x")).alias("suffixed"))
+
+
+@query(f"""WITH {SCORED}, a AS (SELECT row_idx, [score, rival] AS v FROM d), b AS (SELECT row_idx, [weight] AS v FROM d), n AS (SELECT max(row_idx) + 1 AS n FROM d)
+    SELECT row_idx, unnest(list_concat(a.v, b.v)) AS value, unnest(range(3))::INT AS dim FROM a JOIN b USING (row_idx) UNION ALL SELECT row_idx + n, unnest(a.v), unnest(range(2))::INT FROM a, n""")
+def stacked_matrices(spark, sf_dir):
+    """Matrices joined column-wise by row, and stacked with shifted rows."""
+    d = scored(spark, sf_dir)
+    a, b = d.select("row_idx", F.array("score", "rival").alias("v")), d.select("row_idx", F.array("weight").alias("w"))
+    n = d.agg((F.max("row_idx") + 1).alias("n"))  # one row
+    wide = a.join(b, "row_idx").select("row_idx", F.concat("v", "w").alias("v"))
+    below = a.join(F.broadcast(n)).select((F.col("row_idx") + F.col("n")).alias("row_idx"), "v")
+    return wide.unionByName(below).select("row_idx", F.posexplode("v").alias("dim", "value"))
+
+
+@query(f"""WITH {SCORED}, g AS (SELECT source, {r('avg(score) FILTER (split = 3)')} AS s3, {r('avg(score) FILTER (split = 0)')} AS s0, {r('avg(score) FILTER (split = 1)')} AS s1 FROM d GROUP BY source)
+    SELECT source, s3, s0, s1, (CASE source WHEN 'src2' THEN 0 WHEN 'src0' THEN 1 ELSE 2 END)::INT AS place FROM g""")
+def pivoted_protocols(spark, sf_dir):
+    """Mean by model and protocol as a pivot with given columns, and rows' places in a given order."""
+    p = scored(spark, sf_dir).groupBy("source").pivot("split", [3, 0, 1]).agg(F.avg("score"))
+    place = F.coalesce(F.nullif(F.array_position(F.array(F.lit("src2"), F.lit("src0")), F.col("source")), F.lit(0)) - 1, F.lit(2)).cast("int")
+    return rounded(p.select("source", F.col("3").alias("s3"), F.col("0").alias("s0"), F.col("1").alias("s1"), place.alias("place")))
+
+
+@query("""WITH t AS (SELECT doc_id, md5(text) AS k, quality::INT AS label, n_chars FROM documents LEFT JOIN labels USING (doc_id))
+    SELECT k, arg_min(coalesce(label, -1), doc_id) AS first_label, count(*) AS n, round(avg(n_chars), 6) AS mean, round(stddev_samp(doc_id), 6) AS sd FROM t GROUP BY k""")
+def repeated_rows(spark, sf_dir):
+    """Of rows that share an original, the first one's label, count, mean and sample deviation."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("k"), "n_chars")
+    l = table(spark, sf_dir, "labels").select("doc_id", F.coalesce(F.col("quality").cast("int"), F.lit(-1)).alias("label"))
+    j = t.join(l, "doc_id", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
+    return rounded(j.groupBy("k").agg(F.min_by("label", "doc_id").alias("first_label"), F.count("*").alias("n"), F.avg("n_chars").alias("mean"), F.stddev_samp("doc_id").alias("sd")))
+
+
 # Metrics and calibration
 
 
