@@ -59,6 +59,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def width(rows: int, per: int = 200_000, least: int = 8) -> int:
+    """Tasks for a stage over so many rows: small tables need not the session's number of shuffle partitions."""
+    return max(least, -(-rows // per))
+
+
 def remainder(doc_id: Column | str, by: int) -> Column:
     """crc32 of the id as text, modulo by: the fixed split between training and held-out rows."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % by

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+def _star(edges: DataFrame, small: bool, tasks: int) -> DataFrame:
     """One star step: link each neighbour of u that qualifies to the least node of u's neighbourhood."""
     a = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     if small:
@@ -20,12 +20,12 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     else:
         nearby = a.unionByName(a.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = nearby.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    linked = nearby.join(least, "u")
+    linked = nearby.join(least, "u").coalesce(tasks)
     if small:
         out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     else:
         out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.where(F.col("u") != F.col("v")).distinct()
+    return out.where(F.col("u") != F.col("v")).distinct().coalesce(tasks)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -34,10 +34,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges: columns u and v of one ordered type, in any direction.  Loops, nulls and repeated edges are dropped;
     without edges the result is empty.  A RuntimeError says that the rounds did not settle.
     """
-    now = C.materialize(edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL AND u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
+    now = C.materialize(edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL AND u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+    n = now.count()
+    if not n:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    tasks, mark = C.width(2 * n), None
     for _ in range(max_rounds):
-        new = C.materialize(_star(_star(now, small=False), small=True), "edges")
+        new = C.materialize(_star(_star(now, False, tasks), True, tasks), "edges")
         state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         C.discard(now)
         now = new

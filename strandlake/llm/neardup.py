@@ -9,8 +9,9 @@ the sketch's estimate, corrected for chance collisions of compressed registers,
 At similarity 0.75 a pair misses all 80 bands of 6 registers with probability 2e-7.
 
 Documents of equal sets are one class before sketching, so copies make no pairs.  In a band group each member is
-compared with a hub, and the group's members that verified links join already are not compared again; further hubs
-are taken until every group is one component or all its members have been compared across components.
+compared with a hub, the one that meets most others first; members that verified links join already are not compared
+again.  What is left open after HUB_ROUNDS is compared across components: small groups pair by pair, large ones in
+blocks of documents.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -31,7 +33,9 @@ BANDS, ROWS = 80, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Rounds with one hub to each group before the rest is compared across components.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+#: Open groups of more members are compared in blocks of so many documents, smaller ones pair by pair.
+SMALL_GROUP, BLOCK = 32, 256
 
 _U = np.uint64
 _rng = np.random.default_rng(0xB0B)
@@ -184,6 +188,48 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def between_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v) linked on full sets, of (cluster, doc_id, component) rows, where the components differ.
+
+    A cluster's largest component is never compared with itself.  All others meet it and each other in blocks of
+    about BLOCK documents, a task to each pair of blocks; a task emits confirmed links only.
+    """
+    sizes = members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    main = main.select("cluster", F.col("top.component").alias("main"), blocks(F.col("top.n")).alias("bm"), blocks(F.col("all") - F.col("top.n")).alias("bo")).where("bo > 0")
+    placed = members.join(main, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("component") == F.col("main"), F.col("bm")).otherwise(F.col("bo"))).cast("int"))
+    others = "transform(sequence(0, bo - 1), k -> struct(0 AS kind, least(own, k) AS i, greatest(own, k) AS j))"
+    with_main = "transform(sequence(0, bm - 1), k -> struct(1 AS kind, own AS i, k AS j))"
+    from_main = "transform(sequence(0, bo - 1), k -> struct(1 AS kind, k AS i, own AS j))"
+    dealt = placed.select("cluster", "doc_id", "component", F.explode(F.expr(f"CASE WHEN component = main THEN {from_main} ELSE concat({others}, {with_main}) END")).alias("p")).select("cluster", "p.*", "doc_id", "component")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id")
+        ids, parts = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy()
+        own = [np.frombuffer(x, _U) for x in pdf["items"]]
+        size = np.array([len(x) for x in own])
+        items, column = np.unique(np.concatenate(own), return_inverse=True)
+        row = np.repeat(np.arange(len(own)), size)
+        often = np.bincount(column, minlength=len(items)) > 1
+        number = np.cumsum(often) - 1
+        row, column = row[often[column]], number[column[often[column]]]
+        both = np.zeros((len(own), len(own)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for a in range(0, int(often.sum()), 8192):  # shared items, so many columns at a time
+            x, z = np.searchsorted(column, [a, a + 8192])
+            m = np.zeros((len(own), 8192), np.float32)
+            m[row[x:z], column[x:z] - a] = 1
+            both += m @ m.T
+        both = both.astype(np.int64)
+        ok = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (parts[:, None] != parts[None, :])
+        u, v = np.nonzero(np.triu(ok, 1))
+        return pd.DataFrame({"u": ids[u], "v": ids[v]})
+
+    return dealt.join(sets, "doc_id").groupBy("cluster", "kind", "i", "j").applyInPandas(run, "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
@@ -201,33 +247,43 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     copies = prints.where("n_shingles > 0").join(classes.where("rep != last"), whole).where("doc_id != rep").select("doc_id")
     reps = source.join(copies.distinct(), "doc_id", "left_anti")
     of_key = W.partitionBy("key")
-    groups = bands(reps).withColumn("n", F.count("*").over(of_key)).where("n > 1").select("key", "doc_id").distinct()
-    groups = C.materialize(groups, "bands")
+    groups = bands(reps).withColumn("n", F.count("*").over(of_key)).where("n > 1")
+    # How many others a document meets in all its groups: an original meets more than its edited copies do.
+    groups = C.materialize(groups.withColumn("met", F.sum("n").over(W.partitionBy("doc_id"))), "bands")
+    tasks = C.width(groups.count())
     members = groups.select("doc_id").distinct()
     sets = C.materialize(full_sets(source.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
 
     links, tried = sets.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).limit(0), None
     of = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for step in range(HUB_ROUNDS + 1):
-        placed = groups.join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        # A group of two has been compared in the first round.
+        placed = groups if step == 0 else groups.where("n > 2").join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left").coalesce(tasks)
+        placed = placed.withColumn("component", F.col("doc_id") if step == 0 else F.coalesce("component", "doc_id"))
         still = placed.withColumn("lo", F.min("component").over(of_key)).withColumn("hi", F.max("component").over(of_key)).where("lo != hi").drop("lo", "hi")
+        best = F.struct((-F.col("met")).alias("m") if step in (0, HUB_ROUNDS) else F.xxhash64("doc_id").alias("m"), F.col("doc_id").alias("id"), F.col("component").alias("c"))
+        still = still.withColumn("hub", F.min(best).over(of_key))
         if step < HUB_ROUNDS:
-            rank = F.struct(F.xxhash64("doc_id", F.lit(step)).alias("r"), F.col("doc_id").alias("id"), F.col("component").alias("c"))
-            pairs = still.withColumn("hub", F.min(rank).over(of_key)).where("component != hub.c").select(F.col("hub.id").alias("u"), F.col("doc_id").alias("v"))
+            pairs = still.where("component != hub.c").select(F.col("hub.id").alias("u"), F.col("doc_id").alias("v"))
         else:
-            other = still.select("key", F.col("doc_id").alias("v"), F.col("component").alias("c2"))
-            pairs = still.select("key", F.col("doc_id").alias("u"), "component").join(other, "key").where("u < v AND component != c2").select("u", "v")
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+            large = still.where(F.col("n") > SMALL_GROUP).select(F.col("hub.id").alias("cluster"), "doc_id", "component").distinct()
+            links = links.unionByName(C.materialize(between_components(large, sets, percent), "links"))
+            small = still.where(F.col("n") <= SMALL_GROUP)
+            other = small.select("key", F.col("doc_id").alias("v"), F.col("component").alias("c2"))
+            pairs = small.select("key", F.col("doc_id").alias("u"), "component").join(other, "key").where("u < v AND component != c2").select("u", "v")
+        pairs = pairs.coalesce(tasks).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = C.materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            break
+        pairs = C.materialize(pairs.coalesce(tasks), "pairs")
+        if pairs.isEmpty() and step < HUB_ROUNDS:
+            if step == 0:
+                break
+            continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = C.materialize(confirm(pairs, sets, percent), "links")
+        found = C.materialize(confirm(pairs, sets, percent).coalesce(tasks), "links")
         links = links.unionByName(found)
-        if not found.isEmpty():
-            of = C.materialize(connected_components(links), "components")
+        if step == HUB_ROUNDS or not found.isEmpty():
+            of = C.materialize(connected_components(links).coalesce(tasks), "components")
     linked = classes.join(of.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select(*whole, F.coalesce("component", "rep").alias("component_id"))
     # Copies of one text may be a third of all rows: only classes that are not their single document's own are joined,
     # and adaptive execution splits what is left of a hot class.
