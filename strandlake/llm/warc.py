@@ -24,6 +24,8 @@ from . import _common as C
 #: Payload bytes after which a task begins a new archive.
 ARCHIVE_BYTES = 16 << 20
 LEVEL = 1
+#: Revisits, of about 100 bytes each, up to which they are broadcast; more are joined by shuffling.
+BROADCAST_ROWS = 200_000
 INDEX_SCHEMA = "archive string, record long, offset long, length long"
 RECORD_SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 _EPOCH = b"1970-01-01T00:00:00Z"
@@ -44,6 +46,12 @@ def put_file(uri: str, parts: Iterator[bytes]) -> None:
     store.move(temporary, path)
 
 
+def get_file(uri: str) -> bytes:
+    store, path = _filesystem(uri)
+    with store.open_input_stream(path) as f:
+        return f.read()
+
+
 def _clean(x: str | None) -> bytes:
     return " ".join((x or "").split()).encode()
 
@@ -123,9 +131,12 @@ def classify(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     refer to it.  Rows that repeat a page_id and its payload are each a response or each a revisit.
     """
     sized = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html").cast("long"))
-    # Only payloads that occur under several ids are joined; of the others nothing but digest and id is shuffled.
-    again = sized.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("top"), F.min("page_id").alias("_low")).where("top != _low").drop("_low")
-    return sized.join(again, "digest", "left").withColumn("refers_to", F.when(F.col("top") > F.col("page_id"), F.col("top"))).drop("top")
+    # Pages travel with ids and digests alone; only revisits come back to the payloads.
+    keys = sized.select("page_id", "digest", "size").where(F.col("size") >= min_revisit_bytes)
+    again = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low")).where("refers_to != low").drop("low")
+    revisits = C.materialize(keys.join(again, "digest").where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct(), "warc-revisits")
+    few = revisits.count() <= BROADCAST_ROWS
+    return sized.join(F.broadcast(revisits) if few else revisits, ["page_id", "digest"], "left")
 
 
 def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL) -> DataFrame:
@@ -217,19 +228,15 @@ def read_records(spark: SparkSession, target: str, payloads: bool = True) -> Dat
 
     payloads=False leaves the payload column null once a response's size and digest have been checked against it.
     """
-    files = spark.read.format("binaryFile").load(target)
-    name = F.regexp_extract("path", r"([^/]+?)(?:\.idx)?$", 1)
-    archives = files.where(F.col("path").endswith(".warc.gz")).select(name.alias("archive"), "content")
-    sidecars = files.where(F.col("path").endswith(".idx")).select(name.alias("archive"), F.col("content").cast("string").alias("index"))
-    both = archives.join(sidecars, "archive")
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(target).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
         for b in batches:
-            for content, index in zip(b["content"], b["index"], strict=True):
+            for path, content in zip(b["path"], b["content"], strict=True):
                 rows, held = [], 0
-                for line in index.splitlines():
+                for line in get_file(f"{target}/{path.rpartition('/')[2]}.idx").splitlines():
                     _, offset, length = map(int, line.split())
                     row = parse_record(zlib.decompress(content[offset : offset + length], 31))
                     if row[2] == "response":
@@ -243,7 +250,7 @@ def read_records(spark: SparkSession, target: str, payloads: bool = True) -> Dat
                 yield _frame(rows)
 
     with _batch_rows(spark, 1):
-        return C.materialize(both.mapInPandas(run, RECORD_SCHEMA), "warc-records")
+        return C.materialize(archives.mapInPandas(run, RECORD_SCHEMA), "warc-records")
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
