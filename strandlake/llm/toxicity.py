@@ -7,8 +7,8 @@ toxic and ordinary log-likelihoods per word; a logistic curve, fitted on sampled
 it into a probability.
 
 Counts are of documents.  The classes keep counts of their own only for n-grams in which a likelihood-ratio test
-rejects equal rates and the probabilities differ by a factor of three; all other n-grams take the shared probability
-in both.  So the difference of two likelihoods is a sum over a small table of n-grams, and neither the mix of
+rejects equal rates and both the probabilities and the shares of documents differ clearly the same way; all other
+n-grams take the shared probability in both.  So the difference of two likelihoods is a sum over a small table of n-grams, and neither the mix of
 languages nor the accidents of a few documents move it.
 """
 
@@ -97,8 +97,8 @@ def _groups(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return own, np.bincount(back, counts, len(own)), np.bincount(back, counts > 0, len(own))
 
 
-def build(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
-    """The two tables from counts of distinct n-grams in both classes."""
+def build(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, documents: tuple[int, int]) -> Model:
+    """The table from the numbers of documents with each n-gram in both classes, and of all (ordinary, toxic)."""
     order = np.argsort(grams)
     grams, counts = grams[order], {0: ordinary[order].astype(float), 1: toxic[order].astype(float)}
     # Continuation counts: a k-gram counts the distinct (k + 1)-grams that end in it.
@@ -129,7 +129,10 @@ def build(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
     for c in (0, 1):
         for n, rate in ((seen[c], both), (of[c] - seen[c], 1 - both)):
             g2 += 2 * np.where(n > 0, n * np.log(np.maximum(n, 1) / np.maximum(of[c] * rate, 1e-9)), 0)
-    differ = (of[0] > 0) & (of[1] > 0) & (g2 >= TEST) & (np.abs(value) >= EFFECT)
+    # The whole n-gram's share of documents must differ the same way: a byte may be rare after a context only because
+    # another one is frequent there in one class.
+    share = np.log((seen[1] + 0.5) / (documents[1] + 1)) - np.log((seen[0] + 0.5) / (documents[0] + 1))
+    differ = (of[0] > 0) & (of[1] > 0) & (g2 >= TEST) & (np.abs(value) >= EFFECT) & (np.abs(share) >= EFFECT) & (share * value > 0)
     return Model(grams[differ], value[differ].astype(np.float32))
 
 
@@ -208,7 +211,8 @@ def fit(rows: DataFrame) -> Model:
 
     counted = rows.where("NOT calibrate").select("text", "toxic").mapInArrow(count, "gram long, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     t = counted.toArrow()
-    model = build(t["gram"].to_numpy().view(_U), t["toxic"].to_numpy(), t["ordinary"].to_numpy())
+    sizes = {r["toxic"]: r["n"] for r in rows.where("NOT calibrate").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    model = build(t["gram"].to_numpy().view(_U), t["toxic"].to_numpy(), t["ordinary"].to_numpy(), (sizes.get(0, 0), sizes.get(1, 0)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
