@@ -104,8 +104,7 @@ def assign_folds(counts: np.ndarray, k: int, seed: int | None, mode: str = "perm
             spread = (folds / total).std(axis=0).mean()
             size = folds[f].sum()
             folds[f] -= own[g]
-            better = spread < best[0] and not np.isclose(spread, best[0])
-            if better or (np.isclose(spread, best[0]) and size < best[1]):
+            if spread < best[0] or (np.isclose(spread, best[0]) and size < best[1]):
                 best = (spread, size, f)
         folds[best[2]] += own[g]
         fold_of[ids[g]] = best[2]
