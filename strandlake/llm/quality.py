@@ -40,6 +40,10 @@ RULES = (
 )
 
 
+#: Columns that measures() appends.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines", "mean_word_length", "symbol_ratio", "stop_ratio", "dup_line_ratio", "repeat_ratio")
+
+
 def compile_rules(rules: tuple[Rule, ...]) -> Column:
     """One boolean expression for the whole table; an undefined metric passes no bounded side."""
     verdict = F.lit(True)
@@ -77,7 +81,10 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": F.expr("size(_lines)").cast("long"),
     }).drop("_words", "_lines", "_tri")
     per = lambda a, b: F.try_divide(F.col(a), F.col(b))
-    return out.withColumns({"mean_word_length": per("word_chars", "n_words"), "symbol_ratio": per("n_symbols", "n_words"), "stop_ratio": per("n_stop_words", "n_words"), "dup_line_ratio": per("n_dup_lines", "n_lines"), "repeat_ratio": per("n_repeat_words", "n_words")})
+    out = out.withColumns({"mean_word_length": per("word_chars", "n_words"), "symbol_ratio": per("n_symbols", "n_words"), "stop_ratio": per("n_stop_words", "n_words"), "dup_line_ratio": per("n_dup_lines", "n_lines"), "repeat_ratio": per("n_repeat_words", "n_words")})
+
+    # A generator of one row: a filter above would else repeat the expressions inside it, for every word of a window.
+    return out.select(*(c for c in out.columns if c not in MEASURES), F.inline(F.array(F.struct(*MEASURES))))
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
