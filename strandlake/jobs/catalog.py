@@ -178,13 +178,23 @@ def substring_overlap(spark, sf_dir):
 
 @query(f"WITH {SCORED}, a AS (SELECT text FROM documents WHERE doc_id % 5 = 0), b AS (SELECT text FROM documents WHERE doc_id % 5 = 1) SELECT 'both' AS side, count(*) AS n FROM (SELECT text FROM a INTERSECT SELECT text FROM b) UNION ALL SELECT 'left', count(*) FROM (SELECT text FROM a EXCEPT SELECT text FROM b) UNION ALL SELECT 'right', count(*) FROM (SELECT text FROM b EXCEPT SELECT text FROM a)")
 def split_overlap(spark, sf_dir):
-    """Set operations between two splits' texts."""
+    """Set operations between the texts of splits 0 and 1 only; split_overlaps has every pair."""
     t = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("t"))
     a, b = (t.where(F.col("doc_id") % 5 == k).select("t") for k in (0, 1))
     n = lambda df, s: df.agg(F.lit(s).alias("side"), F.count("*").alias("n"))
     return n(a.intersect(b), "both").unionByName(n(a.subtract(b), "left")).unionByName(n(b.subtract(a), "right"))
 
 
+@query("""WITH t AS (SELECT DISTINCT doc_id % 5 AS split, text FROM documents WHERE doc_id IS NOT NULL), s AS (SELECT split, count(*) AS n FROM t GROUP BY 1),
+    j AS (SELECT a.split AS l, b.split AS r, count(*) AS n FROM t a JOIN t b ON a.text IS NOT DISTINCT FROM b.text AND a.split < b.split GROUP BY 1, 2),
+    p AS (SELECT x.split AS l, y.split AS r, x.n AS ln, y.n AS rn, coalesce(j.n, 0) AS b FROM s x JOIN s y ON x.split < y.split LEFT JOIN j ON j.l = x.split AND j.r = y.split)
+    SELECT l AS left_split, r AS right_split, unnest(['both', 'left', 'right']) AS side, unnest([b, ln - b, rn - b]) AS n FROM p""")
+def split_overlaps(spark, sf_dir):
+    """Set operations between the texts of every pair of splits, over all documents."""
+    t = table(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("split"), F.sha2("text", 256).alias("sequence"))
+    return audit.overlaps(t)
+
+
 @query("""WITH e AS (SELECT label, d, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM (SELECT label, vec_id AS d, embedding FROM embeddings))
     SELECT label, k::INT AS dim, round(avg(v::DOUBLE), 6) AS mean_pool, round(max(v)::DOUBLE, 6) AS max_pool FROM e GROUP BY 1, 2""")
 def pooled_embeddings(spark, sf_dir):

@@ -31,6 +31,21 @@ def integrity(rows: DataFrame, split: str = "split", sequence: str = "sequence",
     )
 
 
+def overlaps(rows: DataFrame, split: str = "split", sequence: str = "sequence") -> DataFrame:
+    """(left_split, right_split, side, n): of every pair of splits the sequences in both, in the left and in the right only.
+
+    rows are grouped once by sequence; what is paired are the sets of splits that some sequence has.  A null sequence
+    is a value like others, rows without split are in none.
+    """
+    own = rows.where(F.col(split).isNotNull()).select(F.col(split).alias("s"), F.col(sequence).alias("q")).distinct()
+    sets = own.groupBy("q").agg(F.array_sort(F.collect_set("s")).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    each = sets.select(F.explode("k").alias("s"), "n").groupBy("s").agg(F.sum("n").alias("n"))
+    l, r = (each.select(F.col("s").alias(f"{x}_split"), F.col("n").alias(f"{x}_n")) for x in ("left", "right"))
+    both = sets.select("n", F.explode("k").alias("left_split"), "k").select("n", "left_split", F.explode("k").alias("right_split")).where("left_split < right_split").groupBy("left_split", "right_split").agg(F.sum("n").alias("b"))
+    pairs = l.join(r, F.col("left_split") < F.col("right_split")).join(both, ["left_split", "right_split"], "left").na.fill({"b": 0})
+    return pairs.select("left_split", "right_split", F.expr("stack(3, 'both', b, 'left', left_n - b, 'right', right_n - b) AS (side, n)"))
+
+
 def items(one_row: DataFrame) -> DataFrame:
     """(item, value) of the columns of a one-row table, values as text."""
     names = one_row.columns
