@@ -179,9 +179,23 @@ def document_oof(spark, sf_dir: str) -> DataFrame:
 
 
 def document_overlap(spark, sf_dir: str) -> DataFrame:
+    """Balance of all 24 descriptors, by weights of a propensity model of all of them.
+
+    Charge, hydropathy and mass are those of a document's residue letters; a document without any has 0 for them, as
+    it has for its shares.
+    """
+    from ..functions.sequence import RESIDUES, charge, gravy, molecular_weight
+    from ..jobs.frames import LOWER, UPPER, table
     from .audit import balance
+    from .grouping import _written
 
     rows, features = _documents(spark, sf_dir)
-    w = overlap_weights(rows, features[:6])
-    b = balance(w, features[:6], {"plain": F.lit(1.0), "overlap": F.col("overlap_weight")})
+    letters = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), LOWER, UPPER), f"[^{RESIDUES}]", "")
+    s = F.col("_s")
+    more = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), letters.alias("_s")).select("row_idx", *(F.coalesce(c, F.lit(0.0)).alias(n) for n, c in (("charge", charge(s)), ("gravy", gravy(s)), ("weight", molecular_weight(s)))))
+    features = [*features, "charge", "gravy", "weight"]
+    rows = rows.join(more, "row_idx").na.fill({"length": 0.0})  # a null text is an empty one
+    rows = _written(rows, "descriptors")  # each of Newton's rounds reads them
+    w = overlap_weights(rows, features)
+    b = balance(w, features, {"plain": F.lit(1.0), "overlap": F.col("overlap_weight")})
     return b.select("scheme", "feature", *(F.round(c, 4).alias(c) for c in ("positive_mean", "negative_mean", "smd")))
