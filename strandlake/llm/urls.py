@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import html as html_text
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _common as C
 from . import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,25 +77,68 @@ def node_of(url: Column) -> Column:
     return F.concat(F.translate(bare.substr(F.lit(1), at), UPPER, LOWER), bare.substr(at + 1, F.length(bare)))
 
 
-def _target(base: Column, link: Column) -> Column:
-    """An absolute url from a link on the page at base; null if the link is empty or of another kind."""
-    link = F.trim(F.regexp_replace(F.regexp_replace(link, "&amp;", "&"), r"\s+", ""))
-    origin = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
-    return (
-        F.when(link == "", None)
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), link))
-        .when(link.startswith("/"), F.concat(origin, link))
-    )
+#: Tags that may hold an alias: comments, scripts and styles are read over, quoted values may hold >.
+_TAG = r"""(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)|(<(?:link|meta|base)\b(?:[^>"']|"[^"]*"|'[^']*')*+>)"""
+_ATTRIBUTE = r"""(?is)([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+))"""
+_REFRESH = re.compile(r"""\s*[\d.]*\s*[;,]?\s*url\s*=\s*(?:"([^"]*)|'([^']*)|(.*))""", re.I | re.S)
+
+
+def aliases(url: str, page: str) -> list[str]:
+    """Absolute urls of every canonical link and every refresh of a page, in page order.
+
+    rel is a list of words; character references are decoded; a first base element moves relative links.
+    """
+    base, found = url, []
+    for m in _TAGS.finditer(page):
+        tag = m.group(2)
+        if not tag:
+            continue
+        own: dict[str, str] = {}
+        for a in _ATTRIBUTES.finditer(tag):
+            own.setdefault(a.group(1).lower(), html_text.unescape(a.group(2) or a.group(3) or a.group(4) or ""))
+        kind = tag[1:5].lower()
+        if kind == "base":
+            if base is url and own.get("href", "").strip():
+                base = _absolute(url, own["href"]) or url
+        elif kind == "link" and "canonical" in own.get("rel", "").lower().split():
+            found.append(own.get("href", ""))
+        elif kind == "meta" and own.get("http-equiv", "").strip().lower() == "refresh" and (r := _REFRESH.match(own.get("content", ""))):
+            found.append(r.group(1) or r.group(2) or r.group(3) or "")
+    return [x for x in (_absolute(base, f) for f in found) if x]
+
+
+def _absolute(base: str, link: str) -> str | None:
+    """A link on the page at base; null if it is empty, malformed or of a scheme without ``://``."""
+    link = re.sub(r"[\t\r\n]", "", link).strip()
+    if not link:
+        return None
+    try:
+        out = urljoin(base, link)
+    except ValueError:
+        return None
+    return out if "://" in out.split("?")[0].split("#")[0] else None
+
+
+_TAGS, _ATTRIBUTES = re.compile(_TAG.replace(r"\z", r"\Z")), re.compile(_ATTRIBUTE)
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(u, v) from each page to its canonical link and to the target of its refresh."""
-    text = F.coalesce(F.col(html), F.lit(""))
-    canonical = F.regexp_extract(text, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract(text, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'\s>]+)""", 1)
-    links = F.array_compact(F.array(_target(F.col(url), canonical), _target(F.col(url), refresh)))
-    return pages.where(F.col(url).isNotNull()).select(node_of(F.col(url)).alias("u"), F.explode(links).alias("to")).select("u", node_of(F.col("to")).alias("v")).where("u != v")
+    """(u, v) from each page to the targets of all its canonical links and refreshes."""
+    C.small_batches(pages.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, to = [], []
+            for own, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for x in aliases(own, page):
+                    u.append(own)
+                    to.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(to, pa.string())], names=["u", "to"])
+
+    # Pages that cannot hold an alias stay in the JVM.
+    some = pages.where(F.col(url).contains("://") & F.col(html).rlike(r"(?i)canonical|refresh|&#"))
+    links = some.select(F.col(url).alias("u"), F.col(html).alias("to")).mapInArrow(run, "u string, to string")
+    return links.select(node_of(F.col("u")).alias("u"), node_of(F.col("to")).alias("v")).where("u != v")
 
 
 def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, redirects: DataFrame | None = None, default: str = "allow", url: str = "url", html: str = "html") -> DataFrame:
