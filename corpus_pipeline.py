@@ -25,9 +25,10 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: the one of the smallest id.  Documents without words stay."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").select(docs.columns)
+    """One row of each near-duplicate component: the one of the smallest id.  Documents without words stay."""
+    rows, _ = neardup.keyed(docs)
+    kept = neardup.linked(rows.select("_key", "text"), id_column="_key").where("kept").select(F.col("doc_id").alias("_key"))
+    return rows.join(kept, "_key", "left_semi").select(docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -230,15 +230,47 @@ def between_components(members: DataFrame, sets: DataFrame, percent: int) -> Dat
     return dealt.join(sets, "doc_id").groupBy("cluster", "kind", "i", "j").applyInPandas(run, "u long, v long").distinct()
 
 
+def keyed(docs: DataFrame, id_column: str = "doc_id") -> tuple[DataFrame, int | None]:
+    """(docs with _key, the greatest id): a key of each row's own that orders like the ids.
+
+    Where no id is null or repeated, it is the id, and None is returned for the greatest.  Else docs are written with a
+    number to each row: the first row of an id keeps the id, repeats and null ids get keys above all ids.
+    """
+    own = docs.select(F.col(id_column).cast("long").alias("_key"))
+    if own.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1 OR _key IS NULL").isEmpty():
+        return docs.withColumn("_key", F.col(id_column).cast("long")), None
+    rows = C.materialize(docs.withColumns({"_id": F.col(id_column).cast("long"), "_at": F.monotonically_increasing_id()}), "rows")
+    top = rows.agg(F.max("_id")).first()[0]
+    top = -1 if top is None else top
+    first = rows.where("_id IS NOT NULL").groupBy("_id").agg(F.min("_at").alias("_at")).withColumn("_first", F.lit(True))
+    key = F.when(F.col("_first"), F.col("_id")).otherwise(F.col("_at") + F.lit(top) + 1)
+    return C.materialize(rows.join(first, ["_id", "_at"], "left").select(*docs.columns, key.alias("_key")), "rows"), top
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs.
+    """(doc_id, n_shingles, component_id, kept) for every row of docs, as many rows as docs has.
 
     Words are split on ASCII white space after A-Z is lower-cased; a null text or one without words has the empty
     set and links with nothing.  component_id is the smallest doc_id reachable over links of at least percent.
-    Rows that repeat a doc_id with the same text stay as they are.  Other columns are not read.
+    Rows are linked and kept one by one: of each component one row is kept, of the smallest doc_id, though others may
+    repeat that id or have none.  Where only null ids, or repeats of an id whose first row is elsewhere, are linked, one
+    of them is kept and component_id is its own id.  Other columns are not read.
     """
+    rows, top = keyed(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    out = linked(rows.select(F.col("_key").alias("doc_id"), "text"), percent=percent)
+    if top is None:
+        return out
+    ids = rows.select("_key", F.col("doc_id").alias("_id"))
+    heads = ids.where(F.col("_key") > top).select(F.col("_key").alias("component_id"), F.col("_id").alias("_head"))
+    named = out.join(ids, F.col("doc_id") == F.col("_key")).drop("doc_id", "_key").join(heads, "component_id", "left")
+    component = F.when(F.col("component_id") > top, F.col("_head")).otherwise(F.col("component_id"))
+    return named.select(F.col("_id").alias("doc_id"), "n_shingles", component.alias("component_id"), "kept")
+
+
+def linked(docs: DataFrame, text: str = "text", id_column: str = "doc_id", percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for rows whose ids are neither null nor repeated, such as keyed() makes."""
     spark = docs.sparkSession
-    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     prints = C.materialize(fingerprint(source, "text", "doc_id"), "prints")
     whole = ["n_shingles", "fp_hi", "fp_lo"]
     classes = prints.where("n_shingles > 0").groupBy(*whole).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
@@ -252,7 +284,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     groups = C.materialize(groups.withColumn("met", F.sum("n").over(W.partitionBy("doc_id"))), "bands")
     tasks = C.width(groups.count())
     members = groups.select("doc_id").distinct()
-    sets = C.materialize(full_sets(source.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
+    sets = C.materialize(full_sets(source.join(members, "doc_id", "left_semi")), "sets")
 
     links, tried = sets.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).limit(0), None
     of = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
