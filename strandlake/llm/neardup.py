@@ -3,8 +3,9 @@
 A document is the set of its distinct five-word shingles.  The sketch splits the hash space into REGISTERS buckets and
 keeps of each bucket's least hash its leading-zero count and MANTISSA bits; an empty bucket takes the register of
 the first filled bucket in a fixed random order of its own, so registers agree with probability near the Jaccard
-similarity for sets of any size.  Bands of registers group documents; pairs that share a band are first judged by
-the sketch's estimate, corrected for chance collisions of compressed registers, and then confirmed on full sets.
+similarity for sets of any size.  Registers are written once: bands of them group documents, and pairs that share a
+band are first judged by the registers' estimate, corrected for chance collisions of compressed registers.  Only
+pairs that the estimate leaves meet their full sets, on which every link is confirmed.
 
 At similarity 0.75 a pair misses all 80 bands of 6 registers with probability 2e-7.
 
@@ -34,8 +35,12 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Rounds with one hub to each group before the rest is compared across components.
 HUB_ROUNDS = 2
-#: Open groups of more members are compared in blocks of so many documents, smaller ones pair by pair.
-SMALL_GROUP, BLOCK = 32, 256
+#: Open groups of more members are compared in blocks of so many documents and shingles, smaller ones pair by pair.
+SMALL_GROUP, BLOCK, BLOCK_ITEMS = 32, 256, 1 << 21
+#: Registers whose binomial error an estimate has at least: measured over sets of 5 to 3,000 shingles.
+EFFECTIVE = 300
+#: A class of equal sets is hot if it has more than this share of all rows: there are at most so many of them.
+HOT = 1000
 
 _U = np.uint64
 _rng = np.random.default_rng(0xB0B)
@@ -134,70 +139,101 @@ def fingerprint(docs: DataFrame, text: str, id_column: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_shingles long, fp_hi long, fp_lo long")
 
 
-def bands(docs: DataFrame) -> DataFrame:
-    """(key, doc_id) for every band of every (doc_id, text) whose set is not empty."""
+def sketched(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, registers) of every (doc_id, text) whose set is not empty: 15 bits to a register."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids = b.column(0)
             for a, to, sets in _sets_of(b):
                 own = [k for k, s in enumerate(sets) if len(s)]
                 if own:
-                    keys = band_keys(sketches([sets[k] for k in own]))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids[a:to][own], BANDS), pa.int64())], names=["key", "doc_id"])
+                    registers = sketches([sets[k] for k in own]).astype("<i2")
+                    yield pa.RecordBatch.from_arrays([ids.slice(a, to - a).take(pa.array(own)), pa.array([len(sets[k]) for k in own], pa.int64()), pa.array([r.tobytes() for r in registers], pa.binary())], names=["doc_id", "size", "registers"])
 
-    return docs.mapInArrow(run, "key long, doc_id long")
+    return docs.mapInArrow(run, "doc_id long, size long, registers binary")
+
+
+def _registers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<i2").reshape(-1, REGISTERS)
+
+
+def bands(known: DataFrame) -> DataFrame:
+    """(key, doc_id) for every band of the registers of sketched()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = band_keys(_registers(b.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS), pa.int64())], names=["key", "doc_id"])
+
+    return known.select("doc_id", "registers").mapInArrow(run, "key long, doc_id long")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, items): the sorted set of every (doc_id, text) as bytes of 64-bit fingerprints."""
+    """(doc_id, size, items): the sorted set of every (doc_id, text) as bytes of 64-bit fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, to, sets in _sets_of(b):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, to - a), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, to - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "size", "items"])
 
-    return docs.mapInArrow(run, "doc_id long, items binary")
+    return docs.mapInArrow(run, "doc_id long, size long, items binary")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those (u, v) with 100 * intersection >= percent * union on full sets, after the sketch's estimate.
+def _of_pairs(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs with the columns of both documents, named a_ and b_; only rows of documents in pairs are shuffled.
 
-    The estimate only turns away pairs that lie six standard errors below the bound.
+    The ids in question are written first: few are broadcast by their size on disk, many joined by shuffling.
     """
-    left = sets.select(F.col("doc_id").alias("u"), F.col("items").alias("a"))
-    right = sets.select(F.col("doc_id").alias("v"), F.col("items").alias("b"))
+    ids = C.materialize(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "pair-ids")
+    rows = rows.join(ids, "doc_id", "left_semi")
+    side = lambda k, p: rows.select(F.col("doc_id").alias(k), *(F.col(c).alias(p + c) for c in columns))
+    return pairs.join(side("u", "a_"), "u").join(side("v", "b_"), "v")
+
+
+def plausible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Those (u, v) that sizes and registers do not rule out: the estimate lies within six standard errors of the bound."""
     bound = percent / 100
-    slack = 6 * (bound * (1 - bound) / REGISTERS) ** 0.5
+    least = bound - 6 * (bound * (1 - bound) / EFFECTIVE) ** 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m, n = (b.column(c).to_numpy() for c in ("a_size", "b_size"))
+            keep = 100 * np.minimum(m, n) >= percent * np.maximum(m, n)
+            keep &= estimate(_registers(b.column("a_registers")), _registers(b.column("b_registers"))) >= least
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(keep))
+
+    return _of_pairs(pairs, known, ["size", "registers"]).mapInArrow(run, "u long, v long")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those (u, v) with 100 * intersection >= percent * union on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a = [np.frombuffer(x, _U) for x in batch.column("a").to_pylist()]
-            b = [np.frombuffer(x, _U) for x in batch.column("b").to_pylist()]
-            keep = np.zeros(len(a), bool)
-            for k, (x, y) in enumerate(zip(a, b, strict=True)):
-                # Sizes alone bound the similarity; small sets have no sketch worth asking.
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                if min(len(x), len(y)) > 4 * REGISTERS and estimate(*sketches([x, y])[:, None, :])[0] < bound - slack:
-                    continue
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column("a_items"), batch.column("b_items"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep[k] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep))
 
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return _of_pairs(pairs, sets, ["items"]).mapInArrow(run, "u long, v long")
 
 
 def between_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, v) linked on full sets, of (cluster, doc_id, component) rows, where the components differ.
 
     A cluster's largest component is never compared with itself.  All others meet it and each other in blocks of
-    about BLOCK documents, a task to each pair of blocks; a task emits confirmed links only.
+    about BLOCK documents and BLOCK_ITEMS shingles at most, a task to each pair of blocks; a task emits confirmed
+    links only.
     """
-    sizes = members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    main = main.select("cluster", F.col("top.component").alias("main"), blocks(F.col("top.n")).alias("bm"), blocks(F.col("all") - F.col("top.n")).alias("bo")).where("bo > 0")
+    members = members.join(sets.select("doc_id", "size"), "doc_id")
+    sizes = members.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum("size").alias("items"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component", "items")).alias("top"), F.sum("n").alias("all"), F.sum("items").alias("all_items"))
+    blocks = lambda n, items: F.ceil(F.greatest(n / BLOCK, items / BLOCK_ITEMS)).cast("int")
+    others = blocks(F.col("all") - F.col("top.n"), F.col("all_items") - F.col("top.items"))
+    main = main.select("cluster", F.col("top.component").alias("main"), blocks(F.col("top.n"), F.col("top.items")).alias("bm"), others.alias("bo")).where("bo > 0")
     placed = members.join(main, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("component") == F.col("main"), F.col("bm")).otherwise(F.col("bo"))).cast("int"))
     others = "transform(sequence(0, bo - 1), k -> struct(0 AS kind, least(own, k) AS i, greatest(own, k) AS j))"
     with_main = "transform(sequence(0, bm - 1), k -> struct(1 AS kind, own AS i, k AS j))"
@@ -227,7 +263,7 @@ def between_components(members: DataFrame, sets: DataFrame, percent: int) -> Dat
         u, v = np.nonzero(np.triu(ok, 1))
         return pd.DataFrame({"u": ids[u], "v": ids[v]})
 
-    return dealt.join(sets, "doc_id").groupBy("cluster", "kind", "i", "j").applyInPandas(run, "u long, v long").distinct()
+    return dealt.join(sets.select("doc_id", "items"), "doc_id").groupBy("cluster", "kind", "i", "j").applyInPandas(run, "u long, v long").distinct()
 
 
 def keyed(docs: DataFrame, id_column: str = "doc_id") -> tuple[DataFrame, int | None]:
@@ -273,17 +309,19 @@ def linked(docs: DataFrame, text: str = "text", id_column: str = "doc_id", perce
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     prints = C.materialize(fingerprint(source, "text", "doc_id"), "prints")
     whole = ["n_shingles", "fp_hi", "fp_lo"]
-    classes = prints.where("n_shingles > 0").groupBy(*whole).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    classes = prints.where("n_shingles > 0").groupBy(*whole).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count("*").alias("members"))
     classes = C.materialize(classes, "classes")
     # Texts of representatives: all but the documents that repeat an earlier set.
     copies = prints.where("n_shingles > 0").join(classes.where("rep != last"), whole).where("doc_id != rep").select("doc_id")
-    reps = source.join(copies.distinct(), "doc_id", "left_anti")
+    reps = source.join(C.materialize(copies, "copies"), "doc_id", "left_anti")
+    known = C.materialize(sketched(reps), "sketches")
     of_key = W.partitionBy("key")
-    groups = bands(reps).withColumn("n", F.count("*").over(of_key)).where("n > 1")
+    made = bands(known).repartition(C.width(known.count() * BANDS, 1_000_000), "key")
+    groups = made.withColumn("n", F.count("*").over(of_key)).where("n > 1")
     # How many others a document meets in all its groups: an original meets more than its edited copies do.
     groups = C.materialize(groups.withColumn("met", F.sum("n").over(W.partitionBy("doc_id"))), "bands")
     tasks = C.width(groups.count())
-    members = groups.select("doc_id").distinct()
+    members = C.materialize(groups.select("doc_id").distinct(), "members")
     sets = C.materialize(full_sets(source.join(members, "doc_id", "left_semi")), "sets")
 
     links, tried = sets.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).limit(0), None
@@ -312,15 +350,19 @@ def linked(docs: DataFrame, text: str = "text", id_column: str = "doc_id", perce
                 break
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = C.materialize(confirm(pairs, sets, percent).coalesce(tasks), "links")
+        left = C.materialize(plausible(pairs, known, percent), "plausible")
+        found = C.materialize(confirm(left, sets, percent), "links")
         links = links.unionByName(found)
         if step == HUB_ROUNDS or not found.isEmpty():
             of = C.materialize(connected_components(links).coalesce(tasks), "components")
-    linked = classes.join(of.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select(*whole, F.coalesce("component", "rep").alias("component_id"))
-    # Copies of one text may be a third of all rows: only classes that are not their single document's own are joined,
-    # and adaptive execution splits what is left of a hot class.
-    joined = linked.join(classes.select(*whole, "rep", "last"), whole).where("rep != last OR component_id != rep").select(*whole, "component_id")
-    out = prints.join(joined, whole, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    # Classes whose component is not their single document's own; hot ones, HOT at most, go to the rows by broadcast.
+    by_class = classes.join(of.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").where("rep != last OR component != rep")
+    by_class = C.materialize(by_class.select(*whole, F.coalesce("component", "rep").alias("component_id"), "members"), "linked")
+    bound = prints.count() // HOT
+    hot, rest = by_class.where(F.col("members") > bound).drop("members"), by_class.where(F.col("members") <= bound).drop("members")
+    of_hot = prints.join(F.broadcast(hot), whole)
+    others = prints.join(F.broadcast(hot.select(*whole)), whole, "left_anti").join(rest, whole, "left")
+    out = of_hot.unionByName(others).withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
