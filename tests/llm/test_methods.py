@@ -1,9 +1,11 @@
 """The dealt methods themselves against plain versions of them."""
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from strandlake.llm import _common as C
 from strandlake.llm import toxicity
@@ -72,3 +74,42 @@ def test_likelihoods_are_sums_over_the_table():
                 i = value.get(int.from_bytes(b[k : k + 8], "big"))
                 total += 0 if i is None else (m.toxic[i], m.ordinary[i])
         assert np.allclose(row, total / max(1, len(w)))
+
+
+@pytest.mark.parametrize("kind", ["spread", "clustered"])
+def test_recall_with_lists_skipped(spark, tmp_path, kind, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from strandlake.llm import ann
+
+    rng, n = np.random.default_rng(8), 12_000
+    x = rng.normal(size=(n, 64)) if kind == "spread" else rng.normal(size=(80, 64))[rng.integers(0, 80, n)] + 0.3 * rng.normal(size=(n, 64))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float64()))}), tmp_path / "v.parquet", row_group_size=2000)
+    chosen, real = [], ann.probes_for
+    monkeypatch.setattr(ann, "probes_for", lambda h, c, t: chosen.append((real(h, c, t), len(c))) or chosen[-1][0])
+    got = defaultdict(set)
+    for r in ann.search(spark.read.parquet(str(tmp_path)), F.col("vec_id") % 100 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hit = 0
+    for q in range(0, n, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argpartition(d, 10)[:10].tolist()))
+    assert hit >= 0.95 * n / 10
+    probes, lists = chosen[0]
+    assert probes <= (0.8 if kind == "spread" else 0.1) * lists
+
+
+def test_scan_keeps_every_neighbour_within_a_carried_bound():
+    from strandlake.llm import ann
+
+    rng = np.random.default_rng(3)
+    v, q = rng.normal(size=(500, 40)), rng.normal(size=(30, 40))
+    d = ((q[:, None] - v[None]) ** 2).sum(2)
+    tenth = np.sort(d, axis=1)[:, 9]
+    i, k = ann.scan(q, v, 10, tenth * 1.0001)
+    found = set(zip(i.tolist(), k.tolist(), strict=True))
+    true = {(a, b) for a in range(30) for b in np.flatnonzero(d[a] <= tenth[a]).tolist()}
+    assert len(true & found) >= 0.99 * len(true) and all(d[a, b] <= tenth[a] * 1.001 for a, b in found)
+    assert len(ann.scan(q, v[:5], 10)[0]) == 150 and len(ann.scan(q[:0], v, 10)[0]) == 0
