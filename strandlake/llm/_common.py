@@ -54,9 +54,29 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class batch_rows:
+    """Arrow batches of so many rows for the plans that are made and run inside; the session's setting comes back."""
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def __init__(self, spark: SparkSession, rows: int):
+        self.spark, self.rows = spark, rows
+
+    def __enter__(self) -> None:
+        self.old = self.spark.conf.get(self.key)
+        self.spark.conf.set(self.key, str(self.rows))
+
+    def __exit__(self, *_) -> None:
+        self.spark.conf.set(self.key, self.old)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of Arrow batches, so that a batch of long texts stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound the rows of Arrow batches, so that a batch of long texts stays small; smaller settings stay.
+
+    Results are lazy, so the setting must outlast the call: it is the session's, as its other Arrow settings are.
+    """
+    if int(spark.conf.get(batch_rows.key)) > ARROW_ROWS or int(spark.conf.get(batch_rows.key)) <= 0:
+        spark.conf.set(batch_rows.key, str(ARROW_ROWS))
 
 
 def width(rows: int, per: int = 200_000, least: int = 8) -> int:

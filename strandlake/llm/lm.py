@@ -1,21 +1,33 @@
 """Language-model scores by a weighted backoff automaton over the whole corpus.
 
-The model is a smoothed bigram model as an automaton.  A state is the word read last; an arc (v, w) of a seen bigram
-has weight log10 of (c(vw) + STRENGTH p(w)) / (c(v) + STRENGTH); every other word takes v's failure arc, of weight
-log10 of STRENGTH / (c(v) + STRENGTH), to the root, whose arcs have weight log10 p(w) and lead to the state of w.
-p is the additively smoothed unigram model, so the probabilities after every state sum to one.  One left-to-right
-traversal carries the state from token to token and adds the weights of the arcs that it takes.
+The model is a smoothed trigram model as an automaton.  Its states are the root, the start of a text, every word and
+every word pair that training texts hold.  Arcs read a word:
 
-The automaton of a large corpus fits no machine.  Documents are scored in blocks, and each block gets the part of
-the automaton that its own words can reach:
+* a pair (u, v) has an arc for each w of a seen triple, to the pair (v, w);
+* a word v, and the start, have an arc for each w of a seen pair, to that pair;
+* the root has an arc for every word, to the word's state, or to itself if the word is unseen.
 
-1. each block of documents sends its distinct keys (words and bigrams, as fingerprints) with their training counts,
-   as sorted difference-coded arrays, to shards by key range;
+Where a state has no arc for a word, its failure arc is taken, which reads nothing: from a pair (u, v) to the word v,
+from a word or the start to the root.  With c a training count, N all tokens and V distinct ones, arcs weigh log10 of
+
+    p(w) = (c(w) + ADD) / (N + ADD (V + 1))                 from the root
+    p(w | v) = (c(vw) + PAIR p(w)) / (c(v) + PAIR)          from a word or the start
+    p(w | u v) = (c(uvw) + TRIPLE p(w | v)) / (c(uv) + TRIPLE)
+
+and failure arcs log10 of PAIR / (c(v) + PAIR) and TRIPLE / (c(uv) + TRIPLE), so the probabilities after every state sum
+to one.  One left-to-right traversal of a text carries the state and adds the weights of the arcs that it takes.
+
+The automaton of a large corpus fits no machine.  Documents are scored in blocks, written once, and each block gets
+the part of the automaton that its own words can reach:
+
+1. each block sends its distinct keys (words, pairs and triples, as fingerprints) with their training counts, as
+   sorted difference-coded arrays, to shards by key range;
 2. each shard sums the counts of its keys and replies to every block in the order in which it asked;
-3. each block meets its replies, builds its arcs and walks its texts.
+3. each block meets its replies, builds states and arcs and traverses its texts.
 
 A block or shard holds a bounded number of keys whatever the corpus's size; the frequent keys of natural text occur
-once in a block, so no shard is hot.
+once in a block, so no shard is hot.  A block sends to a shard only if it has keys there: there are never more messages
+than keys.
 """
 
 from __future__ import annotations
@@ -32,19 +44,23 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 #: Tokens of a block of documents, and characters of the corpus to a shard of keys.
-BLOCK_TOKENS, SHARD_CHARS = 1_200_000, 8_000_000
+BLOCK_TOKENS, SHARD_CHARS = 600_000, 4_000_000
 #: Bits of a fingerprint.
 KEY_BITS = 56
-#: Pseudo-count of the backoff distribution in every state; additive smoothing of single words.
-STRENGTH, ADD = 30.0, 0.1
+#: Pseudo-counts of the backoff distribution in the states of words and of pairs; additive smoothing of single words.
+PAIR, TRIPLE, ADD = 30.0, 10.0, 0.1
+#: Runs of tokens that are traversed side by side.
+LANES = 1024
 
 _U = np.uint64
 _LOW = _U((1 << KEY_BITS) - 1)
 _END = _U(0xE5D0F7E5D0F7E5D1)
 _START = _U(0x57A2757A2757A275)
 _A, _B = _U(0xC2B2AE3D27D4EB4F), _U(0x9E3779B97F4A7C15)
-#: The key that counts texts: the count of the state before the first word.
-_TEXTS = (_START & _LOW) & ~_U(1)
+#: The two lowest bits of a key tell its kind; one key of its own counts texts, the visits of the start.
+_WORD, _PAIR, _TRIPLE, _START_KIND = (_U(k) for k in (1, 0, 2, 3))
+_KIND = _U(3)
+_TEXTS = (_START & _LOW) | _START_KIND
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -64,37 +80,112 @@ class Block:
 
     def __init__(self, tokens: np.ndarray, lengths: np.ndarray, held: np.ndarray):
         """tokens: word fingerprints, each document's end included; lengths: tokens of each document."""
-        ends = np.cumsum(lengths)
-        previous = np.empty(len(tokens), _U)
-        previous[1:] = tokens[:-1]
-        previous[ends - lengths] = _START
-        words = (tokens & _LOW) | _U(1)
-        pairs = C.mix(previous * _A + tokens * _B) & _LOW & ~_U(1)
-        self.keys, back = np.unique(np.concatenate([words, pairs, [_TEXTS]]), return_inverse=True)
-        n = len(tokens)
-        self.word, self.pair, self.texts = back[:n], back[n : 2 * n], back[-1]
-        self.state = np.empty(n, np.int64)
-        self.state[1:] = self.word[:-1]
-        self.state[ends - lengths] = self.texts
-        self.lengths, self.held = lengths, held
+        n, begins = len(tokens), np.cumsum(lengths) - lengths
+        self.first = np.zeros(n, bool)
+        self.first[begins] = True
+        later = np.flatnonzero(~self.first)
+        previous = np.full(n, _START, _U)
+        previous[later] = tokens[later - 1]
+        kind = lambda x, k: (x & _LOW & ~_KIND) | k
+        pairs = C.mix(previous * _A + tokens * _B)
+        triples = C.mix(pairs[later - 1] * _A + tokens[later] * _B)
+        self.keys, back = np.unique(np.concatenate([kind(tokens, _WORD), kind(pairs, _PAIR), kind(triples, _TRIPLE), [_TEXTS]]), return_inverse=True)
+        # Places of each token's word, pair and, but for first tokens, triple; of the pair before, for triples.
+        self.word, self.pair, self.triple, self.texts = back[:n], back[n : 2 * n], back[2 * n : -1], back[-1]
+        self.later, self.lengths, self.held = later, lengths, held
 
     def training_counts(self) -> np.ndarray:
         learn = np.repeat(~self.held, self.lengths)
-        counts = np.bincount(self.word[learn], minlength=len(self.keys)) + np.bincount(self.pair[learn], minlength=len(self.keys))
+        count = lambda x: np.bincount(x, minlength=len(self.keys))
+        counts = count(self.word[learn]) + count(self.pair[learn]) + count(self.triple[learn[self.later]])
         counts[self.texts] += int((~self.held).sum())
         return counts
 
-    def walk(self, counts: np.ndarray, total: int, kinds: int) -> dict[str, np.ndarray]:
+    def scores(self, counts: np.ndarray, total: int, kinds: int) -> dict[str, np.ndarray]:
         """Per document, from the counts of all keys: known tokens, base score and the automaton's score."""
-        c, state, pair = counts[self.word], counts[self.state], counts[self.pair]
-        p = (c + ADD) / (total + ADD * (kinds + 1))
-        root = np.log10(p)
-        failure = np.log10(STRENGTH / (state + STRENGTH))
-        arc = np.log10((pair + STRENGTH * p) / (state + STRENGTH))
-        weight = np.where(pair > 0, arc, failure + root)
-        first = np.cumsum(self.lengths) - self.lengths
-        add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
-        return {"n_known": add((c > 0).astype(np.int64)), "base_score": add(root), "score": add(weight)}
+        machine = Automaton(self, counts, total, kinds)
+        begins = np.cumsum(self.lengths) - self.lengths
+        add = lambda x: np.add.reduceat(x, begins) if len(begins) else np.zeros(0)
+        return {"n_known": add((counts[self.word] > 0).astype(np.int64)), "base_score": add(machine.root_weight[machine.label]), "score": add(machine.traverse(self.first))}
+
+
+class Automaton:
+    """States, arcs and failure arcs that the words of a block can reach.
+
+    State 0 is the root, 1 the start, then come the block's words and its seen pairs.  An arc is found by its state and
+    word in one sorted table; the root's arcs are indexed by word.
+    """
+
+    def __init__(self, b: Block, counts: np.ndarray, total: int, kinds: int):
+        kind = b.keys & _KIND
+        word_of = np.cumsum(kind == _WORD) - 1
+        self.words = v = int((kind == _WORD).sum())
+        self.label = word_of[b.word]
+        seen = counts[kind == _WORD]
+        p1 = (seen + ADD) / (total + ADD * (kinds + 1))
+        self.root_weight = np.log10(p1)
+        self.root_to = np.where(seen > 0, 2 + np.arange(v), 0)
+        # Seen pairs: the state before, the word read, and the state that reading it leads to.
+        pair_key = np.flatnonzero((kind == _PAIR) & (counts > 0))
+        state_of_pair = np.zeros(len(b.keys), np.int64)
+        state_of_pair[pair_key] = 2 + v + np.arange(len(pair_key))
+        before, read = np.zeros(len(b.keys), np.int64), np.zeros(len(b.keys), np.int64)
+        before[b.pair[b.first]] = 1
+        before[b.pair[b.later]] = 2 + self.label[b.later - 1]
+        read[b.pair] = self.label
+        context = np.concatenate([[0, counts[b.texts]], seen])  # visits of the root, unused, the start and words
+        p2 = np.zeros(len(b.keys))
+        p2[b.pair] = (counts[b.pair] + PAIR * p1[self.label]) / (context[before[b.pair]] + PAIR)
+        # Seen triples, once each: of any token that holds one.
+        triple_key, at = np.unique(b.triple, return_index=True)
+        at = b.later[at[counts[triple_key] > 0]]
+        triple_key = triple_key[counts[triple_key] > 0]
+        pair_before, pair_here = b.pair[at - 1], b.pair[at]
+        p3 = (counts[triple_key] + TRIPLE * p2[pair_here]) / (counts[pair_before] + TRIPLE)
+        arcs = np.concatenate([before[pair_key] * v + read[pair_key], state_of_pair[pair_before] * v + self.label[at]])
+        order = np.argsort(arcs)
+        self.arcs = arcs[order]
+        self.weight = np.log10(np.concatenate([p2[pair_key], p3]))[order]
+        self.to = np.concatenate([state_of_pair[pair_key], state_of_pair[pair_here]])[order]
+        self.fail_to = np.concatenate([np.zeros(2 + v, np.int64), 2 + read[pair_key]])
+        self.fail_weight = np.concatenate([np.log10(PAIR / (context + PAIR)), np.log10(TRIPLE / (counts[pair_key] + TRIPLE))])
+
+    def traverse(self, first: np.ndarray) -> np.ndarray:
+        """The weight that each token adds; first marks the first token of a text, before which the state is the start.
+
+        Many runs of tokens are traversed side by side.  A run begins two tokens early at the root, which is enough to
+        be in the right state at its own first token.
+        """
+        n = len(first)
+        out, size = np.zeros(n), -(-n // LANES)
+        begins = np.arange(0, n, max(1, size))
+        ends = np.minimum(begins + size, n)
+        state = np.zeros(len(begins), np.int64)
+        for t in range(-2, size):
+            at = begins + t
+            on = (at >= 0) & (at < ends)
+            lanes, at = np.flatnonzero(on), at[on]
+            now = np.where(first[at], 1, state[lanes])
+            weight, label = np.zeros(len(at)), self.label[at]
+            todo = np.arange(len(at))
+            while len(todo):
+                root = now[todo] == 0
+                done = todo[root]
+                weight[done] += self.root_weight[label[done]]
+                now[done] = self.root_to[label[done]]
+                todo = todo[~root]
+                key = now[todo] * self.words + label[todo]
+                arc = np.minimum(np.searchsorted(self.arcs, key), max(0, len(self.arcs) - 1))
+                hit = self.arcs[arc] == key if len(self.arcs) else np.zeros(len(todo), bool)
+                weight[todo[hit]] += self.weight[arc[hit]]
+                now[todo[hit]] = self.to[arc[hit]]
+                todo = todo[~hit]
+                weight[todo] += self.fail_weight[now[todo]]
+                now[todo] = self.fail_to[now[todo]]
+            state[lanes] = now
+            if t >= 0:
+                out[at] = weight
+        return out
 
 
 def _tokens(words: C.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -129,23 +220,47 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> _U(KEY_BITS - 32)) * _U(shards) >> _U(32)).astype(np.int64)
 
 
-def ask(rows: DataFrame, shards: int) -> DataFrame:
+BLOCK_SCHEMA = "block long, texts long, size long, words long, ids binary, nulls binary, held binary, lengths binary, vocabulary binary, tokens binary"
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """BLOCK_SCHEMA: the documents (doc_id, held_out, text) of every block as packed arrays, written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, own, tokens, lengths in _blocks(batches):
+            vocabulary, back = np.unique(tokens, return_inverse=True)
+            out = [[block], [len(ids)], [len(tokens)], [len(vocabulary)], [ids.fill_null(0).to_numpy(zero_copy_only=False).tobytes()], [np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes()], [np.packbits(own).tobytes()], [pack(lengths)], [pack(np.diff(vocabulary, prepend=_U(0)))], [pack(back)]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k < 4 else pa.binary()) for k, x in enumerate(out)], names=["block", "texts", "size", "words", "ids", "nulls", "held", "lengths", "vocabulary", "tokens"])
+
+    return rows.mapInArrow(run, BLOCK_SCHEMA)
+
+
+def _block_of(r: dict | pd.Series) -> Block:
+    vocabulary = np.cumsum(unpack(r["vocabulary"], r["words"]), dtype=_U)
+    own = np.unpackbits(np.frombuffer(r["held"], np.uint8), count=r["texts"]).astype(bool)
+    return Block(vocabulary[unpack(r["tokens"], r["size"]).astype(np.int64)], unpack(r["lengths"], r["texts"]).astype(np.int64), own)
+
+
+def ask(written: DataFrame, shards: int) -> DataFrame:
     """(block, shard, n, keys, counts): what every block asks of every shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, held, tokens, lengths in _blocks(batches):
-            b = Block(tokens, lengths, held)
-            counts = b.training_counts()
-            cuts = np.searchsorted(_shard_of(b.keys, shards), np.arange(shards + 1))
-            out = [(s, int(z - a), pack(np.diff(b.keys[a:z], prepend=_U(0))), pack(counts[a:z])) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
-            shard, n, keys, own = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), pa.array(shard, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(own, pa.binary())], names=["block", "shard", "n", "keys", "counts"])
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                b = _block_of(r)
+                counts = b.training_counts()
+                cuts = np.searchsorted(_shard_of(b.keys, shards), np.arange(shards + 1))
+                out = [(s, int(z - a), pack(np.diff(b.keys[a:z], prepend=_U(0))), pack(counts[a:z])) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
+                shard, n, keys, own = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]] * len(out), pa.int64()), pa.array(shard, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(own, pa.binary())], names=["block", "shard", "n", "keys", "counts"])
 
-    return rows.mapInArrow(run, "block long, shard long, n long, keys binary, counts binary")
+    needed = written.select("block", "texts", "size", "words", "held", "lengths", "vocabulary", "tokens")
+    return needed.mapInArrow(run, "block long, shard long, n long, keys binary, counts binary")
 
 
 def reply(asked: DataFrame) -> DataFrame:
-    """(block, shard, n, check, counts, tokens, kinds): total counts in the order asked.
+    """(block, shard, n, counts, tokens, kinds): total counts in the order asked.
 
     tokens and kinds, on one row of each shard, are its sums of counts and numbers of words with a count.
     """
@@ -157,16 +272,15 @@ def reply(asked: DataFrame) -> DataFrame:
         counts = np.concatenate([unpack(c, n) for c, n in zip(pdf["counts"], sizes, strict=True)]).astype(np.int64)
         own, back = np.unique(keys, return_inverse=True)
         total = np.bincount(back, counts, len(own)).astype(np.int64)
-        word = (own & _U(1)) == 1
+        word = (own & _KIND) == _WORD
         stops = np.cumsum(sizes)
         out = pdf[["block", "shard", "n"]].copy()
-        out["check"] = [int(keys[a:z].sum(dtype=_U).view(np.int64)) for a, z in zip(stops - sizes, stops, strict=True)]
         out["counts"] = [pack(total[back[a:z]]) for a, z in zip(stops - sizes, stops, strict=True)]
         out["tokens"] = [int(total[word].sum())] + [0] * (len(out) - 1)
         out["kinds"] = [int((total[word] > 0).sum())] + [0] * (len(out) - 1)
         return out
 
-    return asked.groupBy("shard").applyInPandas(run, "block long, shard long, n long, check long, counts binary, tokens long, kinds long")
+    return asked.groupBy("shard").applyInPandas(run, "block long, shard long, n long, counts binary, tokens long, kinds long")
 
 
 def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", held_out=None) -> DataFrame:
@@ -174,42 +288,33 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", held_o
 
     Learns from the rows where held_out is false; by default it is true where crc32 of the id is divisible by 10,
     and of null ids.  Words are folded to lower case in A-Z; every text, a null one too, has an end as last token.
-    Without training rows every count is 0 and all words are equally likely.  The rows are read twice, and must
-    come in the same partitions and order both times, as files do; a checksum tells if they don't.
+    Without training rows every count is 0 and all words are equally likely.  Blocks are written before they are used
+    twice, so docs may come from any plan.
     """
     spark = docs.sparkSession
     C.small_batches(spark)
     held = F.coalesce(C.remainder(id_column, 10) == 0, F.lit(True)) if held_out is None else held_out
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).alias("text"))
+    written = C.materialize(blocks(rows), "lm-blocks")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, math.ceil(chars / SHARD_CHARS))
-    replies = C.materialize(reply(ask(rows, shards)), "lm-counts")
+    with C.batch_rows(spark, 1):
+        asked = ask(written, shards)
+        replies = C.materialize(reply(asked), "lm-counts")
     total, kinds = (x or 0 for x in replies.agg(F.sum("tokens"), F.sum("kinds")).first())
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, own, tokens, lengths in _blocks(batches):
-            vocabulary, back = np.unique(tokens, return_inverse=True)
-            out = [[block], [len(ids)], [len(tokens)], [len(vocabulary)], [ids.fill_null(0).to_numpy(zero_copy_only=False).tobytes()], [np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes()], [np.packbits(own).tobytes()], [pack(lengths)], [pack(np.diff(vocabulary, prepend=_U(0)))], [pack(back)]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k < 4 else pa.binary()) for k, x in enumerate(out)], names=["block", "texts", "size", "words", "ids", "nulls", "held", "lengths", "vocabulary", "tokens"])
-
-    sent = rows.mapInArrow(send, "block long, texts long, size long, words long, ids binary, nulls binary, held binary, lengths binary, vocabulary binary, tokens binary")
-
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("shard")
         counts = np.concatenate([unpack(c, n) for c, n in zip(right["counts"], right["n"], strict=True)]).astype(np.int64)
         r = left.iloc[0]
-        vocabulary = np.cumsum(unpack(r["vocabulary"], r["words"]), dtype=_U)
-        own = np.unpackbits(np.frombuffer(r["held"], np.uint8), count=r["texts"]).astype(bool)
-        b = Block(vocabulary[unpack(r["tokens"], r["size"]).astype(np.int64)], unpack(r["lengths"], r["texts"]).astype(np.int64), own)
-        if len(left) != 1 or len(b.keys) != len(counts) or b.keys.sum(dtype=_U) != right["check"].to_numpy().view(_U).sum(dtype=_U):
-            raise ValueError("the documents changed between the two reads; materialise them first")
-        got = b.walk(counts, total, kinds)
+        b = _block_of(r)
+        got = b.scores(counts, total, kinds)
         ids = pd.Series(np.frombuffer(r["ids"], np.int64)).astype("Int64")
         ids[np.unpackbits(np.frombuffer(r["nulls"], np.uint8), count=r["texts"]).astype(bool)] = pd.NA
-        return pd.DataFrame({"doc_id": ids, "held_out": own, "n_tokens": b.lengths, **got})
+        return pd.DataFrame({"doc_id": ids, "held_out": b.held, "n_tokens": b.lengths, **got})
 
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = sent.groupBy("block").cogroup(replies.select("block", "shard", "n", "check", "counts").groupBy("block")).applyInPandas(meet, kind)
+    scored = written.groupBy("block").cogroup(replies.select("block", "shard", "n", "counts").groupBy("block")).applyInPandas(meet, kind)
     return scored.withColumn("train_tokens", F.lit(total).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -203,26 +203,10 @@ def normalise(spark: SparkSession, folder: str, target: str, level: int = LEVEL)
                 put_file(f"{target}/{name}.idx", iter(f"{k} {o} {n}\n".encode() for _, k, o, n in index))
                 yield pd.DataFrame(index, columns=["archive", "record", "offset", "length"])
 
-    with _batch_rows(spark, 1):
+    with C.batch_rows(spark, 1):
         return C.materialize(archives.mapInPandas(run, INDEX_SCHEMA), "warc-index")
 
 
-class _batch_rows:
-    """Arrow batches of so many rows for the jobs that run inside."""
-
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-    def __init__(self, spark: SparkSession, rows: int):
-        self.spark, self.rows = spark, rows
-
-    def __enter__(self) -> None:
-        self.old = self.spark.conf.get(self.key)
-        self.spark.conf.set(self.key, str(self.rows))
-
-    def __exit__(self, *_) -> None:
-        self.spark.conf.set(self.key, self.old)
-
-
 def read_records(spark: SparkSession, target: str, payloads: bool = True) -> DataFrame:
     """Every record of the normalised archives, each inflated from its own member by the sidecar index.
 
@@ -249,7 +233,7 @@ def read_records(spark: SparkSession, target: str, payloads: bool = True) -> Dat
                         rows, held = [], 0
                 yield _frame(rows)
 
-    with _batch_rows(spark, 1):
+    with C.batch_rows(spark, 1):
         return C.materialize(archives.mapInPandas(run, RECORD_SCHEMA), "warc-records")
 
 

@@ -113,3 +113,96 @@ def test_scan_keeps_every_neighbour_within_a_carried_bound():
     true = {(a, b) for a in range(30) for b in np.flatnonzero(d[a] <= tenth[a]).tolist()}
     assert len(true & found) >= 0.99 * len(true) and all(d[a, b] <= tenth[a] * 1.001 for a, b in found)
     assert len(ann.scan(q, v[:5], 10)[0]) == 150 and len(ann.scan(q[:0], v, 10)[0]) == 0
+
+
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute_automaton(texts, held):
+    """log10 probabilities by walking dictionaries of states, arcs and failure arcs; texts: lists of words with an end."""
+    from strandlake.llm import lm
+
+    c1, c2, c3 = Counter(), Counter(), Counter()
+    for t, h in zip(texts, held, strict=True):
+        if not h:
+            c1.update(t)
+            s = ["<s>", *t]
+            c1["<s>"] += 1
+            c2.update(zip(s, s[1:]))
+            c3.update(zip(s, s[1:], s[2:]))
+    starts = c1.pop("<s>", 0)
+    n, v = sum(c1.values()), len(c1)
+    visits = {**c1, "<s>": starts}
+    p1 = lambda w: (c1[w] + lm.ADD) / (n + lm.ADD * (v + 1))
+    p2 = lambda a, w: (c2[a, w] + lm.PAIR * p1(w)) / (visits.get(a, 0) + lm.PAIR)
+    arcs = {((a,), w): (math.log10(p2(a, w)), (a, w)) for a, w in c2}
+    arcs |= {((a, b), w): (math.log10((k + lm.TRIPLE * p2(b, w)) / (c2[a, b] + lm.TRIPLE)), (b, w)) for (a, b, w), k in c3.items()}
+    fail = lambda s: math.log10(lm.PAIR / (visits.get(s[0], 0) + lm.PAIR)) if len(s) == 1 else math.log10(lm.TRIPLE / (c2[s] + lm.TRIPLE))
+    out = []
+    for t in texts:
+        state, score = ("<s>",), 0.0
+        for w in t:
+            while state and (state, w) not in arcs:
+                score += fail(state)
+                state = state[1:]
+            if state:
+                x, state = arcs[state, w]
+            else:
+                x, state = math.log10(p1(w)), (w,) if c1[w] else ()
+            score += x
+        out.append((len(t), sum(c1[w] > 0 for w in t), n, sum(math.log10(p1(w)) for w in t), score))
+    return out
+
+
+def test_language_model(spark, monkeypatch):
+    import re
+    import zlib
+
+    from strandlake.llm import lm
+
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 500)
+    monkeypatch.setattr(lm, "SHARD_CHARS", 4_000)
+    rows = [(k, sentence(k, 5 + 7 * k, WORDS + [f"v{j}" for j in range(60)])) for k in range(60)]
+    rows += [(100, None), (101, ""), (102, " \n"), (103, "Only The UNSEEN zzz qqq the of"), (104, rows[40][1]), (105, " ".join(f"w{k % 97}x{k % 13}" for k in range(20_000))), (106, "the"), (106, "the"), (None, rows[3][1])]
+    texts = [[*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(FOLD)), None] for _, t in rows]
+    held = [k is None or zlib.crc32(str(k).encode()) % 10 == 0 for k, _ in rows]
+    want = Counter((k, h, *(round(x, 6) for x in r)) for (k, _), h, r in zip(rows, held, brute_automaton(texts, held), strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"block": F.lit(1), "score": F.lit("mine")})
+    for lanes in (1024, 3):
+        monkeypatch.setattr(lm, "LANES", lanes)
+        got = Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in lm.score(docs.repartition(3)).collect())
+        assert got == want
+    assert lm.score(docs.limit(0)).count() == 0
+    none = lm.score(docs, held_out=F.lit(True)).first()
+    assert none["train_tokens"] == 0 and none["n_known"] == 0
+
+
+def test_automaton_sums_to_one():
+    from strandlake.llm import lm
+
+    tokens = np.array([11, 12, 11, 13, 12, 11, 12, 13, 14], np.uint64) * np.uint64(1 << 20)
+    b = lm.Block(tokens, np.array([9]), np.array([False]))
+    counts = dict(zip(b.keys.tolist(), b.training_counts().tolist(), strict=True))
+    word = [c for k, c in counts.items() if k & 3 == 1]
+    n, v = sum(word), len(word)
+
+    def score(text):
+        x = lm.Block(np.array(text, np.uint64) * np.uint64(1 << 20), np.array([len(text)]), np.array([True]))
+        return x.scores(np.array([counts.get(k, 0) for k in x.keys.tolist()]), n, v)["score"][0]
+
+    for before in ([11, 12], [12], [13, 13], [99], [99, 11]):
+        assert math.isclose(sum(10 ** (score([*before, w]) - score(before)) for w in (11, 12, 13, 14, 98)), 1.0, rel_tol=1e-9)
+
+
+def test_lanes_do_not_matter(monkeypatch):
+    from strandlake.llm import lm
+
+    rng = np.random.default_rng(2)
+    lengths = np.array([1, 40, 2, 1, 300, 7])
+    b = lm.Block(rng.integers(1, 9, lengths.sum()).astype(np.uint64) * np.uint64(1 << 20), lengths, np.zeros(6, bool))
+    counts = b.training_counts() - (rng.random(len(b.keys)) < 0.3)
+    got = []
+    for lanes in (1, 3, 50, 1024):
+        monkeypatch.setattr(lm, "LANES", lanes)
+        got.append(b.scores(np.maximum(counts, 0), 351, 8)["score"])
+    assert all(np.allclose(g, got[0]) for g in got)

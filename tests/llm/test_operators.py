@@ -154,45 +154,6 @@ def test_retrieval_prefers_like_tails():
     assert {int(x) % 2 for x in shard.like(0)[:5]} == {0}
 
 
-def test_language_model(docs, monkeypatch):
-    monkeypatch.setattr(lm, "BLOCK_TOKENS", 500)
-    monkeypatch.setattr(lm, "SHARD_CHARS", 40_000)
-    rows = [(r["doc_id"], [*words((r["text"] or "").translate(FOLD)), None]) for r in docs.collect()]
-    held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in rows}
-    c, pairs, texts = Counter(), Counter(), 0
-    for d, t in rows:
-        if not held[d]:
-            c.update(t)
-            pairs.update(zip([0, *t[:-1]], t))
-            texts += 1
-    n, v = sum(c.values()), len(c)
-    state = {**c, 0: texts}
-    got = sorted(lm.score(docs).collect())
-    for (d, t), r in zip(sorted(rows, key=lambda x: (x[0], len(x[1]))), got, strict=True):
-        p = [(c[x] + 0.1) / (n + 0.1 * (v + 1)) for x in t]
-        want = sum(math.log10((pairs[(a, b)] + lm.STRENGTH * q) / (state.get(a, 0) + lm.STRENGTH)) for a, b, q in zip([0, *t[:-1]], t, p))
-        assert (r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (d, held[d], len(t), sum(c[x] > 0 for x in t), n)
-        assert math.isclose(r["base_score"], sum(map(math.log10, p)), rel_tol=1e-9) and math.isclose(r["score"], want, rel_tol=1e-9)
-    assert lm.score(docs.limit(0)).count() == 0
-
-
-def test_automaton_sums_to_one(monkeypatch):
-    tokens = np.array([11, 12, 11, 13, 12, 11], np.uint64) * np.uint64(1 << 20)
-    b = lm.Block(tokens, np.array([6]), np.array([False]))
-    counts = b.training_counts()
-    word = counts[np.unique(b.word)]
-    n, v = int(word.sum()), len(word)
-    total = 0.0
-    for w in (11, 12, 13, 99):
-        x = lm.Block(np.array([12, w], np.uint64) * np.uint64(1 << 20), np.array([2]), np.array([True]))
-        known = dict(zip(b.keys.tolist(), counts.tolist()))
-        got = x.walk(np.array([known.get(k, 0) for k in x.keys.tolist()]), n, v)["score"][0]
-        alone = lm.Block(tokens[1:2], np.array([1]), np.array([True]))
-        first = alone.walk(np.array([known.get(k, 0) for k in alone.keys.tolist()]), n, v)["score"][0]
-        total += 10 ** (got - first)
-    assert math.isclose(total, 1.0, rel_tol=1e-9)
-
-
 def test_toxicity_learns_rare_forms(spark):
     rng = np.random.default_rng(3)
     rows, labels = [], []
