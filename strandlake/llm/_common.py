@@ -79,6 +79,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(batch_rows.key, str(ARROW_ROWS))
 
 
+#: A class of equal rows is hot if it has more than one row in so many; so there are at most so many hot classes.
+HOT = 1000
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], total: int, how: str) -> DataFrame:
+    """rows joined with classes, one row to each key with the number of its rows in members (dropped here).
+
+    Hot classes, HOT at most, are broadcast, so that their rows stay where they are; the rest is joined by shuffling.
+    """
+    hot, rest = (classes.where(c).drop("members") for c in (F.col("members") > total // HOT, F.col("members") <= total // HOT))
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(cold.join(rest, keys, how))
+
+
 def width(rows: int, per: int = 200_000, least: int = 8) -> int:
     """Tasks for a stage over so many rows: small tables need not the session's number of shuffle partitions."""
     return max(least, -(-rows // per))

@@ -39,8 +39,6 @@ HUB_ROUNDS = 2
 SMALL_GROUP, BLOCK, BLOCK_ITEMS = 32, 256, 1 << 21
 #: Registers whose binomial error an estimate has at least: measured over sets of 5 to 3,000 shingles.
 EFFECTIVE = 300
-#: A class of equal sets is hot if it has more than this share of all rows: there are at most so many of them.
-HOT = 1000
 
 _U = np.uint64
 _rng = np.random.default_rng(0xB0B)
@@ -312,7 +310,8 @@ def linked(docs: DataFrame, text: str = "text", id_column: str = "doc_id", perce
     classes = prints.where("n_shingles > 0").groupBy(*whole).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count("*").alias("members"))
     classes = C.materialize(classes, "classes")
     # Texts of representatives: all but the documents that repeat an earlier set.
-    copies = prints.where("n_shingles > 0").join(classes.where("rep != last"), whole).where("doc_id != rep").select("doc_id")
+    repeated = classes.where("rep != last").drop("last")
+    copies = C.join_classes(prints.where("n_shingles > 0"), repeated, whole, prints.count(), "inner").where("doc_id != rep").select("doc_id")
     reps = source.join(C.materialize(copies, "copies"), "doc_id", "left_anti")
     known = C.materialize(sketched(reps), "sketches")
     of_key = W.partitionBy("key")
@@ -355,14 +354,10 @@ def linked(docs: DataFrame, text: str = "text", id_column: str = "doc_id", perce
         links = links.unionByName(found)
         if step == HUB_ROUNDS or not found.isEmpty():
             of = C.materialize(connected_components(links).coalesce(tasks), "components")
-    # Classes whose component is not their single document's own; hot ones, HOT at most, go to the rows by broadcast.
+    # Classes whose component is not their single document's own.
     by_class = classes.join(of.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").where("rep != last OR component != rep")
     by_class = C.materialize(by_class.select(*whole, F.coalesce("component", "rep").alias("component_id"), "members"), "linked")
-    bound = prints.count() // HOT
-    hot, rest = by_class.where(F.col("members") > bound).drop("members"), by_class.where(F.col("members") <= bound).drop("members")
-    of_hot = prints.join(F.broadcast(hot), whole)
-    others = prints.join(F.broadcast(hot.select(*whole)), whole, "left_anti").join(rest, whole, "left")
-    out = of_hot.unionByName(others).withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = C.join_classes(prints, by_class, whole, prints.count(), "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 import base64
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import ExitStack, contextmanager
 
 import pandas as pd
 import pyarrow as pa
@@ -35,21 +36,23 @@ def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def put_file(uri: str, parts: Iterator[bytes]) -> None:
-    """Write a file whole or not at all."""
+@contextmanager
+def new_file(uri: str) -> Iterator[pa.NativeFile]:
+    """A stream into a file that is written whole or not at all."""
     store, path = _filesystem(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
     temporary = f"{path}.{uuid.uuid4().hex}.tmp"
-    with store.open_output_stream(temporary) as out:
-        for x in parts:
-            out.write(x)
+    with store.open_output_stream(temporary, compression=None) as out:
+        yield out
     store.move(temporary, path)
 
 
-def get_file(uri: str) -> bytes:
+def pieces_of(uri: str, size: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file, so many at a time."""
     store, path = _filesystem(uri)
-    with store.open_input_stream(path) as f:
-        return f.read()
+    with store.open_input_stream(path, compression=None) as f:
+        while piece := f.read(size):
+            yield piece
 
 
 def _clean(x: str | None) -> bytes:
@@ -92,21 +95,21 @@ class RecordSplitter:
         del self.rest[:at]
 
 
-def inflate(data: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
-    """The content of a gzip file of one or of many members, inflated once in pieces of bounded size."""
-    engine, left = zlib.decompressobj(31), data
-    while left:
-        out = engine.decompress(left, piece)
-        if out:
-            yield out
-        left = engine.unconsumed_tail
-        if engine.eof:
-            left = engine.unused_data
-            engine = zlib.decompressobj(31)
-        elif not left and not out:
-            break
+def inflate(pieces: Iterable[bytes], most: int = 1 << 20) -> Iterator[bytes]:
+    """The content of a gzip stream of one or of many members, inflated once, at most so many bytes at a time."""
+    engine, some = zlib.decompressobj(31), False
+    for data in pieces:
+        while data:
+            if engine.eof:
+                engine = zlib.decompressobj(31)
+            some = True
+            if out := engine.decompress(data, most):
+                yield out
+            data = engine.unused_data if engine.eof else engine.unconsumed_tail
     if tail := engine.flush():
         yield tail
+    if some and not engine.eof:
+        raise ValueError("the gzip stream ends too early")
 
 
 def parse_record(record: bytes) -> tuple:
@@ -132,47 +135,49 @@ def classify(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """
     sized = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html").cast("long"))
     # Pages travel with ids and digests alone; only revisits come back to the payloads.
-    keys = sized.select("page_id", "digest", "size").where(F.col("size") >= min_revisit_bytes)
-    again = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low")).where("refers_to != low").drop("low")
-    revisits = C.materialize(keys.join(again, "digest").where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct(), "warc-revisits")
+    keys = C.materialize(sized.select("page_id", "digest", "size").where(F.col("size") >= min_revisit_bytes), "warc-keys")
+    again = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low"), F.count("*").alias("members")).where("refers_to != low").drop("low")
+    met = C.join_classes(keys, C.materialize(again, "warc-repeated"), ["digest"], keys.count(), "inner")
+    revisits = C.materialize(met.where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct(), "warc-revisits")
     few = revisits.count() <= BROADCAST_ROWS
     return sized.join(F.broadcast(revisits) if few else revisits, ["page_id", "digest"], "left")
 
 
 def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL) -> DataFrame:
-    """Write every page into archives below folder, each one gzip stream; returns (archive, records) as written."""
+    """Write every page into archives below folder, each one gzip stream; returns (archive, records) as written.
+
+    Without pages the folder is made and stays empty.
+    """
     todo = classify(pages, min_revisit_bytes)
+    store, path = _filesystem(folder)
+    store.create_dir(path, recursive=True)
     C.small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, serial, names, counts = TaskContext.get().partitionId(), 0, [], []
-        zipper, out, size, n = None, [], 0, 0
-
-        def close():
-            nonlocal serial, zipper, out, size, n
-            out.append(zipper.flush())
-            name = f"part-{part:06d}-{serial:04d}.warc.gz"
-            put_file(f"{folder}/{name}", iter(out))
-            names.append(name)
-            counts.append(n)
-            serial, zipper, out, size, n = serial + 1, None, [], 0, 0
-
-        for b in batches:
-            cols = {k: b.column(k) for k in b.schema.names}
-            for i in range(b.num_rows):
-                row = {k: v[i].as_py() for k, v in cols.items()}
-                payload = row["html"].encode()
-                revisit = row["refers_to"] is not None
-                digest = base64.b32encode(bytes.fromhex(row["digest"])).decode()
-                zipper = zipper or zlib.compressobj(level, zlib.DEFLATED, 31)
-                out.append(zipper.compress(record_bytes(row["page_id"], row["url"], "revisit" if revisit else "response", digest, len(payload), row["refers_to"], b"" if revisit else payload)))
-                size, n = size + len(payload), n + 1
-                if size >= archive_bytes:
-                    close()
-        if zipper:
-            close()
+        part, names, counts = TaskContext.get().partitionId(), [], []
+        with ExitStack() as stack:
+            out = zipper = None
+            for b in batches:
+                cols = {k: b.column(k) for k in b.schema.names}
+                for i in range(b.num_rows):
+                    row = {k: v[i].as_py() for k, v in cols.items()}
+                    payload = row["html"].encode()
+                    revisit = row["refers_to"] is not None
+                    digest = base64.b32encode(bytes.fromhex(row["digest"])).decode()
+                    if zipper is None:
+                        names.append(f"part-{part:06d}-{len(names):04d}.warc.gz")
+                        counts.append(0)
+                        size, zipper, out = 0, zlib.compressobj(level, zlib.DEFLATED, 31), stack.enter_context(new_file(f"{folder}/{names[-1]}"))
+                    out.write(zipper.compress(record_bytes(row["page_id"], row["url"], "revisit" if revisit else "response", digest, len(payload), row["refers_to"], b"" if revisit else payload)))
+                    size, counts[-1] = size + len(payload), counts[-1] + 1
+                    if size >= archive_bytes:
+                        out.write(zipper.flush())
+                        zipper = None
+                        stack.close()
+            if zipper:
+                out.write(zipper.flush())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["archive", "records"])
 
     return C.materialize(todo.mapInArrow(run, "archive string, records long"), "warc-written")
@@ -181,30 +186,38 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, ar
 def normalise(spark: SparkSession, folder: str, target: str, level: int = LEVEL) -> DataFrame:
     """Rewrite every archive of folder into target, a member to each record; returns the index, INDEX_SCHEMA.
 
-    The same index is written beside each archive as archive.idx: record, offset and length, a line each.
+    The same index is written beside each archive as archive.idx: record, offset and length, a line each.  Archives
+    are read and written as streams: a task holds one record and the lines of one index, whatever the archive's size.
+    An archive that ends inside its stream or inside a record raises.
     """
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "content")
+    store, path = _filesystem(target)
+    store.create_dir(path, recursive=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
+            for path in b["path"]:
                 name = path.rpartition("/")[2]
-                index, members, offset, splitter = [], [], 0, RecordSplitter()
-                for piece in inflate(content):
-                    for record in splitter.feed(piece):
-                        z = zlib.compressobj(level, zlib.DEFLATED, 31)
-                        m = z.compress(record) + z.flush()
-                        index.append((name, len(index), offset, len(m)))
-                        members.append(m)
-                        offset += len(m)
-                if splitter.rest:
-                    raise ValueError(f"{path} ends inside a record")
-                put_file(f"{target}/{name}", iter(members))
-                put_file(f"{target}/{name}.idx", iter(f"{k} {o} {n}\n".encode() for _, k, o, n in index))
+                index, offset, splitter = [], 0, RecordSplitter()
+                with new_file(f"{target}/{name}") as members, new_file(f"{target}/{name}.idx") as lines:
+                    for piece in inflate(pieces_of(path)):
+                        for record in splitter.feed(piece):
+                            z = zlib.compressobj(level, zlib.DEFLATED, 31)
+                            m = z.compress(record) + z.flush()
+                            lines.write(f"{len(index)} {offset} {len(m)}\n".encode())
+                            index.append((name, len(index), offset, len(m)))
+                            members.write(m)
+                            offset += len(m)
+                    if splitter.rest:
+                        raise ValueError(f"{path} ends inside a record")
                 yield pd.DataFrame(index, columns=["archive", "record", "offset", "length"])
 
     with C.batch_rows(spark, 1):
-        return C.materialize(archives.mapInPandas(run, INDEX_SCHEMA), "warc-index")
+        return C.materialize(_archives(spark, folder).mapInPandas(run, INDEX_SCHEMA), "warc-index")
+
+
+def _archives(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of the archives of a folder; their content is left to the tasks."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path")
 
 
 def read_records(spark: SparkSession, target: str, payloads: bool = True) -> DataFrame:
@@ -212,29 +225,30 @@ def read_records(spark: SparkSession, target: str, payloads: bool = True) -> Dat
 
     payloads=False leaves the payload column null once a response's size and digest have been checked against it.
     """
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(target).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
         for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
+            for path in b["path"]:
                 rows, held = [], 0
-                for line in get_file(f"{target}/{path.rpartition('/')[2]}.idx").splitlines():
-                    _, offset, length = map(int, line.split())
-                    row = parse_record(zlib.decompress(content[offset : offset + length], 31))
-                    if row[2] == "response":
-                        if len(row[6]) != row[3] or base64.b32encode(hashlib.sha1(row[6]).digest()).decode() != row[4]:
-                            raise ValueError(f"record of page {row[0]} does not hold its payload")
-                        held += len(row[6])
-                    rows.append(row if payloads else (*row[:6], None))
-                    if held >= 4 << 20:
-                        yield _frame(rows)
-                        rows, held = [], 0
+                store, own = _filesystem(path)
+                with store.open_input_file(own) as members:
+                    for line in b"".join(pieces_of(f"{path}.idx")).splitlines():
+                        _, offset, length = map(int, line.split())
+                        row = parse_record(zlib.decompress(members.read_at(length, offset), 31))
+                        if row[2] == "response":
+                            if len(row[6]) != row[3] or base64.b32encode(hashlib.sha1(row[6]).digest()).decode() != row[4]:
+                                raise ValueError(f"record of page {row[0]} does not hold its payload")
+                            held += len(row[6])
+                        rows.append(row if payloads else (*row[:6], None))
+                        if held >= 4 << 20:
+                            yield _frame(rows)
+                            rows, held = [], 0
                 yield _frame(rows)
 
     with C.batch_rows(spark, 1):
-        return C.materialize(archives.mapInPandas(run, RECORD_SCHEMA), "warc-records")
+        return C.materialize(_archives(spark, target).mapInPandas(run, RECORD_SCHEMA), "warc-records")
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

@@ -206,3 +206,25 @@ def test_lanes_do_not_matter(monkeypatch):
         monkeypatch.setattr(lm, "LANES", lanes)
         got.append(b.scores(np.maximum(counts, 0), 351, 8)["score"])
     assert all(np.allclose(g, got[0]) for g in got)
+
+
+def test_warc_of_no_pages_and_of_long_streams(spark, tmp_path):
+    import gzip
+
+    from strandlake.llm import warc
+
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write_archives(none, f"{tmp_path}/none/whole")
+    assert warc.normalise(spark, f"{tmp_path}/none/whole", f"{tmp_path}/none/members").count() == 0
+    assert warc.read_records(spark, f"{tmp_path}/none/members").count() == 0
+    # One stream over members and reads that cut records anywhere.
+    records = [warc.record_bytes(k, "u", "response", "x", 50_000, None, bytes([k % 251]) * 50_000) for k in range(60)]
+    whole = b"".join(records)
+    for pieces in ([gzip.compress(whole)], [gzip.compress(whole[:77_777]) + gzip.compress(whole[77_777:])]):
+        data = pieces[0]
+        cuts = [data[a : a + 1013] for a in range(0, len(data), 1013)]
+        splitter = warc.RecordSplitter()
+        assert [r for x in warc.inflate(cuts, 4096) for r in splitter.feed(x)] == records and not splitter.rest
+        with pytest.raises(ValueError):
+            list(warc.inflate([data[:-9]]))
+    assert list(warc.inflate([])) == []
