@@ -2,11 +2,13 @@
 
 A page is cut into the sequence of its leaf blocks: text between block-level tags.  Each block has a vector of its
 hashed tag path (tags, classes, ids and roles of its open elements), of its hashed words, and of a few sizes.  A
-bidirectional LSTM, in NumPy, reads the whole sequence and labels every block as main text or not.
+bidirectional LSTM, in NumPy, reads the whole sequence, however long, and labels every block as main text or not.
 
-The model is trained here, on a bounded sample of the pages themselves.  Blocks take weak labels from the meaning
-of the elements they stand in; each sampled page is also rearranged with boilerplate of other kinds and with other
-article containers, so that the labels of those are learnt too.
+The model is trained here, on a bounded sample of the pages themselves.  A sampled block's label comes from the meaning
+of the elements it stands in, where they have one; else from its own figures: blocks that other sampled pages repeat,
+and blocks that are mostly links, are boilerplate, and sentences of some length are main text, as is what shares
+their container.  Each sampled page is also rearranged: its article in other containers, often of names without
+meaning, among boilerplate of other kinds, so that the network must read more than names.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,43 +32,97 @@ from . import _common as C
 SAMPLE_PAGES, COPIES = 120, 10
 PATH_DIMS, WORD_DIMS, SIZE_DIMS, HIDDEN = 512, 32, 6, 16
 EPOCHS, RATE, BATCH = 14, 0.02, 96
-#: Blocks of a page that the network reads at a time; longer pages are read in overlapping runs.
-RUN, OVERLAP = 2048, 64
+#: Blocks whose vectors are in memory at a time; both directions carry their states over the runs of longer pages.
+RUN = 2048
 
 # Elements that stand inside a line, elements without end tag, and elements whose content is no text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math iframe object title textarea select option head".split())
+SILENT = frozenset("noscript template svg math object select option optgroup datalist".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 # Elements and name parts that say what they hold.
 MAIN_TAGS = frozenset("article main".split())
-SIDE_TAGS = frozenset("nav header footer aside form button menu dialog figure".split())
+SIDE_TAGS = frozenset("nav header footer aside form button menu dialog".split())
 SIDE_NAMES = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer discussion footer header login menu modal nav navbar navigation newsletter notice pager pagination popup promo promotion related reply responses search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 MAIN_NAMES = frozenset("article articlebody content entry main post story".split())
+#: Of blocks in elements without meaning: least words of a sentence that is main text, share of links that is none.
+SENTENCE_WORDS, LINK_SHARE = 12, 0.5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|</?[A-Za-z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>|[^<]+|<", re.S)
+# A quote that no quote closes before a space, / or > is no quote; such a tag ends at its first >.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|</?[A-Za-z][^\s/>]*(?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*>|</?[A-Za-z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
 
-def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
+class Path(NamedTuple):
+    """The open elements of a block, of fixed size however many they are."""
+
+    bits: int
+    depth: int
+    leaf: str
+    main: bool
+    side: bool
+    silent: bool
+    parent: int
+
+    def below(self, names: tuple[str, ...]) -> Path:
+        """The path of an element in this one: its tag, and its name parts after a dot.
+
+        The header of an article is the article's; any other header is boilerplate.
+        """
+        tag = names[0]
+        bits = self.bits
+        for x in names:
+            bits |= 1 << zlib.crc32(x.encode()) % PATH_DIMS
+        main = self.main or any(x in MAIN_TAGS or (x[0] == "." and x[1:] in MAIN_NAMES) for x in names)
+        side = self.side or any(x in SIDE_TAGS or (x[0] == "." and x[1:] in SIDE_NAMES) for x in names if not (self.main and x == "header"))
+        return Path(bits, self.depth + 1, tag, main, side, self.silent or tag in SILENT, self.bits)
+
+
+TOP = Path(0, 0, "", False, False, False, 0)
+Block = tuple[str, Path, int]
+
+
+def path_of(*names: str) -> Path:
+    """The path of nested elements; a name part belongs to the element before it."""
+    path, own = TOP, []
+    for x in [*names, "end"]:
+        if x[0] != "." and own:
+            path, own = path.below(tuple(own)), []
+        own.append(x)
+    return path
+
+
+def blocks_of(page: str) -> list[Block]:
     """(text, path, characters inside links) of every leaf block with text, in page order.
 
-    Comments, markup and silent elements give nothing.  Unclosed elements end where a parent ends; a block-level
-    start tag ends an open paragraph, and an item ends the item before it.
+    Comments, markup and silent elements give nothing; silent ones split no block.  Unclosed elements, silent ones too,
+    end where a parent ends; a block-level start tag ends an open paragraph, and an item ends the item before it.
+    Time and memory are in proportion to the page, however deep its elements are nested.
     """
-    out: list[tuple[str, tuple[str, ...], int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    out: list[Block] = []
+    stack: list[tuple[str, Path]] = []
+    opened: Counter[str] = Counter()
     text: list[str] = []
     link_depth, linked = 0, 0
 
+    def top() -> Path:
+        return stack[-1][1] if stack else TOP
+
+    def pop() -> str:
+        tag, _ = stack.pop()
+        opened[tag] -= 1
+        return tag
+
     def flush() -> None:
         nonlocal linked
         if text:
             joined = "".join(text)
             t = " ".join((html.unescape(joined) if "&" in joined else joined).split())
             if t:
-                out.append((t, tuple(x for _, names in stack for x in names), linked))
+                path = next((p for _, p in reversed(stack) if not p.silent), TOP) if top().silent else top()
+                out.append((t, path, linked))
             text.clear()
         linked = 0
 
@@ -73,12 +131,13 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         m = _TOKEN.match(page, position)
         tok, position = m.group(), m.end()
         if tok[0] != "<" or tok == "<":
-            text.append(tok)
-            if link_depth:
-                linked += len(tok)
+            if not top().silent:
+                text.append(tok)
+                if link_depth:
+                    linked += len(tok)
             continue
         if tok[1] in "!?":
-            if tok.startswith("<![CDATA["):
+            if tok.startswith("<![CDATA[") and not top().silent:
                 text.append(tok[9:].removesuffix("]]>"))
             continue
         tag = _NAME.match(tok).group(1).lower()
@@ -86,71 +145,94 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if tag in INLINE:
             if tag == "a":
                 link_depth = max(0, link_depth - 1) if closing else link_depth + 1
-            elif tag == "br":
+            elif tag == "br" and not top().silent:
                 text.append(" ")
             continue
-        if not closing and tag in SILENT and tag != "head":
-            flush()
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, position)
-            position = end.end() if end else n
+        if tag in RAW:
+            if not closing and not tok.endswith("/>"):
+                end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, position)
+                position = end.end() if end else n
             continue
-        flush()
-        link_depth = 0
         if closing:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+            if opened[tag] > 0:
+                if not (top().silent and next(x for t, x in reversed(stack) if t == tag).silent):
+                    flush()
+                    link_depth = 0
+                while pop() != tag:
                     pass
+            elif tag not in SILENT:
+                flush()
+                link_depth = 0
             continue
+        if tag in SILENT or top().silent:
+            if tag == "option" and stack and stack[-1][0] == "option":
+                pop()
+            if tag not in VOID and not tok.endswith("/>"):
+                stack.append((tag, top()._replace(silent=True)))
+                opened[tag] += 1
+            continue
+        flush()
+        link_depth = 0
         if stack and (stack[-1][0] == "p" or stack[-1][0] == tag in ("li", "dt", "dd", "tr", "td", "th")):
-            stack.pop()
+            pop()
         if tag in VOID or tok.endswith("/>"):
             continue
         names = [tag]
         if "=" in tok:
             for a in _ATTRIBUTE.finditer(tok):
                 names += [f".{x}" for x in _PARTS.findall((a.group(2) or a.group(3) or a.group(4) or "").lower())]
-        stack.append((tag, tuple(names)))
+        stack.append((tag, top().below(tuple(names))))
+        opened[tag] += 1
     flush()
     return out
 
 
-def weak_label(path: tuple[str, ...]) -> int:
-    """1 in an article's elements and in none of boilerplate; 0 otherwise."""
-    if any(x in SIDE_TAGS or (x[0] == "." and x[1:] in SIDE_NAMES) for x in path):
-        return 0
-    return int(any(x in MAIN_TAGS or (x[0] == "." and x[1:] in MAIN_NAMES) for x in path))
+def weak_labels(page: list[Block], repeated: frozenset[str] = frozenset()) -> list[int]:
+    """1 for main text.  repeated: texts that stand on several sampled pages.
 
-
-def vectors(pages: list[list[tuple[str, tuple[str, ...], int]]]) -> np.ndarray:
-    """One row for each block of the pages, in order: hashed path, hashed words, sizes."""
+    Elements that say what they hold decide.  In others sentences are main text, repeated texts and links are not, and
+    the rest follows the sentences of its container.
+    """
+    sure: list[int | None] = []
+    for t, path, linked in page:
+        if path.side or path.main:
+            sure.append(int(not path.side))
+        elif t in repeated or linked > LINK_SHARE * len(t):
+            sure.append(0)
+        else:
+            sure.append(1 if t[-1] in ".!?…" and t.count(" ") + 1 >= SENTENCE_WORDS else None)
+    votes: Counter[int] = Counter()
+    for x, (_, path, _) in zip(sure, page, strict=True):
+        votes[path.parent] += 0 if x is None else 2 * x - 1
+    return [int(votes[path.parent] > 0) if x is None else x for x, (_, path, _) in zip(sure, page, strict=True)]
+
+
+def vectors(pages: list[list[Block]], places: np.ndarray | None = None) -> np.ndarray:
+    """One row for each block of the pages, in order: hashed path, hashed words, sizes.
+
+    places: where each block lies in its page, from 0 to 1, if the pages given are runs of longer ones.
+    """
     flat = [b for p in pages for b in p]
     out = np.zeros((len(flat), PATH_DIMS + WORD_DIMS + SIZE_DIMS), np.float32)
     if not flat:
         return out
-    known: dict[tuple[str, ...], np.ndarray] = {}
+    known: dict[tuple[int, str], np.ndarray] = {}
     for row, (_, path, _) in zip(out, flat, strict=True):
-        v = known.get(path)
+        v = known.get((path.bits, path.leaf))
         if v is None:
-            v = known[path] = np.zeros(PATH_DIMS, np.float32)
-            for x in {*path}:
-                v[zlib.crc32(x.encode()) % PATH_DIMS] = 1
-            if path:
-                v[zlib.crc32(("leaf:" + path[-1]).encode()) % PATH_DIMS] = 1
+            bits = path.bits | (1 << zlib.crc32(("leaf:" + path.leaf).encode()) % PATH_DIMS if path.leaf else 0)
+            v = known[path.bits, path.leaf] = np.unpackbits(np.frombuffer(bits.to_bytes(PATH_DIMS // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
         row[:PATH_DIMS] = v
-    raw = [t.encode() for t, _, _ in flat]
-    sizes = np.array([len(x) for x in raw], np.int64)
-    offsets = np.concatenate(([0], np.cumsum(sizes)))
     for a, z, data, own in C.chunks(pa.array([t for t, _, _ in flat], pa.large_string())):
         w = C.Words(data, own, fold_case=True)
         counts = np.bincount(w.doc * WORD_DIMS + (w.hashes >> np.uint64(40)).astype(np.int64) % WORD_DIMS, minlength=(z - a) * WORD_DIMS).reshape(z - a, WORD_DIMS)
         out[a:z, PATH_DIMS : PATH_DIMS + WORD_DIMS] = counts / np.maximum(w.counts, 1)[:, None]
         out[a:z, -1] = np.log1p(w.counts) / 6
-    out[:, -2] = np.log1p(sizes) / 8
+        out[a:z, -2] = np.log1p(np.diff(own)) / 8
     out[:, -3] = np.minimum(1, [k / max(1, len(t)) for t, _, k in flat])
     out[:, -4] = [t[-1] in ".!?…" for t, _, _ in flat]
-    out[:, -5] = [len(p) / 10 for _, p, _ in flat]
-    out[:, -6] = np.concatenate([np.arange(len(p)) / max(1, len(p)) for p in pages])
-    assert offsets[-1] == sizes.sum()
+    out[:, -5] = [min(p.depth, 100) / 10 for _, p, _ in flat]
+    out[:, -6] = np.concatenate([np.arange(len(p)) / max(1, len(p)) for p in pages]) if places is None else places
     return out
 
 
@@ -171,12 +253,12 @@ class Labeller:
             self.w |= {f"{k}x": make(d, 4 * h), f"{k}h": make(h, 4 * h), f"{k}0": bias}
         self.w |= {"o": make(2 * h, 1)[:, 0], "o0": np.zeros(1, np.float32)}
 
-    def _direction(self, k: str, x: np.ndarray, mask: np.ndarray, keep: bool):
-        """x: (time, pages, dims) in reading order; returns (time, pages, HIDDEN) and what training needs."""
+    def _direction(self, k: str, x: np.ndarray, mask: np.ndarray, keep: bool, start: tuple | None = None):
+        """x: (time, pages, dims) in reading order, from start; returns (time, pages, HIDDEN), what training needs, the end."""
         t, b, _ = x.shape
         h = HIDDEN
         given = (x.reshape(t * b, -1) @ self.w[f"{k}x"] + self.w[f"{k}0"]).reshape(t, b, 4 * h)
-        state, cell = np.zeros((b, h), np.float32), np.zeros((b, h), np.float32)
+        state, cell = start or (np.zeros((b, h), np.float32), np.zeros((b, h), np.float32))
         out, saved = np.zeros((t, b, h), np.float32), []
         for s in range(t):
             z = given[s] + state @ self.w[f"{k}h"]
@@ -188,7 +270,7 @@ class Labeller:
                 saved.append((i, f, o, g, cell, state, th))
             cell, state = np.where(m, new, cell), np.where(m, o * th, state)
             out[s] = state
-        return out, saved
+        return out, saved, (state, cell)
 
     def _backward(self, k: str, x: np.ndarray, mask: np.ndarray, saved: list, grad: np.ndarray) -> dict:
         t, b, d = x.shape
@@ -210,31 +292,62 @@ class Labeller:
         return {f"{k}x": x.reshape(t * b, d).T @ flat, f"{k}h": dwh, f"{k}0": flat.sum(0)}
 
     def _run(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        f, sf = self._direction("f", x, mask, keep)
-        b, sb = self._direction("b", x[::-1], mask[::-1], keep)
+        f, sf, _ = self._direction("f", x, mask, keep)
+        b, sb, _ = self._direction("b", x[::-1], mask[::-1], keep)
         both = np.concatenate([f, b[::-1]], axis=2)
-        return _sigmoid(both @ self.w["o"] + self.w["o0"]), both, sf, sb
+        return self._labels(both), both, sf, sb
+
+    def _labels(self, both: np.ndarray) -> np.ndarray:
+        return _sigmoid(both @ self.w["o"] + self.w["o0"])
 
     def probabilities(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
         """Of every block of every page; pages of like length are read together."""
         out = [np.zeros(len(s), np.float32) for s in sequences]
-        runs = [(p, a, min(a + RUN, len(s))) for p, s in enumerate(sequences) for a in range(0, len(s), RUN - OVERLAP) if a == 0 or a + OVERLAP < len(s)]
-        runs.sort(key=lambda r: r[2] - r[1])
+        order = sorted((p for p, s in enumerate(sequences) if len(s)), key=lambda p: len(sequences[p]))
         at = 0
-        while at < len(runs):
-            group = runs[at : at + 256]
-            limit = max(1, (1 << 14) // max(1, group[0][2] - group[0][1]))
-            group = group[:limit]
+        while at < len(order):
+            group = order[at : at + 256]
+            group = group[: max(1, (1 << 14) // len(sequences[group[-1]]))]
             at += len(group)
-            x, mask = _padded([sequences[p][a:z] for p, a, z in group])
+            x, mask = _padded([sequences[p] for p in group])
             got = self._run(x, mask)[0]
-            for k, (p, a, z) in enumerate(group):
-                skip = OVERLAP // 2 if a else 0
-                out[p][a + skip : z] = got[skip : z - a, k]
+            for k, p in enumerate(group):
+                out[p] = got[: len(sequences[p]), k]
+        return out
+
+    def long_page(self, page: list[Block]) -> np.ndarray:
+        """Probabilities of one page of any length: each direction reads run after run and carries its state."""
+        n = len(page)
+        runs = [(a, min(a + RUN, n)) for a in range(0, n, RUN)]
+        both = np.zeros((n, 2 * HIDDEN), np.float32)
+        for k, way, columns in (("f", 1, slice(0, HIDDEN)), ("b", -1, slice(HIDDEN, 2 * HIDDEN))):
+            state = None
+            for a, z in runs[::way]:
+                x = vectors([page[a:z]], np.arange(a, z) / n)[::way, None]
+                out, _, state = self._direction(k, x, np.ones((z - a, 1), bool), False, state)
+                both[a:z, columns] = out[::way, 0]
+        return self._labels(both)
+
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        """Probabilities of every block of the pages, with few vectors in memory at a time."""
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(pages):
+            to, blocks = at, 0
+            while to < len(pages) and (to == at or blocks + len(pages[to]) <= 2 * RUN):
+                blocks += len(pages[to])
+                to += 1
+            if blocks > 2 * RUN:
+                out.append(self.long_page(pages[at]))
+            else:
+                flat = vectors(pages[at:to])
+                stops = np.cumsum([len(p) for p in pages[at:to]])
+                out += self.probabilities([flat[z - len(p) : z] for p, z in zip(pages[at:to], stops, strict=True)])
+            at = to
         return out
 
     def train(self, sequences: list[np.ndarray], labels: list[np.ndarray], seed: int = 3) -> None:
-        """Adam on the mean log loss of blocks."""
+        """Adam on the mean log loss of blocks; sequences are pages, long ones in pieces of RUN blocks."""
         rng, step = random.Random(seed), 0
         m1, m2 = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         order = [k for k in range(len(sequences)) if len(sequences[k])]
@@ -244,8 +357,8 @@ class Labeller:
             batches = [order[a : a + BATCH] for a in range(0, len(order), BATCH)]
             rng.shuffle(batches)
             for pick in batches:
-                x, mask = _padded([sequences[k][:RUN] for k in pick])
-                y = _padded([labels[k][:RUN, None].astype(np.float32) for k in pick])[0][:, :, 0]
+                x, mask = _padded([sequences[k] for k in pick])
+                y = _padded([labels[k][:, None].astype(np.float32) for k in pick])[0][:, :, 0]
                 p, both, sf, sb = self._run(x, mask, keep=True)
                 d = np.where(mask, p - y, 0).astype(np.float32) / max(1, mask.sum())
                 grads = {"o": np.einsum("tb,tbh->h", d, both), "o0": np.array([d.sum()], np.float32)}
@@ -267,28 +380,36 @@ def _padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def rearranged(page: list[tuple], rng: random.Random) -> list[tuple[str, tuple[str, ...], int]]:
-    """A page with its article in another container and boilerplate of other kinds before, in and after it."""
-    words = " ".join(t for t, _, _ in page).split() or ["text"]
+def rearranged(article: list[Block], rng: random.Random) -> list[tuple[Block, int]]:
+    """Blocks and labels of an article in another container, with boilerplate of other kinds before, in and after it.
+
+    Containers have a name with meaning, another name, or none; boilerplate in the latter is of links and short texts.
+    """
+    words = " ".join(t for t, _, _ in article).split() or ["text"]
     phrase = lambda low, high: " ".join(rng.choice(words) for _ in range(rng.randint(low, high)))
+    blank = lambda: "." + "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(2, 7)))
     shells = [("article",), ("main",), ("div", ".content"), ("section", ".post"), ("div", ".article"), ("main", "article"), ("div", ".entry", ".content"), ("div", ".story")]
-    outer = [(), ("div",), ("div", ".container"), ("div", ".page"), ("div", ".wrapper")]
-    shell, around = rng.choice(shells), ("html", "body", *rng.choice(outer))
-    mine = [b for b in page if weak_label(b[1])]
-    article = [(t, (*around, *shell, *(("section",) if rng.random() < 0.2 else ()), (path[-1] if path and path[-1] in ("h1", "h2", "h3", "li", "blockquote", "pre", "td", "p") else "p")), k) for t, path, k in mine]
-
-    def side(inside: tuple[str, ...]) -> list[tuple[str, tuple[str, ...], int]]:
-        name = rng.choice(sorted(SIDE_NAMES))
-        box = rng.choice([(rng.choice(sorted(SIDE_TAGS)),), ("div", f".{name}"), ("section", f".{name}"), ("ul", f".{name}"), ("aside", f".{name}")])
-        made = []
-        for _ in range(rng.choice([1, 1, 2, 4, 8])):
-            t = phrase(1, 4) if rng.random() < 0.5 else phrase(5, 60) + "."
-            made.append((t, (*inside, *box, *rng.choice([(), ("p",), ("ul", "li"), ("div",), ("li",), ("h2",)])), len(t) if rng.random() < 0.4 else 0))
+    plain = [("div",), ("section",), ("div", blank()), ("section", blank()), ("div", blank(), blank()), ("div", "div", blank())]
+    outer = [(), ("div",), ("div", ".container"), ("div", ".page"), ("div", ".wrapper"), ("div", blank())]
+    shell, around = rng.choice(shells if rng.random() < 0.6 else plain), ("html", "body", *rng.choice(outer))
+    leaf = lambda x: x if x in ("h1", "h2", "h3", "li", "blockquote", "pre", "td", "p", "figcaption") else "p"
+    inner = ("section",) if rng.random() < 0.2 else ()
+    mine = [((t, path_of(*around, *shell, *inner, leaf(path.leaf)), k), 1) for t, path, k in article]
+
+    def side(inside: tuple[str, ...]) -> list[tuple[Block, int]]:
+        name, made = rng.choice(sorted(SIDE_NAMES)), []
+        box = rng.choice([(rng.choice(sorted(SIDE_TAGS - {"header"})),), ("div", f".{name}"), ("section", f".{name}"), ("ul", f".{name}"), ("aside", f".{name}")])
+        named = rng.random() < 0.75
+        if not named:
+            box = rng.choice([("div", blank()), ("ul",), ("div",), ("ul", blank())])
+        for _ in range(rng.choice([1, 1, 2, 4, 8]) if named else rng.choice([3, 5, 8])):
+            t = phrase(1, 4) if rng.random() < 0.5 or not named else phrase(5, 60) + "."
+            made.append(((t, path_of(*inside, *box, *rng.choice([(), ("p",), ("ul", "li"), ("div",), ("li",), ("h2",)])), len(t) if rng.random() < 0.4 or not named else 0), 0))
         return made
 
     out = [x for _ in range(rng.randint(0, 3)) for x in side(around)]
-    cut = rng.randint(0, len(article))
-    out += article[:cut] + (side((*around, *shell)) if rng.random() < 0.8 else []) + article[cut:]
+    cut = rng.randint(0, len(mine))
+    out += mine[:cut] + (side((*around, *shell)) if rng.random() < 0.8 else []) + mine[cut:]
     return out + [x for _ in range(rng.randint(0, 3)) for x in side(around)]
 
 
@@ -298,14 +419,18 @@ def train(pages: DataFrame, html_column: str = "html", id_column: str = "page_id
     place = F.pmod(F.xxhash64(F.col(id_column), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     chosen = pages.where(place < min(1.0, SAMPLE_PAGES / max(1, n))).select(id_column, html_column).collect()
     rng = random.Random(29)
-    real = [blocks_of(h or "") for _, h in sorted((str(i), h or "") for i, h in chosen)]
-    real = [[b for b in p] for p in real if any(weak_label(b[1]) for b in p)] or [[("text. " * k, ("html", "body", "article", "p"), 0) for k in range(1, 9)]]
-    made = [p for p in real] + [rearranged(p, rng) for p in real for _ in range(COPIES)]
+    real = [blocks_of(h) for _, h in sorted((str(i), h or "") for i, h in chosen)]
+    on_pages = Counter(t for p in real for t in {t for t, _, _ in p})
+    repeated = frozenset(t for t, k in on_pages.items() if k > 2)
+    made = [list(zip(p, weak_labels(p, repeated), strict=True)) for p in real]
+    articles = [[b for b, x in p if x] for p in made if any(x for _, x in p)]
+    articles = articles or [[("text. " * k, path_of("html", "body", "article", "p"), 0) for k in range(1, 9)]]
+    made += [rearranged(p, rng) for p in articles for _ in range(COPIES)]
     while len(made) < 1200:
-        made.append(rearranged(rng.choice(real), rng))
-    made = [p for p in made if p]
+        made.append(rearranged(rng.choice(articles), rng))
+    made = [p[a : a + RUN] for p in made for a in range(0, len(p), RUN)]
     model = Labeller()
-    model.train([vectors([p]) for p in made], [np.array([weak_label(b[1]) for b in p]) for p in made])
+    model.train([vectors([[b for b, _ in p]]) for p in made], [np.array([x for _, x in p]) for p in made])
     return model
 
 
@@ -313,7 +438,8 @@ def extract(pages: DataFrame, model: Labeller, html_column: str = "html", id_col
     """(page_id, url, text, n_chars) of every row.
 
     text joins the blocks labelled as main text in page order by one line end; null or empty html, and pages without
-    such blocks, have an empty one.  Long pages are read whole.  Repeated rows stay; other columns are not read.
+    such blocks, have an empty one.  Pages are read whole, with all their blocks as context, whatever their length.
+    Repeated rows stay; other columns are not read.
     """
     spark = pages.sparkSession
     C.small_batches(spark)
@@ -325,10 +451,7 @@ def extract(pages: DataFrame, model: Labeller, html_column: str = "html", id_col
             for a in range(0, b.num_rows, 128):
                 part = b.slice(a, 128)
                 cut = [blocks_of(h or "") for h in part.column(2).to_pylist()]
-                flat = vectors(cut)
-                stops = np.cumsum([len(p) for p in cut])
-                sequences = [flat[z - len(p) : z] for p, z in zip(cut, stops, strict=True)]
-                texts = ["\n".join([t for (t, _, _), x in zip(p, q, strict=True) if x >= 0.5]) for p, q in zip(cut, m.probabilities(sequences), strict=True)]
+                texts = ["\n".join([t for (t, _, _), x in zip(p, q, strict=True) if x >= 0.5]) for p, q in zip(cut, m.label(cut), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_column, url, "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}

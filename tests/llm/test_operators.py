@@ -229,7 +229,7 @@ def test_html_blocks_and_labels(spark):
     t = "<html><head><title>T</title><style>x{}</style></head><body><nav><a href=a>Menu</a></nav><article><h1>Head &amp; more</h1><p>One <b>bold</b>\n text<p>Two<br>lines<script>var a='</p>'</script></article><!-- <p>gone</p> --><div class='comments'><p>me first</p></div><footer>&copy; foot"
     blocks = html_extract.blocks_of(t)
     assert [b[0] for b in blocks] == ["Menu", "Head & more", "One bold text", "Two lines", "me first", "© foot"]
-    assert [html_extract.weak_label(b[1]) for b in blocks] == [0, 1, 1, 1, 0, 0]
+    assert html_extract.weak_labels(blocks) == [0, 1, 1, 1, 0, 0]
     rows = [(k, f"http://h/{k}", t.replace("Two", sentence(k, 20))) for k in range(40)] + [(100, None, None), (101, "u", ""), (102, "u", "<"), (102, "u", "<")]
     d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("mine"), "n_chars": F.lit("x")})
     model = html_extract.train(d)
