@@ -155,10 +155,10 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, redirects: DataF
         edges = edges.unionByName(redirects.select(node_of(F.col("from_url")).alias("u"), node_of(F.col("to_url")).alias("v")))
     of = components.connected_components(edges)
     explicit = with_rules(of.withColumnRenamed("node", url), rules, url)
-    decided = explicit.groupBy("component").agg(
-        F.when(F.max((F.col("rule_verdict") == "allow").cast("int")) == 1, "allow").when(F.max((F.col("rule_verdict") == "block").cast("int")) == 1, "block").alias("_by_alias")
-    )
-    by_node = of.join(decided.where("_by_alias IS NOT NULL"), "component").select(F.col("node").alias("_node"), "_by_alias")
+    some = lambda verdict: F.max((F.col("rule_verdict") == verdict).cast("int")) == 1
+    decided = explicit.groupBy("component").agg(F.when(some("allow"), "allow").when(some("block"), "block").alias("_by_alias"), F.count("*").alias("members"))
+    decided = C.materialize(decided.where("_by_alias IS NOT NULL"), "url-decisions")
+    by_node = C.join_classes(of, decided, ["component"], of.count(), "inner").select(F.col("node").alias("_node"), "_by_alias")
     # Pages under a rule, or without url, need no join: their key is null.
     keyed = ruled.withColumn("_node", F.when(F.col("rule").isNull(), node_of(F.col(url))))
     return keyed.join(by_node, "_node", "left").withColumn("verdict", F.coalesce("rule_verdict", "_by_alias", F.lit(default))).drop("_node", "_by_alias", "rule_verdict")
@@ -168,14 +168,52 @@ def op9_url_filter(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def site_redirects(pages: DataFrame, url: str = "url") -> DataFrame:
+    """(from_url, to_url): every page to the front page of its site, whose mobile and www hosts are one."""
+    site = F.regexp_replace(host_of(F.col(url)), r"^(m|www)\.", "")
+    return pages.where(F.col(url).contains("://")).select(F.col(url).alias("from_url"), F.concat(F.lit("https://"), site, F.lit("/")).alias("to_url"))
+
+
+def url_site_aliases(spark, sf_dir: str) -> DataFrame:
+    """Verdicts where every page redirects to its site's front page: large components, and hot ones."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return judge(pages, redirects=site_redirects(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
 _CASES = "\n".join(f"        WHEN (host = '{r.host}' OR suffix(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.text}'" for r in sorted(RULES, key=lambda r: (-len(r.text), r.verdict)))
+_BLOCKS = ", ".join(f"'{r.text}'" for r in RULES if r.verdict == "block")
+
+
+def _ruled(source: str, name: str) -> str:
+    """CTEs {name}: columns of source, host, path and rule of its url."""
+    return rf"""{name}_u AS (SELECT *, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM {source}),
+    {name} AS (SELECT *, CASE
+{_CASES}
+        END AS rule FROM {name}_u)"""
+
+
+def _node(url: str) -> str:
+    return rf"(translate(regexp_extract(regexp_replace({url}, '(?s)#.*$', ''), '(?s)^.*?://[^/?#]*', 0), '{UPPER}', '{LOWER}') || regexp_extract(regexp_replace({url}, '(?s)#.*$', ''), '(?s)^.*?://[^/?#]*(.*)$', 1))"
+
+
+# Absolute canonical links in double quotes; the operator follows every kind.
+_LINKS = r"""SELECT url, unnest(regexp_extract_all(html, '(?i)<link\s+rel="canonical"\s+href="([^"]*://[^"]*)"', 1)) AS to_url FROM pages"""
 SQL = {
     "op9_url_filter": rf"""
-    WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
-        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-    r AS (SELECT *, CASE
-{_CASES}
-        END AS rule FROM u)
-    SELECT page_id, host, path, rule, CASE WHEN rule IN ({", ".join(f"'{r.text}'" for r in RULES if r.verdict == "block")}) THEN 'block' ELSE 'allow' END AS verdict FROM r"""
+    WITH RECURSIVE e AS (SELECT {_node("url")} AS u, {_node("to_url")} AS v FROM ({_LINKS}) WHERE contains(url, '://')),
+    both_ways AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v),
+    reach AS (SELECT u AS node, u AS url FROM both_ways UNION SELECT reach.node, both_ways.v FROM reach JOIN both_ways ON reach.url = both_ways.u),
+    {_ruled("reach", "met")},
+    decided AS (SELECT node, CASE WHEN bool_or(rule IS NOT NULL AND rule NOT IN ({_BLOCKS})) THEN 'allow' WHEN bool_or(rule IN ({_BLOCKS})) THEN 'block' END AS by_alias FROM met GROUP BY node),
+    {_ruled("pages", "p")}
+    SELECT page_id, host, path, rule, CASE WHEN rule IN ({_BLOCKS}) THEN 'block' WHEN rule IS NOT NULL THEN 'allow' ELSE coalesce(by_alias, 'allow') END AS verdict
+    FROM p LEFT JOIN decided ON node = {_node("p.url")}""",
+    "url_site_aliases": rf"""
+    WITH {_ruled("pages", "p")},
+    s AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^(m|www)\.', '') END AS site FROM p),
+    d AS (SELECT site, bool_or(rule IS NOT NULL AND rule NOT IN ({_BLOCKS})) AS allowed, bool_or(rule IN ({_BLOCKS})) AS blocked FROM s GROUP BY site)
+    SELECT page_id, host, path, rule, CASE WHEN rule IN ({_BLOCKS}) THEN 'block' WHEN rule IS NOT NULL OR allowed THEN 'allow' WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
+    FROM s LEFT JOIN d USING (site)""",
 }
-QUERIES = {"op9_url_filter": op9_url_filter}
+QUERIES = {"op9_url_filter": op9_url_filter, "url_site_aliases": url_site_aliases}

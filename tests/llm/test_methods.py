@@ -228,3 +228,20 @@ def test_warc_of_no_pages_and_of_long_streams(spark, tmp_path):
         with pytest.raises(ValueError):
             list(warc.inflate([data[:-9]]))
     assert list(warc.inflate([])) == []
+
+
+def test_alias_sql_follows_chains(spark, tmp_path):
+    import duckdb
+
+    from strandlake.llm import urls
+
+    link = '<link rel="canonical" href="{}">'.format
+    rows = [(1, "http://a.org/1#x", link("http://B.org/2")), (2, "http://b.org/2", link("http://c.example.com/en/3")), (3, "http://d.org/", link("http://e.org/")), (4, "http://f.org/", link("http://www.example.com/en/9")), (5, "http://g.org/", link("http://f.org/") + link("http://q.net/fr/1")), (6, None, link("http://q.net/fr/1")), (7, "http://q.net/fr/1", ""), (8, "http://h.org/", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name, query in urls.QUERIES.items():
+        got = query(spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({urls.SQL[name]})").fetchall(), key=repr)
+    got = {r["page_id"]: r["verdict"] for r in urls.op9_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "allow"}
