@@ -44,23 +44,26 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 #: Tokens of a block of documents, and characters of the corpus to a shard of keys.
-BLOCK_TOKENS, SHARD_CHARS = 600_000, 4_000_000
-#: Bits of a fingerprint.
-KEY_BITS = 56
+BLOCK_TOKENS, SHARD_CHARS = 500_000, 4_000_000
+#: Bits of a fingerprint beyond those that number the corpus's characters: one look-up in a million meets a wrong key.
+SPARE_BITS = 20
 #: Pseudo-counts of the backoff distribution in the states of words and of pairs; additive smoothing of single words.
 PAIR, TRIPLE, ADD = 30.0, 10.0, 0.1
 #: Runs of tokens that are traversed side by side.
 LANES = 1024
 
 _U = np.uint64
-_LOW = _U((1 << KEY_BITS) - 1)
 _END = _U(0xE5D0F7E5D0F7E5D1)
 _START = _U(0x57A2757A2757A275)
 _A, _B = _U(0xC2B2AE3D27D4EB4F), _U(0x9E3779B97F4A7C15)
 #: The two lowest bits of a key tell its kind; one key of its own counts texts, the visits of the start.
 _WORD, _PAIR, _TRIPLE, _START_KIND = (_U(k) for k in (1, 0, 2, 3))
 _KIND = _U(3)
-_TEXTS = (_START & _LOW) | _START_KIND
+
+
+def key_bits(chars: int) -> int:
+    """Bits of a fingerprint for a corpus of so many characters."""
+    return min(63, max(40, chars.bit_length() + SPARE_BITS))
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -78,18 +81,19 @@ def unpack(data: bytes, n: int) -> np.ndarray:
 class Block:
     """Tokens of some documents, their distinct keys in order, and where each token's keys stand among them."""
 
-    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, held: np.ndarray):
-        """tokens: word fingerprints, each document's end included; lengths: tokens of each document."""
+    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, held: np.ndarray, bits: int = 60):
+        """tokens: word fingerprints, each document's end included; lengths: tokens of each document; bits of a key."""
+        low = _U((1 << bits) - 1)
         n, begins = len(tokens), np.cumsum(lengths) - lengths
         self.first = np.zeros(n, bool)
         self.first[begins] = True
         later = np.flatnonzero(~self.first)
         previous = np.full(n, _START, _U)
         previous[later] = tokens[later - 1]
-        kind = lambda x, k: (x & _LOW & ~_KIND) | k
+        kind = lambda x, k: (x & low & ~_KIND) | k
         pairs = C.mix(previous * _A + tokens * _B)
         triples = C.mix(pairs[later - 1] * _A + tokens[later] * _B)
-        self.keys, back = np.unique(np.concatenate([kind(tokens, _WORD), kind(pairs, _PAIR), kind(triples, _TRIPLE), [_TEXTS]]), return_inverse=True)
+        self.keys, back = np.unique(np.concatenate([kind(tokens, _WORD), kind(pairs, _PAIR), kind(triples, _TRIPLE), [kind(_START, _START_KIND)]]), return_inverse=True)
         # Places of each token's word, pair and, but for first tokens, triple; of the pair before, for triples.
         self.word, self.pair, self.triple, self.texts = back[:n], back[n : 2 * n], back[2 * n : -1], back[-1]
         self.later, self.lengths, self.held = later, lengths, held
@@ -216,8 +220,8 @@ def _joined(parts: list[tuple]) -> tuple:
     return pa.concat_arrays([p[0] for p in parts]), *(np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
 
 
-def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys >> _U(KEY_BITS - 32)) * _U(shards) >> _U(32)).astype(np.int64)
+def _shard_of(keys: np.ndarray, shards: int, bits: int) -> np.ndarray:
+    return ((keys >> _U(bits - 32)) * _U(shards) >> _U(32)).astype(np.int64)
 
 
 BLOCK_SCHEMA = "block long, texts long, size long, words long, ids binary, nulls binary, held binary, lengths binary, vocabulary binary, tokens binary"
@@ -235,22 +239,22 @@ def blocks(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, BLOCK_SCHEMA)
 
 
-def _block_of(r: dict | pd.Series) -> Block:
+def _block_of(r: dict | pd.Series, bits: int) -> Block:
     vocabulary = np.cumsum(unpack(r["vocabulary"], r["words"]), dtype=_U)
     own = np.unpackbits(np.frombuffer(r["held"], np.uint8), count=r["texts"]).astype(bool)
-    return Block(vocabulary[unpack(r["tokens"], r["size"]).astype(np.int64)], unpack(r["lengths"], r["texts"]).astype(np.int64), own)
+    return Block(vocabulary[unpack(r["tokens"], r["size"]).astype(np.int64)], unpack(r["lengths"], r["texts"]).astype(np.int64), own, bits)
 
 
-def ask(written: DataFrame, shards: int) -> DataFrame:
+def ask(written: DataFrame, shards: int, bits: int) -> DataFrame:
     """(block, shard, n, keys, counts): what every block asks of every shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 r = batch.slice(k, 1).to_pylist()[0]
-                b = _block_of(r)
+                b = _block_of(r, bits)
                 counts = b.training_counts()
-                cuts = np.searchsorted(_shard_of(b.keys, shards), np.arange(shards + 1))
+                cuts = np.searchsorted(_shard_of(b.keys, shards, bits), np.arange(shards + 1))
                 out = [(s, int(z - a), pack(np.diff(b.keys[a:z], prepend=_U(0))), pack(counts[a:z])) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
                 shard, n, keys, own = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([r["block"]] * len(out), pa.int64()), pa.array(shard, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(own, pa.binary())], names=["block", "shard", "n", "keys", "counts"])
@@ -295,19 +299,19 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", held_o
     C.small_batches(spark)
     held = F.coalesce(C.remainder(id_column, 10) == 0, F.lit(True)) if held_out is None else held_out
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).alias("text"))
-    written = C.materialize(blocks(rows), "lm-blocks")
+    written = C.materialize(blocks(rows), "lm-blocks", "zstd")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(chars / SHARD_CHARS))
+    shards, bits = max(1, math.ceil(chars / SHARD_CHARS)), key_bits(chars)
     with C.batch_rows(spark, 1):
-        asked = ask(written, shards)
-        replies = C.materialize(reply(asked), "lm-counts")
+        asked = ask(written, shards, bits)
+        replies = C.materialize(reply(asked), "lm-counts", "zstd")
     total, kinds = (x or 0 for x in replies.agg(F.sum("tokens"), F.sum("kinds")).first())
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("shard")
         counts = np.concatenate([unpack(c, n) for c, n in zip(right["counts"], right["n"], strict=True)]).astype(np.int64)
         r = left.iloc[0]
-        b = _block_of(r)
+        b = _block_of(r, bits)
         got = b.scores(counts, total, kinds)
         ids = pd.Series(np.frombuffer(r["ids"], np.int64)).astype("Int64")
         ids[np.unpackbits(np.frombuffer(r["nulls"], np.uint8), count=r["texts"]).astype(bool)] = pd.NA
