@@ -45,6 +45,8 @@ from . import _common as C
 
 #: Tokens of a block of documents, and characters of the corpus to a shard of keys.
 BLOCK_TOKENS, SHARD_CHARS = 500_000, 4_000_000
+#: Shards or blocks of one task.
+PER_TASK = 3
 #: Bits of a fingerprint beyond those that number the corpus's characters: one look-up in a million meets a wrong key.
 SPARE_BITS = 20
 #: Pseudo-counts of the backoff distribution in the states of words and of pairs; additive smoothing of single words.
@@ -303,7 +305,7 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", held_o
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     shards, bits = max(1, math.ceil(chars / SHARD_CHARS)), key_bits(chars)
     with C.batch_rows(spark, 1):
-        asked = ask(written, shards, bits)
+        asked = ask(written, shards, bits).repartition(math.ceil(shards / PER_TASK), "shard")
         replies = C.materialize(reply(asked), "lm-counts", "zstd")
     total, kinds = (x or 0 for x in replies.agg(F.sum("tokens"), F.sum("kinds")).first())
 
@@ -318,7 +320,10 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", held_o
         return pd.DataFrame({"doc_id": ids, "held_out": b.held, "n_tokens": b.lengths, **got})
 
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = written.groupBy("block").cogroup(replies.select("block", "shard", "n", "counts").groupBy("block")).applyInPandas(meet, kind)
+    # Tasks in proportion to the blocks, whatever the session's number of shuffle partitions.
+    tasks = max(1, math.ceil(written.count() / PER_TASK))
+    answers = replies.select("block", "shard", "n", "counts").repartition(tasks, "block")
+    scored = written.repartition(tasks, "block").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(meet, kind)
     return scored.withColumn("train_tokens", F.lit(total).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
