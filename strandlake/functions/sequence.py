@@ -24,6 +24,20 @@ def valid(s: Column) -> Column:
     return F.coalesce(s.rlike(f"^[{RESIDUES}]+$"), F.lit(False))
 
 
+# Letters that are folded to upper case.
+LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def residues_of(s: Column) -> Column:
+    """The residue letters of s, in upper case; null is empty."""
+    return F.regexp_replace(F.translate(F.coalesce(s, F.lit("")), LOWER, UPPER), f"[^{RESIDUES}]", "")
+
+
+def word_list(text: Column) -> Column:
+    """Words between ASCII white space; null has none."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
+
+
 def count_of(s: Column, what: str) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(what), F.lit("")))
 
@@ -104,9 +118,30 @@ def sequence_list_hash(sequences: Column, digits: int = 16) -> Column:
     return F.substring(F.sha2(F.concat(F.array_join(sequences, "\0"), F.when(F.size(sequences) > 0, "\0").otherwise("")), 256), 1, digits)
 
 
+def stable_seed(seed: Column | str | int, *parts: Column | str) -> Column:
+    """A seed for every value of parts: four bytes, the least first, of SHA-256 of seed and parts between zero bytes."""
+    cols = [F.lit(seed) if isinstance(seed, int) else seed, *(F.col(p) if isinstance(p, str) else p for p in parts)]
+    h = F.sha2(F.concat_ws("\0", *((F.col(c) if isinstance(c, str) else c).cast("string") for c in cols)), 256)
+    return F.conv(F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1))), 16, 10).cast("long")
+
+
 def permutations(s: Column) -> Column:
-    """Distinct orders of the characters of s other than s itself."""
-    total = F.factorial(F.length(s)).cast("double")
+    """Distinct orders of the residues of s other than s itself, exactly; null above 20 residues, for log_permutations()."""
+    n = F.length(s)
+    total = F.factorial(F.least(n, F.lit(20)))
     for r in RESIDUES:
-        total = total / F.factorial(count_of(s, r)).cast("double")
-    return F.round(total - 1).cast("long")
+        total = F.call_function("div", total, F.factorial(F.least(count_of(s, r), F.lit(20))))
+    return F.when(n <= 20, total - 1)
+
+
+def log_factorial(n: Column) -> Column:
+    """Decimal logarithm of n! as a sum of logarithms."""
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda t, k: t + F.log10(k))
+
+
+def log_permutations(s: Column) -> Column:
+    """Decimal logarithm of the distinct orders of the residues of s, itself included, at any length."""
+    total = log_factorial(F.length(s))
+    for r in RESIDUES:
+        total = total - log_factorial(count_of(s, r))
+    return total

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as X
 from ..operators import audit, grouping, metrics, models, resample, similarity
 from ..sources import fasta, tables
-from .frames import SCORED, scored, table, words, words_sql
+from .frames import SCORED, raw_words, scored, table, words, words_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -52,14 +52,24 @@ def fasta_scan(spark, sf_dir):
     return p.select("file", "record", "header", fasta.record_id(F.col("header")).alias("record_id"), F.length("sequence").alias("n"), F.md5("sequence").alias("digest"))
 
 
-@query(f"""WITH {SCORED}, h AS (SELECT row_idx, coalesce(label::VARCHAR, '1') || CASE WHEN toxic = 1 THEN 'neg' WHEN toxic = 0 THEN '_pos' ELSE '' END || '|set' || split || '|' || CASE WHEN split < 2 THEN '0' WHEN split = 2 THEN '1' ELSE 'none' END AS h FROM d)
-    SELECT row_idx, h AS header, CASE WHEN split_part(h, '|', 3) IN ('0', '1') THEN split_part(h, '|', 3)::INT WHEN h[1] IN ('0', '1') THEN h[1]::INT ELSE 0 END AS last_field,
-    h[1]::INT AS first_char, CASE WHEN contains(h, 'neg') THEN 0 WHEN contains(h, 'pos') THEN 1 END AS tokens,
-    CASE WHEN regexp_matches(h, '(?:^|[|_\\-])1(?:$|[|_\\-])') OR contains(h, 'pos') THEN 1 WHEN regexp_matches(h, '(?:^|[|_\\-])0(?:$|[|_\\-])') OR contains(h, 'neg') THEN 0 END AS delimited FROM h""")
+#: Beginnings of headers that the label rules read differently.
+_HEADS = ("1neg", "neg_1", "positive_set", "Antioxidant-7", "nonanox_3", "_pos_x", "x|NEG", "non-antioxidant", "sample", "0|pos", "posneg-1")
+
+
+def _any_sql(tokens: tuple[str, ...]) -> str:
+    return " OR ".join(f"contains(lower(h), '{t}')" for t in tokens)
+
+
+@query(f"""WITH {SCORED}, h AS (SELECT row_idx, ({list(_HEADS)})[row_idx % {len(_HEADS)} + 1] || '|set' || split || '|' || CASE WHEN split < 2 THEN '0' WHEN split = 2 THEN '1' ELSE 'none' END AS h FROM d)
+    SELECT row_idx, h AS header, CASE WHEN split_part(h, '|', -1) IN ('0', '1') THEN split_part(h, '|', -1)::INT WHEN h[1] IN ('0', '1') THEN h[1]::INT ELSE 0 END AS last_field,
+    CASE WHEN h[1] IN ('0', '1') THEN h[1]::INT ELSE list_filter(string_split(h, '|'), lambda x: x IN ('0', '1'))[1]::INT END AS first_char,
+    CASE WHEN {_any_sql(fasta.NEGATIVE_TOKENS)} THEN 0 WHEN {_any_sql(fasta.POSITIVE_TOKENS)} THEN 1 END AS tokens,
+    CASE WHEN regexp_matches(lower(h), '{fasta.DELIMITED % "(?:1|pos)"}') THEN 1 WHEN regexp_matches(lower(h), '{fasta.DELIMITED % "(?:0|neg)"}') THEN 0 END AS delimited FROM h""")
 def header_labels(spark, sf_dir):
-    """S5, X4a-X4e: labels from headers by every rule."""
+    """S5, X4a-X4e: labels from headers by every rule, on headers that tell the rules apart."""
     d = scored(spark, sf_dir)
-    h = F.concat(F.coalesce(F.col("label").cast("string"), F.lit("1")), F.when(F.col("toxic") == 1, "neg").when(F.col("toxic") == 0, "_pos").otherwise(""), F.lit("|set"), F.col("split").cast("string"), F.lit("|"), F.when(F.col("split") < 2, "0").when(F.col("split") == 2, "1").otherwise("none"))
+    head = F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("row_idx") % len(_HEADS) + 1).cast("int"))
+    h = F.concat(head, F.lit("|set"), F.col("split").cast("string"), F.lit("|"), F.when(F.col("split") < 2, "0").when(F.col("split") == 2, "1").otherwise("none"))
     c = F.col("header")
     return d.select("row_idx", h.alias("header")).select("row_idx", "header", fasta.label_last_field(c).alias("last_field"), fasta.label_first_char(c).alias("first_char"), fasta.label_tokens(c).alias("tokens"), fasta.label_delimited(c).alias("delimited"))
 
@@ -81,7 +91,7 @@ def validity(spark, sf_dir):
     SELECT doc_id, residue, {r('(n - length(replace(s, residue, chr(0)[1:0]))) / n')} AS share FROM l""".replace("chr(0)[1:0]", "''"))
 def composition(spark, sf_dir):
     """Residue shares of every document's letters."""
-    s = words(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sequence"))), lambda x: x["sequence"]), "").alias("s")).where("s != ''")
+    s = table(spark, sf_dir, "documents").select("doc_id", X.residues_of(F.col("text")).alias("s")).where("s != ''")
     return rounded(s.select("doc_id", F.posexplode(X.composition(F.col("s"))).alias("k", "share")).select("doc_id", F.substring(F.lit(X.RESIDUES), F.col("k") + 1, F.lit(1)).alias("residue"), "share"))
 
 
@@ -109,27 +119,33 @@ def _charge_sql() -> str:
     SELECT sequence, occurrences, length(sequence)::INT AS length, {r(f'({_sum_sql(X.HYDROPATHY)}) / length(sequence)')} AS gravy, {r(f'{_sum_sql(X.MASS)} - (length(sequence) - 1) * {X.WATER}')} AS weight, {r(_charge_sql())} AS charge FROM s""")
 def descriptors(spark, sf_dir):
     """Hydropathy, mass and charge, once for each distinct sequence."""
-    s = words(spark, sf_dir).where("sequence != ''").groupBy("sequence").agg(F.count("*").alias("occurrences"))
+    s = raw_words(spark, sf_dir).groupBy("word").agg(F.count("*").alias("n")).select(X.residues_of(F.col("word")).alias("sequence"), "n").where("sequence != ''").groupBy("sequence").agg(F.sum("n").alias("occurrences"))
     c = F.col("sequence")
     return rounded(s.select("sequence", "occurrences", F.length("sequence").alias("length"), X.gravy(c).alias("gravy"), X.molecular_weight(c).alias("weight"), X.charge(c).alias("charge")))
 
 
-@query(f"""WITH {words_sql("benchmark", "item_id")} SELECT item_id, sha256(string_agg(sequence || chr(0), '' ORDER BY pos))[1:16] AS digest,
-    ('0x' || md5(item_id::VARCHAR)[1:8])::BIGINT AS seed, count(DISTINCT sequence) AS kinds FROM w GROUP BY item_id""")
+_SEED = "sha256('7' || chr(0) || doc_id || chr(0) || 'lists')"
+
+
+@query(f"""WITH {words_sql()} SELECT doc_id, sha256(string_agg(sequence || chr(0), '' ORDER BY pos))[1:16] AS digest,
+    ('0x' || {_SEED}[7:8] || {_SEED}[5:6] || {_SEED}[3:4] || {_SEED}[1:2])::BIGINT AS seed, count(DISTINCT sequence) AS kinds FROM w GROUP BY doc_id""")
 def list_hashes(spark, sf_dir):
-    """Hashes of sequence lists, stable seeds, distinct counts."""
-    w = words(spark, sf_dir, "benchmark", "item_id").groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sequence"))), lambda x: x["sequence"]).alias("s"), F.countDistinct("sequence").alias("kinds"))
-    return w.select("item_id", X.sequence_list_hash(F.col("s")).alias("digest"), F.conv(F.substring(F.md5(F.col("item_id").cast("string")), 1, 8), 16, 10).cast("long").alias("seed"), "kinds")
+    """Hashes of every document's sequence list, stable seeds, distinct counts."""
+    w = X.word_list(F.col("text"))
+    s = table(spark, sf_dir, "documents").select("doc_id", F.transform(w, X.residues_of).alias("s")).where("size(s) > 0")
+    return s.select("doc_id", X.sequence_list_hash(F.col("s")).alias("digest"), X.stable_seed(7, "doc_id", F.lit("lists")).alias("seed"), F.size(F.array_distinct("s")).cast("long").alias("kinds"))
 
 
-_FACT = "(" + " * ".join(f"factorial((length(sequence) - length(replace(sequence, '{c}', '')))::INT)::DOUBLE" for c in X.RESIDUES) + ")"
+_COUNTS = [f"(length(sequence) - length(replace(sequence, '{c}', '')))" for c in X.RESIDUES]
 
 
-@query(f"""WITH {words_sql("benchmark", "item_id")} SELECT DISTINCT sequence, round(factorial(length(sequence)::INT)::DOUBLE / {_FACT} - 1)::BIGINT AS orders FROM w WHERE length(sequence) BETWEEN 1 AND 12""")
+@query(f"""WITH {words_sql()}, s AS (SELECT DISTINCT sequence, length(sequence)::INT AS n FROM w WHERE sequence <> '')
+    SELECT sequence, CASE WHEN n <= 20 THEN (factorial(least(n, 20)) // {" // ".join(f"factorial(least({c}, 20)::INT)" for c in _COUNTS)} - 1)::BIGINT END AS orders,
+    {r("(lgamma(n + 1) - " + " - ".join(f"lgamma({c} + 1)" for c in _COUNTS) + ") / ln(10)")} AS log_orders FROM s""")
 def permutation_counts(spark, sf_dir):
-    """Distinct orders of a sequence other than itself."""
-    w = words(spark, sf_dir, "benchmark", "item_id").where("length(sequence) BETWEEN 1 AND 12").select("sequence").distinct()
-    return w.select("sequence", X.permutations(F.col("sequence")).alias("orders"))
+    """Distinct orders of every sequence of the documents, exact to 20 residues, by logarithm at any length."""
+    s = raw_words(spark, sf_dir).select("word").distinct().select(X.residues_of(F.col("word")).alias("sequence")).where("sequence != ''").distinct()
+    return rounded(s.select("sequence", X.permutations(F.col("sequence")).alias("orders"), X.log_permutations(F.col("sequence")).alias("log_orders")))
 
 
 # Summaries, joins, windows
@@ -161,11 +177,11 @@ def label_integrity(spark, sf_dir):
     return audit.integrity(t.join(l, "row_idx", "left")).select("row_idx", "duplicate", "conflict", "crosses", "first")
 
 
-@query(f"""WITH {words_sql()} SELECT sequence, min(doc_id * 1000000 + pos) AS row_idx, count(*) AS n, count(DISTINCT doc_id) AS documents FROM w WHERE sequence <> '' AND sequence NOT IN (
+@query(f"""WITH {words_sql()} SELECT sequence, min(doc_id * 4294967296 + pos) AS row_idx, count(*) AS n, count(DISTINCT doc_id) AS documents FROM w WHERE sequence <> '' AND sequence NOT IN (
     SELECT regexp_replace(translate(unnest(string_split_regex(text, '[\\x20\\x09-\\x0D]+')), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^{X.RESIDUES}]', '', 'g') FROM benchmark) GROUP BY sequence""")
 def unseen_sequences(spark, sf_dir):
     """Sequences of documents that no benchmark item has, with their first place."""
-    w = words(spark, sf_dir).where("sequence != ''").withColumn("at", F.col("doc_id") * 1000000 + F.col("pos"))
+    w = words(spark, sf_dir).where("sequence != ''").withColumn("at", F.col("doc_id") * (1 << 32) + F.col("pos"))
     own = w.groupBy("sequence").agg(F.min("at").alias("row_idx"), F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))
     return own.join(words(spark, sf_dir, "benchmark", "item_id").select("sequence").distinct(), "sequence", "left_anti")
 
@@ -279,7 +295,7 @@ def _metric_sql(score: str = "score", keys: str = "split", weight: str = "1.0",
 
 def _metric_out(keys: str = "split") -> str:
     return f"""SELECT {keys}, n, positives, n - positives AS negatives, {r('pow(P_ + N_, 2) / ww')} AS effective_n, {r('area / nullif(P_ * N_, 0)')} AS auc, {r('prec / nullif(P_, 0)')} AS average_precision,
-    {r('(tp + tn) / (P_ + N_)')} AS accuracy, {r('coalesce(tp / nullif(tp + fp, 0), 0)')} AS "precision", {r('coalesce(tp / nullif(P_, 0), 0)')} AS recall, {r('tn / nullif(N_, 0)')} AS specificity, {r('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)')} AS f1,
+    {r('(tp + tn) / (P_ + N_)')} AS accuracy, {r('coalesce(tp / nullif(tp + fp, 0), 0)')} AS "precision", {r('coalesce(tp / nullif(P_, 0), 0)')} AS recall, {r('tn / nullif(N_, 0)')} AS specificity, {r('(coalesce(tp / nullif(P_, 0), 0) + tn / nullif(N_, 0)) / 2')} AS balanced_accuracy, {r('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)')} AS f1,
     {r('coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0)')} AS mcc, {r('se / (P_ + N_)')} AS brier, {r('ll / (P_ + N_)')} AS log_loss, {r('tp')} AS tp, {r('fp')} AS fp, {r('tn')} AS tn, {r('fn')} AS fn FROM m"""
 
 
@@ -382,29 +398,35 @@ def length_match_counts(spark, sf_dir):
 
 def _bench_sequences(spark, sf_dir):
     w = words(spark, sf_dir, "benchmark", "item_id").where("sequence != ''")
-    return w.groupBy("sequence").agg(F.min(F.col("item_id") * 10000 + F.col("pos")).alias("row_idx"))
+    return w.groupBy("sequence").agg(F.min(F.col("item_id") * (1 << 32) + F.col("pos")).alias("row_idx"))
+
+
+def _sequences(spark, sf_dir):
+    """(sequence, row_idx): every sequence of the documents with its first place."""
+    w = raw_words(spark, sf_dir).groupBy("word").agg(F.min(F.col("doc_id") * (1 << 32) + F.col("pos")).alias("row_idx"))
+    return w.select(X.residues_of(F.col("word")).alias("sequence"), "row_idx").where("sequence != ''").groupBy("sequence").agg(F.min("row_idx").alias("row_idx"))
 
 
-_SHUFFLE = f"""{words_sql("benchmark", "item_id")}, q AS (SELECT sequence, min(item_id * 10000 + pos) AS row_idx FROM w WHERE sequence <> '' GROUP BY 1), z AS (SELECT row_idx, sequence, rep, list_transform(list_sort(list_transform(range(len(sequence)), lambda i: md5('5|' || row_idx || '|' || rep || '|' || i) || sequence[i + 1])), lambda x: x[33]) AS a FROM q, range(4) t(rep)),
+_SHUFFLE = f"""{words_sql()}, q AS (SELECT sequence, min(doc_id * 4294967296 + pos) AS row_idx FROM w WHERE sequence <> '' GROUP BY 1), z AS (SELECT row_idx, sequence, rep, list_transform(list_sort(list_transform(range(len(sequence)), lambda i: md5('5|' || row_idx || '|' || rep || '|' || i) || sequence[i + 1])), lambda x: x[33]) AS a FROM q, range(4) t(rep)),
     y AS (SELECT row_idx, rep::INT AS replicate, sequence, array_to_string(a, '') AS shuffled, len(list_filter(range(len(sequence)), lambda i: sequence[i + 1] <> a[i + 1])) AS distance FROM z)"""
 
 
 @query(f"WITH {_SHUFFLE} SELECT row_idx, replicate, sequence, shuffled, distance::INT AS distance, row_number() OVER (PARTITION BY row_idx, shuffled ORDER BY replicate) > 1 AS repeated FROM y")
 def shuffle_ledger(spark, sf_dir):
     """Orders of each sequence's own characters."""
-    return resample.shuffles(_bench_sequences(spark, sf_dir), 4, 5).select("row_idx", "replicate", "sequence", "shuffled", "distance", "repeated")
+    return resample.shuffles(_sequences(spark, sf_dir), 4, 5).select("row_idx", "replicate", "sequence", "shuffled", "distance", "repeated")
 
 
 @query(f"WITH {_SHUFFLE}, l AS (SELECT *, row_number() OVER (PARTITION BY row_idx, shuffled ORDER BY replicate) > 1 AS repeated FROM y) SELECT count(*) AS draws, count(*) FILTER (sequence = shuffled) AS unchanged, count(*) FILTER (repeated) AS repeats, {r('avg(distance)')} AS mean_distance, {r('quantile_cont(distance, 0.5)')} AS median_distance, {r('quantile_cont(distance, 0.025)')} AS low, {r('quantile_cont(distance, 0.975)')} AS high FROM l")
 def shuffle_geometry(spark, sf_dir):
     """A16."""
-    return rounded(resample.shuffle_summary(resample.shuffles(_bench_sequences(spark, sf_dir), 4, 5)))
+    return rounded(resample.shuffle_summary(resample.shuffles(_sequences(spark, sf_dir), 4, 5)))
 
 
 @query()
 def unique_shuffles(spark, sf_dir):
     """Distinct orders other than the sequence."""
-    return resample.unique_shuffles(_bench_sequences(spark, sf_dir), 10, 3)
+    return resample.unique_shuffles(_sequences(spark, sf_dir), 10, 3)
 
 
 @query(f"""WITH {SCORED} SELECT row_idx, label, CASE WHEN percent_rank() OVER (PARTITION BY label ORDER BY ('0x' || substr(md5('13|' || row_idx), 1, 8))::BIGINT, row_idx) < 0.9 THEN 'train' ELSE 'test' END AS part FROM d WHERE label IS NOT NULL""")
@@ -456,3 +478,6 @@ def cross_fitted_scores(spark, sf_dir):
 def overlap_balance(spark, sf_dir):
     """M8, Q2: overlap weights from a propensity model, and the balance that they give."""
     return models.document_overlap(spark, sf_dir)
+
+
+from . import suites as _suites  # noqa: E402, F401  # adds its queries

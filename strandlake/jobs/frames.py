@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sequence import RESIDUES, unit_hash
-
-LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+from ..functions.sequence import LOWER, RESIDUES, UPPER, residues_of, unit_hash, word_list
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,12 +36,14 @@ SCORED = """d AS (SELECT doc_id AS row_idx, doc_id % 5 AS split, lang, source, l
     FROM documents LEFT JOIN labels USING (doc_id))"""
 
 
+def raw_words(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """(key, pos, word): every word of every whole text."""
+    return table(spark, sf_dir, name).select(key, F.posexplode(word_list(F.col("text"))).alias("pos", "word"))
+
+
 def words(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
-    """(key, pos, word, sequence): every word of every whole text, and its residue letters in upper case."""
-    t = table(spark, sf_dir, name)
-    split = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
-    out = t.select(key, F.posexplode(split).alias("pos", "word"))
-    return out.withColumn("sequence", F.regexp_replace(F.translate("word", LOWER, UPPER), f"[^{RESIDUES}]", ""))
+    """raw_words() with sequence, their residue letters in upper case."""
+    return raw_words(spark, sf_dir, name, key).withColumn("sequence", residues_of(F.col("word")))
 
 
 def words_sql(name: str = "documents", key: str = "doc_id") -> str:

@@ -16,7 +16,7 @@ def clean(scores: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def metrics(scores: DataFrame, keys: list[str], label: str = "label", score: str = "score", weight: str | None = None, threshold: float = 0.5, strict: bool = False, edge: float = 1e-6, clip_brier: bool = True) -> DataFrame:
-    """One row for each value of keys: counts, threshold metrics, auc, average precision, brier and log loss.
+    """One row for each value of keys: counts, threshold metrics (recall is sensitivity), auc, average precision, brier and log loss.
 
     strict compares score > threshold instead of >=.  edge clips probabilities for the log loss, and for the Brier
     score too if clip_brier.
@@ -53,7 +53,7 @@ def metrics(scores: DataFrame, keys: list[str], label: str = "label", score: str
     return g.select(
         *keys, "n", "positives", (F.col("n") - F.col("positives")).alias("negatives"), d(F.pow(P + N, 2), F.col("ww")).alias("effective_n"),
         d(F.col("area"), P * N).alias("auc"), d(F.col("prec"), P).alias("average_precision"),
-        d(tp + tn, P + N).alias("accuracy"), zero(d(tp, tp + fp)).alias("precision"), zero(d(tp, P)).alias("recall"), d(tn, N).alias("specificity"),
+        d(tp + tn, P + N).alias("accuracy"), zero(d(tp, tp + fp)).alias("precision"), zero(d(tp, P)).alias("recall"), d(tn, N).alias("specificity"), d(zero(d(tp, P)) + d(tn, N), F.lit(2.0)).alias("balanced_accuracy"),
         zero(d(2 * tp, 2 * tp + fp + fn)).alias("f1"), mcc.alias("mcc"), d(F.col("se"), P + N).alias("brier"), d(F.col("ll"), P + N).alias("log_loss"), "tp", "fp", "tn", "fn",
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,13 +47,31 @@ def label_first_char(header: Column) -> Column:
     return F.when(first.isin("0", "1"), first.cast("int")).otherwise(F.get(field, F.lit(0)).cast("int"))
 
 
-def label_tokens(header: Column) -> Column:
-    """From words in the header; negative wins; null if neither occurs."""
-    low = F.lower(header)
-    return F.when(low.contains("neg") | low.contains("non-"), 0).when(low.contains("pos"), 1)
+# Parts of headers that tell a class.
+POSITIVE_TOKENS = ("positive", "pos", "antioxidant", "anox")
+NEGATIVE_TOKENS = ("negative", "neg", "non-antioxidant", "non_antioxidant", "nonanox")
+
+
+def label_tokens(header: Column, positive: tuple[str, ...] = POSITIVE_TOKENS, negative: tuple[str, ...] = NEGATIVE_TOKENS, strict: bool = False) -> Column:
+    """From tokens anywhere in the header; negative ones win; without any null, or an error if strict."""
+    low = F.lower(F.trim(header))
+    some = lambda tokens: reduce(Column.__or__, (low.contains(t) for t in tokens))
+    out = F.when(some(negative), 0).when(some(positive), 1)
+    return out.otherwise(F.raise_error(F.concat(F.lit("no label in header "), header)).cast("int")) if strict else out
+
+
+# What stands before and after a delimited label.
+DELIMITED = r"(?:^|[|_\-])%s(?:$|[|_\-])"
 
 
 def label_delimited(header: Column) -> Column:
-    """From a 1 or "pos" that stands between delimiters, then a 0 or "neg"; else null."""
-    low = F.lower(header)
-    return F.when(low.rlike(r"(?:^|[|_\-])1(?:$|[|_\-])") | low.contains("pos"), 1).when(low.rlike(r"(?:^|[|_\-])0(?:$|[|_\-])") | low.contains("neg"), 0)
+    """From a 1 or "pos" that stands between delimiters, then a 0 or "neg" that does; else null."""
+    low = F.lower(F.trim(header))
+    between = lambda *tokens: reduce(Column.__or__, (low.rlike(DELIMITED % t) for t in tokens))
+    return F.when(between("1", "pos"), 1).when(between("0", "neg"), 0)
+
+
+def unique_record_ids(records: DataFrame, record_id: str = "record_id", row: str = "row_idx", prefix: str = "record") -> DataFrame:
+    """records with their ids, or, if any id occurs twice, all ids as prefix, underscore and the row's number in five digits."""
+    most = records.groupBy(record_id).agg(F.count("*").alias("n")).agg((F.coalesce(F.max("n"), F.lit(0)) > 1).alias("_twice"))  # one row
+    return records.join(F.broadcast(most)).withColumn(record_id, F.when(F.col("_twice"), F.format_string(f"{prefix}_%05d", F.col(row).cast("long"))).otherwise(F.col(record_id))).drop("_twice")
