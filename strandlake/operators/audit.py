@@ -73,6 +73,50 @@ def effective_size(w: Column) -> Column:
     return F.try_divide(F.pow(F.sum(w), 2), F.sum(w * w))
 
 
+def label_manifest(rows: DataFrame, header_label: Column, alphabet: str = "ACDEFGHIKLMNPQRSTVWY") -> DataFrame:
+    """rows (row_idx, split, header, sequence, label, found) with row_id, length and what an audit of labels marks.
+
+    header_label is an expression of header.  found says whether the sequence occurs in some other source.  Marks:
+    header_label and whether there is one and it agrees, a valid alphabet, repeats within a split, overlap of splits, and
+    other labels of the same sequence.
+    """
+    out = integrity(rows).withColumns({"row_id": F.format_string("row_%05d", F.col("row_idx")), "length": F.length("sequence"), "header_label": header_label})
+    agrees = F.col("header_label").isNull() | F.coalesce(F.col("header_label") == F.col("label"), F.lit(False))
+    marks = {"header_label_available": F.col("header_label").isNotNull(), "header_label_consistent": agrees, "valid_alphabet": F.coalesce(F.col("sequence").rlike(f"^[{alphabet}]+$"), F.lit(False))}
+    names = {"duplicate": "duplicated_within_split", "crosses": "cross_split_overlap", "conflict": "conflicting_label", "found": "found_elsewhere"}
+    return out.withColumns(marks).withColumnsRenamed(names).select("row_id", "row_idx", "split", "header", "sequence", "length", "label", "header_label", *marks, *names.values())
+
+
+def label_audit_items(manifest: DataFrame, splits: dict[str, object], tested: str, reported: tuple[int, int]) -> DataFrame:
+    """(item, value) of a label_manifest(): 21 items, counts in one pass and Fisher's test on four of them.
+
+    splits maps names to values of split; tested is the one whose headers are compared; reported are the positive and
+    negative counts published elsewhere.
+    """
+    y, at = F.col("label"), lambda k: F.col("split") == F.lit(splits[k])
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    found = {}
+    for k in splits:
+        found |= {f"{k}_n": n(at(k)), f"{k}_positive": n(at(k) & (y == 1)), f"{k}_negative": n(at(k) & (y == 0))}
+    found |= {
+        "total_n": F.count("*"), "total_positive": n(y == 1), "total_negative": n(y == 0),
+        "header_label_mismatches": n(at(tested) & ~F.col("header_label_consistent")), "nonstandard_rows": n(~F.col("valid_alphabet")), "within_split_duplicate_rows": n(F.col("duplicated_within_split")),
+        "overlap_sequences": F.count_distinct(F.when(F.col("cross_split_overlap"), F.col("sequence"))), "conflicting_label_rows": n(F.col("conflicting_label")),
+        "found_positive": n(F.col("found_elsewhere") & (y == 1)), "found_negative": n(F.col("found_elsewhere") & (y == 0)),
+    }
+    got = manifest.agg(*(c.alias(k) for k, c in found.items())).first().asDict()
+    a, c = got["found_positive"], got["found_negative"]
+    odds, p = fisher_exact(a, got["total_positive"] - a, c, got["total_negative"] - c) if a + c else (math.nan, math.nan)
+    got |= {"reported_positive": reported[0], "reported_negative": reported[1], "counts_are_transposed": (got["total_positive"], got["total_negative"]) == reported[::-1], "odds_ratio": round(odds, 6), "fisher_p": float(f"{p:.6g}")}
+    return manifest.sparkSession.createDataFrame([(k, str(v).lower() if isinstance(v, bool) else str(v)) for k, v in got.items()], "item string, value string")
+
+
+def same_rows(left: DataFrame, right: DataFrame, columns: list[str]) -> bool:
+    """Whether two tables hold the same rows as often: says if a cached table still fits its input."""
+    a, b = left.select(*columns), right.select(*columns)
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
 def fisher_exact(a: int, b: int, c: int, d: int) -> tuple[float, float]:
     """(odds ratio, two-sided p) of [[a, b], [c, d]]."""
     odds = math.inf if b * c == 0 and a * d > 0 else (math.nan if b * c == 0 else a * d / (b * c))

@@ -10,16 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranked import numbered, running, tile
+
 
 def clean(scores: DataFrame, label: str, score: str) -> DataFrame:
     return scores.where(F.col(label).isin(0, 1) & F.col(score).isNotNull() & ~F.isnan(score))
 
 
-def metrics(scores: DataFrame, keys: list[str], label: str = "label", score: str = "score", weight: str | None = None, threshold: float = 0.5, strict: bool = False, edge: float = 1e-6, clip_brier: bool = True) -> DataFrame:
+def metrics(scores: DataFrame, keys: list[str], label: str = "label", score: str = "score", weight: str | None = None, threshold: float = 0.5, strict: bool = False, edge: float = 1e-6, clip_brier: bool = True, spread: bool = True) -> DataFrame:
     """One row for each value of keys: counts, threshold metrics (recall is sensitivity), auc, average precision, brier and log loss.
 
     strict compares score > threshold instead of >=.  edge clips probabilities for the log loss, and for the Brier
-    score too if clip_brier.
+    score too if clip_brier.  spread ranges the distinct scores of each key over many tasks; without it each key is one
+    window, which suits many keys, such as replicates.
     """
     rows = clean(scores, label, score)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -36,8 +39,11 @@ def metrics(scores: DataFrame, keys: list[str], label: str = "label", score: str
         F.sum(w * F.pow(b - y, 2)).alias("se"),
         F.sum(-w * F.when(y == 1, F.ln(c)).otherwise(F.ln(1 - c))).alias("ll"),
     )
-    down = W.partitionBy(*keys).orderBy(F.desc("_p"))
-    run = at.withColumn("cp", F.sum("wp").over(down)).withColumn("cn", F.sum("wn").over(down))
+    if spread:
+        run = running(at, keys, [F.desc("_p")], ["wp", "wn"]).withColumnsRenamed({"run_wp": "cp", "run_wn": "cn"})
+    else:
+        down = W.partitionBy(*keys).orderBy(F.desc("_p"))
+        run = at.withColumn("cp", F.sum("wp").over(down)).withColumn("cn", F.sum("wn").over(down))
     g = run.groupBy(*keys).agg(
         F.sum("n").alias("n"), F.sum("np").alias("positives"), F.sum("wp").alias("all_p"), F.sum("wn").alias("all_n"),
         F.sum(F.col("wn") * (F.col("cp") - F.col("wp") / 2)).alias("area"),
@@ -61,8 +67,7 @@ def metrics(scores: DataFrame, keys: list[str], label: str = "label", score: str
 def auc_by_rank(scores: DataFrame, keys: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """AUC from average ranks: the Mann-Whitney form, over distinct scores."""
     at = clean(scores, label, score).groupBy(*keys, F.col(score).alias("_p")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("np"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = at.withColumn("rank", before + (F.col("n") + 1) / 2)
+    ranked = running(at, keys, [F.asc("_p")], ["n"]).withColumn("rank", F.col("run_n") - F.col("n") + (F.col("n") + 1) / 2)
     g = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("np")).alias("r"), F.sum("np").alias("p"), F.sum("n").alias("n"))
     return g.select(*keys, F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))).alias("auc"))
 
@@ -83,8 +88,12 @@ def width_bin(p: Column, bins: int) -> Column:
 
 
 def with_frequency_bin(scores: DataFrame, keys: list[str], bins: int, score: str, row: str) -> DataFrame:
-    """Equal-frequency bins by score and then row: the first bins get what is over."""
-    return scores.withColumn("bin", F.ntile(bins).over(W.partitionBy(*keys).orderBy(score, row)) - 1)
+    """Equal-frequency bins by score and then row: the first bins get what is over.
+
+    Rows that repeat score and row may change places: they are the same row, drawn twice.
+    """
+    placed = numbered(scores, keys, [score, row])
+    return placed.withColumn("bin", tile(F.col("k"), F.col("m"), bins)).drop("k", "m")
 
 
 def bin_table(scores: DataFrame, keys: list[str], bins: int = 10, label: str = "label", score: str = "score", row: str = "row_idx") -> DataFrame:

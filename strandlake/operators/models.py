@@ -149,6 +149,57 @@ def calibration_line(rows: DataFrame, score: str = "score", label: str = "label"
     return a, b
 
 
+def calibration_lines(rows: DataFrame, keys: list[str], score: str = "score", label: str = "label", rounds: int = 12) -> DataFrame:
+    """(keys, intercept, slope) of logistic fits of labels on logits, for all keys at once.
+
+    Every round of Newton's method is one grouped sum over distinct logits, joined with the lines so far; steps are at
+    most 1.  A key whose labels are all one, or whose scores are, has nulls.
+    """
+    from ..functions.sequence import logit, sigmoid
+    from .grouping import _written
+
+    z = rows.where(F.col(label).isin(0, 1) & F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*keys, logit(F.col(score)).alias("z")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("y"))
+    z = _written(z, "logits")
+    fit = z.groupBy(*keys).agg(F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), ((F.sum("y") > 0) & (F.sum("y") < F.sum("n")) & (F.min("z") < F.max("z"))).alias("ok"))
+    for k in range(rounds):
+        p = sigmoid(F.col("a") + F.col("z") * F.col("b"))
+        w, g = F.col("n") * p * (1 - p), F.col("y") - F.col("n") * p
+        s = z.join(fit.where("ok"), keys).groupBy(*keys, "a", "b").agg(F.sum(w).alias("h0"), F.sum(w * F.col("z")).alias("h1"), F.sum(w * F.col("z") * F.col("z")).alias("h2"), F.sum(g).alias("g0"), F.sum(g * F.col("z")).alias("g1"))
+        det = F.col("h0") * F.col("h2") - F.col("h1") * F.col("h1")
+        s = s.withColumns({"da": F.try_divide(F.col("h2") * F.col("g0") - F.col("h1") * F.col("g1"), det), "db": F.try_divide(F.col("h0") * F.col("g1") - F.col("h1") * F.col("g0"), det)})
+        s = s.withColumn("longest", F.greatest(F.lit(1.0), F.abs("da"), F.abs("db")))
+        step = s.select(*keys, (F.col("a") + F.col("da") / F.col("longest")).alias("a"), (F.col("b") + F.col("db") / F.col("longest")).alias("b"), F.lit(True).alias("ok"))
+        fit = step if k % 4 != 3 else _written(step, "lines")
+    every = z.select(*keys).distinct()
+    return every.join(fit.select(*keys, F.col("a").alias("intercept"), F.col("b").alias("slope")), keys, "left")
+
+
+def calibration_bundle(rows: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
+    """(keys, metric, value): brier, log_loss, both calibration errors, calibration intercept and slope."""
+    from .metrics import bin_table, ece, metrics
+
+    names = ("brier", "log_loss", "ece_width", "ece_frequency", "calibration_intercept", "calibration_slope")
+    errors = ece(bin_table(rows, keys, bins), keys).groupBy(*keys).pivot("scheme", ["width", "frequency"]).agg(F.max("ece"))
+    wide = metrics(rows, keys).select(*keys, "brier", "log_loss").join(errors.withColumnsRenamed({"width": "ece_width", "frequency": "ece_frequency"}), keys)
+    wide = wide.join(calibration_lines(rows, keys).withColumnsRenamed({"intercept": "calibration_intercept", "slope": "calibration_slope"}), keys)
+    return wide.select(*keys, F.expr(f"stack({len(names)}, {', '.join(f"'{n}', `{n}`" for n in names)}) AS (metric, value)"))
+
+
+def calibration_intervals(rows: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:
+    """(keys, metric, estimate, low, high): the bundle and its limits over class-stratified draws.
+
+    Each value of keys draws with a seed of its own, made of seed and the value.
+    """
+    from ..functions.sequence import stable_seed
+    from .grouping import _written
+    from .resample import bootstrap, intervals
+
+    own = stable_seed(seed, F.lit("calibration"), *keys)
+    drawn = _written(bootstrap(rows.where(F.col("label").isin(0, 1)), replicates, own, keys=tuple(keys)), "draws")
+    limits = intervals(calibration_bundle(drawn, [*keys, "replicate"]), [*keys, "metric"]).drop("median")
+    return calibration_bundle(rows, keys).withColumnRenamed("value", "estimate").join(limits, [*keys, "metric"], "left")
+
+
 def best_weight(rows: DataFrame, first: str, second: str, label: str = "label", steps: int = 100) -> float:
     """The convex weight of two probabilities with the least log loss: a grid in one pass, then a finer grid around."""
     low, high = 0.0, 1.0

@@ -3,47 +3,91 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequence import hamming, unit_hash
 from .metrics import metrics
+from .ranked import numbered
 
 
-def numbered(rows: DataFrame, by: list[str], order: str = "row_idx") -> DataFrame:
-    """Append k, the number of a row within by from 0, and m, their count."""
-    w = W.partitionBy(*by)
-    return rows.withColumn("k", F.row_number().over(w.orderBy(order)) - 1).withColumn("m", F.count("*").over(w))
-
-
-def bootstrap(rows: DataFrame, replicates: int, seed: int, label: str = "label", row: str = "row_idx", keys: tuple[str, ...] = ()) -> DataFrame:
+def bootstrap(rows: DataFrame, replicates: int, seed: int | Column, label: str = "label", row: str = "row_idx", keys: tuple[str, ...] = ()) -> DataFrame:
     """(replicate, rows' columns): each replicate draws as many rows of each class, with replacement.
 
     Draw k of a class takes the row number floor(m u) with u the hash of seed, replicate, class and k.  The draws are
-    made from the rows themselves, one for each row and replicate, so they are spread like the rows.
+    made from the rows themselves, one for each row and replicate, so they are spread like the rows.  Every value of
+    keys is drawn from alone; seed may be an expression of them.  Null labels take no part.
     """
+    rows = rows.where(F.col(label).isNotNull())
     by = [*keys, label]
-    own = numbered(rows, by, row)
+    own = numbered(rows, by, [row])
     draws = own.select(*by, "k", "m").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = unit_hash(F.lit(seed), "replicate", label, "k")
+    u = unit_hash(seed if isinstance(seed, Column) else F.lit(seed), "replicate", label, "k")
     picked = draws.select("replicate", *by, F.floor(u * F.col("m")).cast("int").alias("k"))
     return picked.join(own.drop("m"), [*by, "k"]).drop("k")
 
 
-def bootstrap_intervals(rows: DataFrame, models: list[str], replicates: int, seed: int, names: tuple[str, ...] = ("auc", "average_precision", "brier")) -> DataFrame:
-    """(model, metric, low, median, high): percentiles of each model's metrics over common replicates."""
-    long = bootstrap(rows, replicates, seed).select("replicate", "label", F.expr(f"stack({len(models)}, {', '.join(f'"{m}", `{m}`' for m in models)}) AS (model, score)"))
-    per = metrics(long, ["model", "replicate"])
-    flat = per.select("model", F.expr(f"stack({len(names)}, {', '.join(f'"{n}", `{n}`' for n in names)}) AS (metric, value)"))
-    q = lambda p: F.percentile("value", F.lit(p))
-    return flat.where("value IS NOT NULL").groupBy("model", "metric").agg(q(0.025).alias("low"), q(0.5).alias("median"), q(0.975).alias("high"))
+def intervals(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys, low, median, high): percentiles of a value over replicates; nulls, which replicates may give, are left out."""
+    q = lambda p: F.percentile(value, F.lit(p))
+    return values.where(F.col(value).isNotNull()).groupBy(*keys).agg(q(0.025).alias("low"), q(0.5).alias("median"), q(0.975).alias("high"))
+
+
+def _long(wide: DataFrame, keys: list[str], names: tuple[str, ...]) -> DataFrame:
+    return wide.select(*keys, F.expr(f"stack({len(names)}, {', '.join(f'"{n}", CAST(`{n}` AS DOUBLE)' for n in names)}) AS (metric, value)"))
+
+
+def bootstrap_intervals(rows: DataFrame, models: list[str], replicates: int, seed: int, names: tuple[str, ...] = ("auc", "average_precision", "brier"), weight: str | None = None) -> DataFrame:
+    """(model, metric, low, median, high): percentiles of each model's metrics over common replicates.
+
+    weight, if given, travels with the rows that are drawn.
+    """
+    own = [weight] if weight else []
+    long = bootstrap(rows, replicates, seed).select("replicate", "label", *own, F.expr(f"stack({len(models)}, {', '.join(f'"{m}", `{m}`' for m in models)}) AS (model, score)"))
+    return intervals(_long(metrics(long, ["model", "replicate"], weight=weight, spread=False), ["model"], names), ["model", "metric"])
+
+
+def cutoff_sensitivity(rows: DataFrame, identity: str, cutoffs: tuple[float, ...], replicates: int, seed: int, names: tuple[str, ...] = ("auc", "average_precision", "brier")) -> DataFrame:
+    """(identity_cutoff, metric, estimate, low, high, n, positive_n, negative_n, retained_fraction) of the rows whose
+    identity lies strictly below each cutoff.
+
+    Each cutoff draws with its own seed, seed and its place added.  A cutoff that leaves fewer than two classes has one
+    row, of metric "not_estimable".
+    """
+    levels = F.explode(F.array(*(F.struct(F.lit(float(c)).alias("c"), F.lit(seed + k).alias("s")) for k, c in enumerate(cutoffs))))
+    known = rows.where(F.col("label").isin(0, 1))
+    each = known.select("row_idx", "label", "score", F.col(identity).alias("_i"), levels.alias("_l")).select("*", F.col("_l.c").alias("identity_cutoff"), F.col("_l.s").alias("_seed")).drop("_l")
+    kept = F.coalesce(F.col("_i") < F.col("identity_cutoff"), F.lit(False))
+    counts = each.groupBy("identity_cutoff").agg(F.count_if(kept).alias("n"), F.count_if(kept & (F.col("label") == 1)).alias("positive_n"), F.count_if(kept & (F.col("label") == 0)).alias("negative_n"), F.avg(kept.cast("double")).alias("retained_fraction"))
+    enough = counts.where("positive_n > 0 AND negative_n > 0").select("identity_cutoff")
+    left = each.where(kept).join(F.broadcast(enough), "identity_cutoff")  # a row to each cutoff
+    keys = ["identity_cutoff"]
+    point = _long(metrics(left, keys), keys, names).withColumnRenamed("value", "estimate")
+    drawn = bootstrap(left, replicates, F.col("_seed"), keys=("identity_cutoff", "_seed"))
+    limits = intervals(_long(metrics(drawn, [*keys, "replicate"], spread=False), keys, names), [*keys, "metric"]).drop("median")
+    found = point.join(limits, [*keys, "metric"], "left")
+    return counts.join(found, keys, "left").withColumn("metric", F.coalesce("metric", F.lit("not_estimable"))).select("identity_cutoff", "metric", "estimate", "low", "high", "n", "positive_n", "negative_n", "retained_fraction")
+
+
+def match_frequency(rows: DataFrame, on: str, replicates: int, seed: int, row: str = "row_idx") -> DataFrame:
+    """(row, times_selected, selection_fraction) of every row, over the matchings of matched()."""
+    times = matched(rows, on, replicates, seed, row=row).groupBy(row).agg(F.count("*").alias("times_selected"))
+    out = rows.select(row).join(times, row, "left").withColumn("times_selected", F.coalesce("times_selected", F.lit(0)))
+    return out.withColumn("selection_fraction", F.col("times_selected") / F.lit(float(replicates)))
+
+
+def match_summary(rows: DataFrame, on: str, replicates: int, seed: int, names: tuple[str, ...] = ("auc", "average_precision", "brier", "mcc")) -> DataFrame:
+    """(metric, mean, sd, low, median, high) of metrics over the matchings of matched()."""
+    long = _long(metrics(matched(rows, on, replicates, seed), ["replicate"], spread=False), [], names)
+    spread = long.where("value IS NOT NULL").groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    return spread.join(intervals(long, ["metric"]), "metric")
 
 
 def paired_deltas(rows: DataFrame, first: str, second: str, replicates: int, seed: int, names: tuple[str, ...] = ("auc", "brier")) -> DataFrame:
     """(metric, low, median, high) of first minus second on the same draws."""
     long = bootstrap(rows, replicates, seed).select("replicate", "label", F.expr(f"stack(2, 'a', `{first}`, 'b', `{second}`) AS (model, score)"))
-    per = metrics(long, ["model", "replicate"])
+    per = metrics(long, ["model", "replicate"], spread=False)
     flat = per.select("model", "replicate", F.expr(f"stack({len(names)}, {', '.join(f'"{n}", `{n}`' for n in names)}) AS (metric, value)"))
     gap = flat.groupBy("metric", "replicate").agg((F.max(F.when(F.col("model") == "a", F.col("value"))) - F.max(F.when(F.col("model") == "b", F.col("value")))).alias("value"))
     q = lambda p: F.percentile("value", F.lit(p))
@@ -85,8 +129,9 @@ def shuffle_summary(ledger: DataFrame) -> DataFrame:
 
 def split(rows: DataFrame, share: float, seed: int, label: str = "label", row: str = "row_idx") -> DataFrame:
     """Append part, "train" or "test": the share of each class that comes first by hash is train."""
-    place = F.percent_rank().over(W.partitionBy(label).orderBy(unit_hash(F.lit(seed), row), row))
-    return rows.withColumn("part", F.when(place < share, "train").otherwise("test"))
+    placed = numbered(rows.withColumn("_u", unit_hash(F.lit(seed), row)), [label], ["_u", row])
+    place = F.col("k") / F.greatest(F.col("m") - 1, F.lit(1))
+    return placed.withColumn("part", F.when(place < share, "train").otherwise("test")).drop("_u", "k", "m")
 
 
 def generator_bootstrap(labels: list[int], replicates: int, seed: int, positive_first: bool = True) -> np.ndarray:

@@ -114,6 +114,108 @@ def align(a: str, b: str, opening: int = 10, extension: int = 1) -> tuple[int, i
     return best, matches, columns, matches / columns, min((at[0] - i) / n, (at[1] - j) / m)
 
 
+#: Pairs whose recurrences run side by side, and the length up to which a subsequence's state fits one word.
+SIDE_BY_SIDE, WORD_BITS = 8192, 64
+_CODES = np.full(128, 20, np.int8)
+_CODES[[ord(c) for c in RESIDUES]] = np.arange(20)
+#: Scores by residue code; code 20 is any other character, code 21 padding that no alignment enters.
+_TABLE = np.full((22, 22), -4, np.int32)
+_TABLE[:20, :20] = _M
+_TABLE[21, :] = _TABLE[:, 21] = -1000
+
+
+def _coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, longest) residue codes and code points, padded, and lengths."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    out = np.full((len(texts), max(1, sizes.max(initial=0))), 21, np.int8)
+    there, all_points = np.arange(out.shape[1]) < sizes[:, None], np.zeros(out.shape, np.uint32)
+    out[there], all_points[there] = _CODES[np.where(points < 128, points, 0)], points
+    return out, all_points, sizes
+
+
+def _by_size(a: list[str], b: list[str]) -> Iterator[np.ndarray]:
+    """Positions of pairs, those of like length together, so many at a time."""
+    order = np.lexsort(([len(x) for x in b], [len(x) for x in a]))
+    for k in range(0, len(order), SIDE_BY_SIDE):
+        yield order[k : k + SIDE_BY_SIDE]
+
+
+def ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """indel_ratio() of many pairs: the bit-parallel recurrence of all pairs of a batch at once."""
+    out = np.empty(len(a))
+    for at in _by_size(a, b):
+        x, y = [a[k] for k in at], [b[k] for k in at]
+        m, n = np.array([len(t) for t in x]), np.array([len(t) for t in y])
+        if max(m.max(), n.max()) > WORD_BITS:
+            out[at] = [indel_ratio(p, q) for p, q in zip(x, y, strict=True)]
+            continue
+        points = np.frombuffer("".join(x + y).encode("utf-32-le"), np.uint32)
+        kinds, codes = np.unique(points, return_inverse=True)
+        place = np.arange(max(1, m.max(), n.max()))
+        left, right = np.zeros((len(at), len(place)), np.int64), np.zeros((len(at), len(place)), np.int64)
+        left[place < m[:, None]], right[place < n[:, None]] = codes[: m.sum()], codes[m.sum() :]
+        where = np.zeros((len(at), max(1, len(kinds))), np.uint64)
+        rows = np.arange(len(at))
+        for k in range(int(m.max())):
+            on = rows[m > k]
+            where[on, left[on, k]] |= np.uint64(1 << k)
+        state = np.full(len(at), 2**64 - 1, np.uint64)
+        for k in range(int(n.max())):
+            u = state & where[rows, right[:, k]]
+            state = np.where(n > k, (state + u) | (state - u), state)
+        low = np.where(m < WORD_BITS, (np.uint64(1) << np.minimum(m, 63).astype(np.uint64)) - np.uint64(1), np.uint64(2**64 - 1))
+        common = np.bitwise_count(~state & low).astype(float)
+        out[at] = np.where(m + n > 0, 200 * common / np.maximum(m + n, 1), 100.0)
+    return out
+
+
+def align_many(a: list[str], b: list[str], opening: int = 10, extension: int = 1) -> pd.DataFrame:
+    """align() of many pairs: every cell of the recurrence for all pairs of a batch at once.
+
+    What the traceback would count travels forward with each cell: matches, columns and where the alignment begins.
+    """
+    out = np.zeros((len(a), 5))
+    for at in _by_size(a, b):
+        x, px, n = _coded([a[k] for k in at])
+        y, py, m = _coded([b[k] for k in at])
+        size, low = len(at), -(10**6)
+        first = lambda i, j: np.int64(i) << 32 | np.int64(j) << 48
+        column, zeros = np.int64(1 << 16), np.zeros(size, np.int32)
+        h = [zeros] * (y.shape[1] + 1)
+        f = [np.full(size, low, np.int32)] * len(h)
+        ch, cf = [np.full(size, first(0, j)) for j in range(len(h))], [np.zeros(size, np.int64)] * len(h)
+        best, end, carried = zeros.copy(), np.zeros((2, size), np.int64), np.zeros(size, np.int64)
+        for i in range(1, x.shape[1] + 1):
+            up, cup = h, ch
+            h, ch = [zeros], [np.full(size, first(i, 0))]
+            e, ce = np.full(size, low, np.int32), np.zeros(size, np.int64)
+            f, cf = [*f], [*cf]
+            score = _TABLE[x[:, i - 1]]
+            for j in range(1, y.shape[1] + 1):
+                opened = h[j - 1] - opening
+                ce = np.where(opened >= e - extension, ch[j - 1], ce) + column
+                e = np.maximum(opened, e - extension)
+                opened = up[j] - opening
+                cf[j] = np.where(opened >= f[j] - extension, cup[j], cf[j]) + column
+                f[j] = np.maximum(opened, f[j] - extension)
+                diagonal = up[j - 1] + score[np.arange(size), y[:, j - 1]]
+                now = np.maximum(np.maximum(diagonal, 0), np.maximum(e, f[j]))
+                same = (px[:, i - 1] == py[:, j - 1]).astype(np.int64)
+                own = np.where(now == f[j], cf[j], np.where(now == e, ce, cup[j - 1] + column + same))
+                ch.append(np.where(now == 0, first(i, j), own))
+                h.append(now)
+                higher = now > best
+                best = np.where(higher, now, best)
+                carried = np.where(higher, ch[j], carried)
+                end[0], end[1] = np.where(higher, i, end[0]), np.where(higher, j, end[1])
+        matches, columns, si, sj = carried & 0xFFFF, carried >> 16 & 0xFFFF, carried >> 32 & 0xFFFF, carried >> 48 & 0xFFFF
+        some = columns > 0
+        cover = np.minimum((end[0] - si) / np.maximum(n, 1), (end[1] - sj) / np.maximum(m, 1))
+        out[at] = np.column_stack([best, matches, columns, np.where(some, matches / np.maximum(columns, 1), 0), np.where(some, cover, 0)])
+    return pd.DataFrame(out, columns=["score", "matches", "columns", "identity", "coverage"]).astype({"score": "int32", "matches": "int32", "columns": "int32"})
+
+
 def shared_residues(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two arrays of residue counts."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
@@ -128,6 +230,10 @@ def residue_counts(s: Column) -> Column:
     return F.array(*own, rest)
 
 
+#: Keys to a length in candidate joins.
+SALTS = 8
+
+
 def candidates(left: DataFrame, right: DataFrame, least_share: float, of: str, self_join: bool) -> DataFrame:
     """(l_idx, l_seq, r_idx, r_seq) of pairs whose length and residue bound reaches the share.
 
@@ -140,10 +246,13 @@ def candidates(left: DataFrame, right: DataFrame, least_share: float, of: str, s
     l, r = side(left, "l").where("l_len > 0"), side(right, "r").where("r_len > 0")
     reach = least_share / (2 - least_share) if of == "sum" else least_share  # least ratio of the lengths
     slack = 1e-9
+    # Few lengths hold most sequences: l is dealt to SALTS keys of each length, and r stands under all of them.
+    l = l.withColumn("salt", F.pmod(F.xxhash64("l_idx"), F.lit(SALTS)).cast("int"))
+    r = r.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # Every length that l can meet; one row of l for each.
     spread = l.withColumn("r_len", F.explode(F.sequence(F.greatest(F.lit(1), F.ceil(F.col("l_len") * reach - slack).cast("int")), F.floor(F.col("l_len") / reach + slack).cast("int"))))
     need = least_share * (F.col("l_len") + F.col("r_len")) / 2 if of == "sum" else least_share * F.greatest("l_len", "r_len")
-    both = spread.join(r, "r_len").where(shared_residues(F.col("l_res"), F.col("r_res")) >= need - slack)
+    both = spread.join(r, ["r_len", "salt"]).where(shared_residues(F.col("l_res"), F.col("r_res")) >= need - slack)
     return (both.where("l_idx < r_idx") if self_join else both).select("l_idx", "l_seq", "r_idx", "r_seq")
 
 
@@ -153,7 +262,7 @@ def ratio_join(left: DataFrame, right: DataFrame | None = None, cutoff: float =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ratio = np.array([indel_ratio(x, y) for x, y in zip(b["l_seq"], b["r_seq"], strict=True)], float)
+            ratio = ratios(b["l_seq"].tolist(), b["r_seq"].tolist())
             yield pd.DataFrame({"l_idx": b["l_idx"], "r_idx": b["r_idx"], "ratio": ratio})[ratio >= cutoff]
 
     return pairs.mapInPandas(run, "l_idx long, r_idx long, ratio double")
@@ -165,8 +274,7 @@ _ALIGNED = "l_idx long, r_idx long, score int, matches int, columns int, identit
 def aligned(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [align(x, y) for x, y in zip(b["l_seq"], b["r_seq"], strict=True)]
-            out = pd.DataFrame(got, columns=["score", "matches", "columns", "identity", "coverage"])
+            out = align_many(b["l_seq"].tolist(), b["r_seq"].tolist())
             out.insert(0, "r_idx", b["r_idx"].to_numpy())
             out.insert(0, "l_idx", b["l_idx"].to_numpy())
             yield out
@@ -180,41 +288,67 @@ def alignment_join(rows: DataFrame, identity: float = 0.6, coverage: float = 0.8
     return aligned(pairs).where((F.col("identity") + 1e-12 >= identity) & (F.col("coverage") + 1e-12 >= coverage))
 
 
-def nearest(queries: DataFrame, pool: DataFrame, floor: float = 0.8, blocks: int = 8) -> DataFrame:
-    """For every query its best alignment in the pool by (identity, coverage, score), the first row winning ties; and
-    its best among those of at least floor coverage.
+#: Queries and rows of the pool of one block.
+QUERY_BLOCK, POOL_BLOCK = 256, 1024
+
+
+def _packs(rows: DataFrame, size: int, idx: str, seq: str, pack: str) -> tuple[DataFrame, int]:
+    """(pack, idx and seq arrays) of about size rows each, and the number of packs."""
+    n = max(1, -(-rows.count() // size))
+    dealt = rows.select(F.col("row_idx").alias(idx), F.coalesce("sequence", F.lit("")).alias(seq)).withColumn(pack, F.pmod(F.xxhash64(idx), F.lit(n)).cast("int"))
+    return dealt.groupBy(pack).agg(F.collect_list(F.struct(idx, seq)).alias("_p")).select(pack, F.col("_p")[idx].alias(idx), F.col("_p")[seq].alias(seq)), n
 
-    The stated pool is met by every query: the queries travel in blocks to the pool's partitions, each block's best is
-    taken there, and only bests are shuffled.  Queries without alignment keep 0, 0 and null.
+
+def nearest(queries: DataFrame, pool: DataFrame, floor: float = 0.8, identity: float = 0.0, by_product: bool = False) -> DataFrame:
+    """For every query its best alignment in the pool, the first row winning ties; and its best among those of at least
+    floor coverage and identity.
+
+    Best is by (identity, coverage, score); by_product puts identity times coverage before, for the unrestricted one.
+    The stated queries meet the pool in blocks of QUERY_BLOCK by POOL_BLOCK rows; a block's bests are taken where it is
+    aligned, and only bests are shuffled.  Queries without alignment keep 0, 0 and null.
     """
-    q = queries.select(F.col("row_idx").alias("l_idx"), F.col("sequence").alias("l_seq")).withColumn("block", F.pmod("l_idx", F.lit(blocks)))
-    packed = q.groupBy("block").agg(F.collect_list(F.struct("l_idx", "l_seq")).alias("queries"))
-    p = pool.select(F.col("row_idx").alias("r_idx"), F.col("sequence").alias("r_seq")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    met = p.join(packed, "block")
+    q, _ = _packs(queries, QUERY_BLOCK, "l_idx", "l_seq", "_q")
+    p, parts = _packs(pool, POOL_BLOCK, "r_idx", "r_seq", "_r")
+    met = q.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(p, "_r")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict = {}
         for b in batches:
-            for r, s, qs in zip(b["r_idx"], b["r_seq"], b["queries"], strict=True):
-                for x in qs:
-                    score, _, _, ident, cover = align(x["l_seq"], s)
-                    if score > 0:
-                        for kind in (0, 1):
-                            if kind == 0 or cover + 1e-12 >= floor:
-                                k, v = (x["l_idx"], kind), (ident, cover, score, -r)
-                                if k not in best or v > best[k]:
-                                    best[k] = v
-        yield pd.DataFrame([(k[0], k[1], v[0], v[1], v[2], -v[3]) for k, v in best.items()], columns=["l_idx", "kind", "identity", "coverage", "score", "r_idx"])
-
-    found = met.mapInPandas(run, "l_idx long, kind int, identity double, coverage double, score int, r_idx long")
-    order = W.partitionBy("l_idx", "kind").orderBy(F.desc("identity"), F.desc("coverage"), F.desc("score"), "r_idx")
-    top = found.withColumn("_r", F.row_number().over(order)).where("_r = 1")
+            for li, ls, ri, rs in zip(b["l_idx"], b["l_seq"], b["r_idx"], b["r_seq"], strict=True):
+                got = align_many(np.repeat(ls, len(rs)).tolist(), np.tile(rs, len(ls)).tolist())
+                got.insert(0, "l_idx", np.repeat(li, len(ri)))
+                got.insert(1, "r_idx", np.tile(ri, len(li)))
+                got = got[got["score"] > 0]
+                product = got["identity"] * got["coverage"] if by_product else got["identity"]
+                for kind, rows in ((0, got.assign(product=product)), (1, got[(got["coverage"] + 1e-12 >= floor) & (got["identity"] + 1e-12 >= identity)].assign(product=0.0))):
+                    best = rows.sort_values(["product", "identity", "coverage", "score", "r_idx"], ascending=[False] * 4 + [True], kind="stable").drop_duplicates("l_idx")
+                    yield best.assign(kind=kind)[["l_idx", "kind", "product", "identity", "coverage", "score", "r_idx"]]
+
+    from ._arrow import one_row_batches
+
+    with one_row_batches(queries.sparkSession):
+        from .grouping import _written
+
+        found = _written(met.select("l_idx", "l_seq", "r_idx", "r_seq").mapInPandas(run, "l_idx long, kind int, product double, identity double, coverage double, score int, r_idx long"), "bests")
+    order = W.partitionBy("l_idx", "kind").orderBy(F.desc("product"), F.desc("identity"), F.desc("coverage"), F.desc("score"), "r_idx")
+    top = found.withColumn("_n", F.row_number().over(order)).where("_n = 1")
     pick = lambda k, p: top.where(F.col("kind") == k).select("l_idx", *(F.col(c).alias(f"{p}{c}") for c in ("identity", "coverage", "score", "r_idx")))
-    out = q.select("l_idx").join(pick(0, ""), "l_idx", "left").join(pick(1, "eligible_"), "l_idx", "left")
+    out = queries.select(F.col("row_idx").alias("l_idx")).join(pick(0, ""), "l_idx", "left").join(pick(1, "eligible_"), "l_idx", "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("identity", "coverage", "score", "eligible_identity", "eligible_coverage", "eligible_score")}
     return out.withColumns(zero)
 
 
+def similarity_removal(train: DataFrame, test: DataFrame, identity: float = 0.6, coverage: float = 0.8) -> DataFrame:
+    """(row_idx, nearest_idx, identity, coverage, score, removed) of every row of train.
+
+    A row is removed if a row of test aligns with it with at least this identity and coverage; the nearest is then the
+    best of those, else the best of all by identity times coverage.
+    """
+    n = nearest(train, test, coverage, identity, by_product=True)
+    hit = F.col("eligible_r_idx").isNotNull()
+    best = lambda c: F.when(hit, F.col(f"eligible_{c}")).otherwise(F.col(c)).alias(c if c != "r_idx" else "nearest_idx")
+    return n.select(F.col("l_idx").alias("row_idx"), best("r_idx"), best("identity"), best("coverage"), best("score"), hit.alias("removed"))
+
+
 def contains_any(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "text", limit: int = 1_000_000) -> DataFrame:
     """texts with contained: whether any needle occurs in the text as a substring; one automaton reads each text once.
 

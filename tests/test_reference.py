@@ -119,7 +119,7 @@ def test_similarity_joins_lose_no_pair(spark, nodes):
 
 
 def test_nearest(spark, nodes):
-    got = {r["l_idx"]: r for r in similarity.nearest(nodes.where("row_idx < 3"), nodes.where("row_idx >= 3"), blocks=2).collect()}
+    got = {r["l_idx"]: r for r in similarity.nearest(nodes.where("row_idx < 3"), nodes.where("row_idx >= 3")).collect()}
     for i in range(3):
         own = [(*similarity.align(WORDS[i], WORDS[j])[3:], similarity.align(WORDS[i], WORDS[j])[0], -j) for j in range(3, len(WORDS)) if similarity.align(WORDS[i], WORDS[j])[0] > 0]
         assert (got[i]["identity"], got[i]["coverage"], got[i]["score"], -got[i]["r_idx"]) == max(own)
@@ -181,3 +181,108 @@ def test_models(spark):
     assert np.abs(1 / (1 + np.exp(-x @ w)) - [r["probability"] for r in p]).max() < 1e-4
     intercept, slope = models.calibration_line(spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, rng.random(200))], "label int, score double"))
     assert abs(intercept) < 1 and abs(slope) < 1
+
+
+def test_kernels_of_many_pairs():
+    import random
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("ACDEKLWZé") for _ in range(rng.randint(0, 30)))
+    a = [word() for _ in range(400)] + ["", "A" * 80, "A" * 64]
+    b = [x[:5] + word()[:4] + x[5:] if rng.random() < 0.6 else word() for x in a[:400]] + ["", "A" * 70, "A" * 64]
+    assert similarity.ratios(a, b).tolist() == [similarity.indel_ratio(x, y) for x, y in zip(a, b, strict=True)]
+    got = similarity.align_many(a, b)
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        assert tuple(got.iloc[k]) == pytest.approx(similarity.align(x, y))
+
+
+def test_nearest_and_removal_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(similarity, "POOL_BLOCK", 4)
+    rows = spark.createDataFrame(list(enumerate(WORDS)), "row_idx long, sequence string")
+    train, test = rows.where("row_idx >= 4"), rows.where("row_idx < 4")
+    got = {r["row_idx"]: r for r in similarity.similarity_removal(train, test).collect()}
+    for k, s in enumerate(WORDS[4:], 4):
+        all_ = [(j, *similarity.align(s, t)) for j, t in enumerate(WORDS[:4])]
+        all_ = [x for x in all_ if x[1] > 0]
+        hits = [x for x in all_ if x[4] >= 0.6 and x[5] >= 0.8]
+        r = got[k]
+        assert r["removed"] == bool(hits)
+        if hits:
+            want = min(hits, key=lambda x: (-x[4], -x[5], -x[1], x[0]))
+        elif all_:
+            want = min(all_, key=lambda x: (-x[4] * x[5], -x[4], -x[5], -x[1], x[0]))
+        else:
+            assert (r["nearest_idx"], r["identity"], r["score"]) == (None, 0, 0)
+            continue
+        assert (r["nearest_idx"], r["score"]) == (want[0], want[1]) and r["identity"] == pytest.approx(want[4])
+
+
+def test_calibration_line_of_each_key(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k, float(p), int(rng.random() < p ** (1 + k))) for k in (0, 1) for p in rng.random(400)] + [(2, 0.3, 1), (3, 0.2, 0), (3, 0.2, 1)]
+    d = spark.createDataFrame(rows, "k int, score double, label int")
+    got = {r["k"]: r for r in models.calibration_lines(d, ["k"]).collect()}
+    for k in (0, 1):
+        a, b = models.calibration_line(d.where(F.col("k") == k))
+        assert got[k]["intercept"] == pytest.approx(a, abs=1e-6) and got[k]["slope"] == pytest.approx(b, abs=1e-6)
+    assert got[2]["slope"] is None and got[3]["slope"] is None
+
+
+def test_header_tokens(spark):
+    d = spark.createDataFrame([("positive_set|0", 0, 1), ("x_pos|3", 1, 1), ("Non-Antioxidant 3", None, 0), ("a|0|pos", 1, 1), ("non-x", None, None), (" 1neg ", None, 0), ("neg", 0, 0)], "h string, d int, t int")
+    for r in d.select("*", fasta.label_delimited(F.col("h")).alias("gd"), fasta.label_tokens(F.col("h")).alias("gt")).collect():
+        assert (r["gd"], r["gt"]) == (r["d"], r["t"])
+    with pytest.raises(Exception, match="no label"):
+        d.select(fasta.label_tokens(F.col("h"), strict=True)).collect()
+
+
+def test_tables_in_and_out(spark, tmp_path):
+    import hashlib
+    import json
+
+    from strandlake.sources import tables
+
+    d = spark.createDataFrame([(1, "a"), (2, None)], "n long, s string")
+    tables.write_csv(d, f"{tmp_path}/c", single=True)
+    assert tables.read_csv(spark, f"{tmp_path}/c", "n long, s string").orderBy("n").collect() == d.orderBy("n").collect()
+    tables.write_json(d, f"{tmp_path}/j")
+    assert spark.read.json(f"{tmp_path}/j").columns == ["n", "s"]
+    np.save(f"{tmp_path}/m.npy", np.arange(6.0).reshape(3, 2))
+    assert [r["values"] for r in tables.import_matrix(spark, f"{tmp_path}/m.npy").orderBy("row_idx").collect()] == [[0, 1], [2, 3], [4, 5]]
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "x.txt").write_text("abc")
+    (tmp_path / "f" / "y.txt").write_text("abd")
+    good = hashlib.sha256(b"abc").hexdigest()
+    (tmp_path / "m.json").write_text(json.dumps({"files": {"x.txt": {"bytes": 3, "sha256": good}, "y.txt": {"bytes": 3, "sha256": good}, "z.txt": {"bytes": 1, "sha256": good}, "w": {"bytes": 9, "sha256": ""}}}))
+    (tmp_path / "f" / "w").write_text("1")
+    assert {r["name"]: r["status"] for r in audit.file_integrity(spark, f"{tmp_path}/f", tables.read_manifest(spark, f"{tmp_path}/m.json")).collect()} == {"x.txt": "ok", "y.txt": "hash", "z.txt": "missing", "w": "size"}
+    assert audit.same_rows(d, d, ["n", "s"]) and not audit.same_rows(d, d.limit(1), ["n"])
+
+
+def test_trees_stacks_and_weights(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(240, 2))
+    y = (x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=240) * 0.5 > 0).astype(int)
+    rows = spark.createDataFrame([(k, float(a), float(b), int(c), k % 3, k % 4 % 2) for k, ((a, b), c) in enumerate(zip(x, y, strict=True))], "row_idx long, a double, b double, label int, fold int, inner int")
+    for model in (models.forest(rows, ["a", "b"], trees=8), models.boosted(rows, ["a", "b"], trees=4)):
+        assert metrics.metrics(models.probability(model, rows, "score"), []).first()["auc"] > 0.9
+    fit = lambda f: lambda t: models.logistic(t, [f])
+    out = models.nested_stack(rows, {"a": fit("a"), "b": fit("b")}, 3, 2)
+    assert out.count() == 240 and metrics.metrics(out.withColumn("score", F.col("p_stack")), []).first()["auc"] > 0.88
+    w = models.best_weight(out, "p_a", "p_b")
+    assert 0.5 < w <= 1
+
+
+def test_running_sums_and_tiles(spark):
+    from strandlake.operators import ranked
+
+    rows = [(k, None if k % 3 == 0 else k % 3, float(k * 7 % 101), k % 5) for k in range(101)]
+    d = spark.createDataFrame(rows, "i int, g int, p double, v long")
+    got = {r["i"]: r for r in ranked.running(d, ["g"], [F.desc("p")], ["v"]).collect()}
+    for i, g, p, _ in rows:
+        assert got[i]["run_v"] == sum(v for _, h, q, v in rows if h == g and q >= p)
+    for r in ranked.numbered(d, ["g"], ["p"]).select("*", ranked.tile(F.col("k"), F.col("m"), 10).alias("b"), F.expr("ntile(10) OVER (PARTITION BY g ORDER BY p) - 1").alias("n"), F.expr("row_number() OVER (PARTITION BY g ORDER BY p) - 1").alias("w")).collect():
+        assert r["k"] == r["w"] and r["b"] == r["n"] and r["m"] == (34 if r["g"] in (None, 1) else 33)
+    few = ranked.numbered(d.where("i < 7"), [], ["p"]).select(ranked.tile(F.col("k"), F.col("m"), 10).alias("b")).collect()
+    assert sorted(r["b"] for r in few) == list(range(7))
