@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, metrics, models, resample, similarity
 from ..sources import fasta
-from .catalog import _BOOT, _EDGES, _HEADS, _REPLICATES, _bench_sequences, _metric_sql, query, r, rounded
+from .catalog import _BOOT, _EDGES, _HEADS, _REPLICATES, _SHUFFLE, _bench_sequences, _metric_sql, _sequences, query, r, rounded
+from ..functions.sequence import unit_hash
 from .frames import SCORED, scored, table
 
 _LABELLED = "l AS (SELECT * FROM d WHERE label IS NOT NULL)"
@@ -169,3 +170,23 @@ def similarity_removal(spark, sf_dir):
     """Training sequences with their nearest test sequence, and whether they are too near."""
     train, test = _two_sets(spark, sf_dir)
     return rounded(similarity.similarity_removal(train, test))
+
+
+@query(f"""WITH {_SHUFFLE}, og AS (SELECT row_idx, length(sequence) % 2 AS label, ('0x' || substr(md5('o|' || sequence), 1, 8))::BIGINT / 4294967296.0 AS score FROM q),
+    sh AS (SELECT row_idx, count(*) AS shuffles, avg(('0x' || substr(md5('o|' || shuffled), 1, 8))::BIGINT / 4294967296.0) AS mean_score FROM y GROUP BY 1),
+    bo AS (SELECT * FROM og JOIN sh USING (row_idx)), lo AS (SELECT unnest(['a', 'b']) AS model, label, unnest([score, mean_score]) AS v FROM bo), {_metric_sql('v', 'model', source='lo')},
+    au AS (SELECT max(area / (P_ * N_)) FILTER (model = 'a') AS auc, max(area / (P_ * N_)) FILTER (model = 'b') AS auc_shuffled FROM m)
+    SELECT count(*) AS originals, sum(shuffles)::BIGINT AS shuffles, {r('corr(score, mean_score)')} AS correlation, {r('avg(abs(mean_score - score))')} AS mean_absolute_change, {r('avg(mean_score - score) FILTER (label = 1)')} AS positive_change,
+    {r('avg(mean_score - score) FILTER (label = 0)')} AS negative_change, {r('any_value(auc)')} AS auc, {r('any_value(auc_shuffled)')} AS auc_shuffled, {r('any_value(auc - auc_shuffled)')} AS auc_drop FROM bo, au""")
+def shuffle_effect(spark, sf_dir):
+    """Scores of shuffled sequences averaged by original, and what they change."""
+    s = _sequences(spark, sf_dir)
+    own = s.select("row_idx", (F.length("sequence") % 2).alias("label"), unit_hash(F.lit("o"), "sequence").alias("score"))
+    shuffled = resample.shuffles(s, 4, 5).select("row_idx", unit_hash(F.lit("o"), "shuffled").alias("score"))
+    return rounded(resample.shuffle_effect(own, shuffled))
+
+
+@query()
+def control_models(spark, sf_dir):
+    """Out-of-fold metrics of models of simple representations."""
+    return models.document_controls(spark, sf_dir)

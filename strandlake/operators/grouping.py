@@ -13,12 +13,24 @@ from pyspark.sql import functions as F
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the folder of spark.checkpoint.dir, or a temporary one where that is unset."""
+    """df as Parquet in the folder of spark.checkpoint.dir; a temporary one where that is unset, on one machine only."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def _discard(df: DataFrame) -> None:
+    """Delete a table of _written() that no later plan reads."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(df._written_path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -29,13 +41,15 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
     """
     both = _written(edges.select(F.col("l_idx").alias("a"), F.col("r_idx").alias("b")).unionByName(edges.select(F.col("r_idx").alias("a"), F.col("l_idx").alias("b"))).distinct(), "edges")
     label = _written(nodes.select(F.col("row_idx").cast("long").alias("a"), F.col("row_idx").cast("long").alias("c")), "labels")
+    written = label
     for _ in range(max_rounds):
         near = both.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("c").alias("n"))
         step = label.join(near, "a", "left").select("a", F.least("c", F.coalesce("n", "c")).alias("c2"), "c")
         jump = step.select(F.col("a").alias("c2"), F.col("c2").alias("c3"))
         new = _written(step.join(jump, "c2").select("a", F.least("c2", "c3").alias("c"), (F.least("c2", "c3") != F.col("c")).alias("moved")), "labels")
         moved = new.where("moved").limit(1).count()
-        label = new.drop("moved")
+        _discard(written)
+        written, label = new, new.drop("moved")
         if not moved:
             break
     else:

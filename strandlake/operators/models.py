@@ -120,6 +120,82 @@ def nested_stack(rows: DataFrame, fits: dict, folds: int, inner: int, fold: str
     return out
 
 
+def refit_predict(train: DataFrame, test: DataFrame, fits: dict, folds: int, fold: str = "fold") -> DataFrame:
+    """test with each branch's probability p_name, the equal-logit mean p_mean and the stack p_stack, of models of all
+    of train; the stack learns from train's out-of-fold logits."""
+    from ..functions.sequence import logit, sigmoid
+
+    meta = train
+    for name, fit in fits.items():
+        meta = meta.join(cross_fit(train, fit, folds, fold).select("row_idx", logit(F.col("probability")).alias(f"z_{name}")), "row_idx")
+        test = probability(fit(train), test, f"p_{name}").withColumn(f"z_{name}", logit(F.col(f"p_{name}")))
+    z = [f"z_{n}" for n in fits]
+    test = probability(logistic(meta, z, penalise_intercept=False), test, "p_stack")
+    return test.withColumn("p_mean", sigmoid(sum((F.col(c) for c in z[1:]), F.col(z[0])) / len(z)))
+
+
+def repeated_runs(rows: DataFrame, seeds: list[int], run) -> DataFrame:
+    """The union of run(rows, seed) over the seeds, with a column seed."""
+    parts = [run(rows, seed).withColumn("seed", F.lit(seed)) for seed in seeds]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def control_suite(rows: DataFrame, fits: dict, folds: int, fold: str = "fold") -> DataFrame:
+    """Metrics of the out-of-fold probabilities of every model: (model, metrics' columns)."""
+    from .metrics import metrics
+
+    long = None
+    for name, fit in fits.items():
+        own = cross_fit(rows, fit, folds, fold).select(F.lit(name).alias("model"), "label", F.col("probability").alias("score"))
+        long = own if long is None else long.unionByName(own)
+    return metrics(long, ["model"])
+
+
+def ngram_logistic(rows: DataFrame, text: str, longest: int = 3, c: float = 1.0, label: str = "label") -> PipelineModel:
+    """A penalised logistic model of counts of character n-grams up to longest; the vocabulary is that of rows alone."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizer, SQLTransformer
+
+    grams = f"flatten(transform(sequence(1, {longest}), n -> IF(length(`{text}`) < n, CAST(array() AS array<string>), transform(sequence(1, greatest(1, length(`{text}`) - n + 1)), i -> substr(`{text}`, i, n)))))"
+    n = max(1, rows.count())
+    stages = [SQLTransformer(statement=f"SELECT *, {grams} AS _grams FROM __THIS__"), CountVectorizer(inputCol="_grams", outputCol="_x", minDF=1.0), LogisticRegression(featuresCol="_x", labelCol=label, regParam=1 / (c * n), elasticNetParam=0.0, standardization=False)]
+    return Pipeline(stages=stages).fit(rows)
+
+
+def principal_components(rows: DataFrame, features: list[str], k: int) -> DataFrame:
+    """rows with pc1 to pck: projections of the standardised features on their k principal components."""
+    from pyspark.ml.feature import PCA, StandardScaler
+
+    model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_x", withMean=True), PCA(k=k, inputCol="_x", outputCol="_pc")]).fit(rows)
+    out = model.transform(rows).withColumn("_pc", vector_to_array("_pc"))
+    return out.select(*rows.columns, *(F.col("_pc")[i].alias(f"pc{i + 1}") for i in range(k)))
+
+
+def parameters(model: PipelineModel) -> dict[str, dict[str, object]]:
+    """Parameters of every stage of a fitted pipeline, with values that JSON can hold."""
+    plain = lambda v: v if isinstance(v, (bool, int, float, str, type(None))) else [plain(x) for x in v] if isinstance(v, (list, tuple)) else str(v)
+    return {f"{k}_{type(stage).__name__}": {p.name: plain(v) for p, v in stage.extractParamMap().items()} for k, stage in enumerate(model.stages)}
+
+
+def save(model: PipelineModel | Logistic, path: str, spark) -> None:
+    """A fitted model as a folder: Spark's own format, or one row of JSON for Logistic."""
+    if isinstance(model, Logistic):
+        row = (model.features, model.mean.tolist(), model.scale.tolist(), model.weights.tolist())
+        spark.createDataFrame([row], "features array<string>, mean array<double>, scale array<double>, weights array<double>").write.mode("overwrite").json(path)
+    else:
+        model.write().overwrite().save(path)
+
+
+def load(path: str, spark, kind: str = "pipeline") -> PipelineModel | Logistic:
+    if kind == "pipeline":
+        return PipelineModel.load(path)
+    r = spark.read.schema("features array<string>, mean array<double>, scale array<double>, weights array<double>").json(path).first()
+    return Logistic(r["features"], np.array(r["mean"]), np.array(r["scale"]), np.array(r["weights"]))
+
+
 def overlap_weights(rows: DataFrame, features: list[str], label: str = "label", edge: float = 1e-6) -> DataFrame:
     """Append propensity and overlap_weight: one minus the propensity for class 1, the propensity for class 0."""
     e = probability(logistic(rows, features, label=label, penalise_intercept=False), rows, "propensity")
@@ -229,6 +305,17 @@ def document_oof(spark, sf_dir: str) -> DataFrame:
     return cross_fit(rows, lambda t: logistic(t, features), 5).select("row_idx", "fold", "label", F.round("probability", 4).alias("probability"))
 
 
+def document_controls(spark, sf_dir: str) -> DataFrame:
+    """Out-of-fold metrics of models of length, of composition, and of both."""
+    from .grouping import _written
+
+    rows, features = _documents(spark, sf_dir)
+    rows = _written(rows.na.fill({"length": 0.0}), "documents")
+    fits = {"length": ["length"], "composition": features[1:], "both": features}
+    out = control_suite(rows, {k: (lambda t, own=v: logistic(t, own)) for k, v in fits.items()}, 5)
+    return out.select("model", "n", "positives", *(F.round(c, 4).alias(c) for c in ("auc", "average_precision", "brier", "log_loss", "mcc")))
+
+
 def document_overlap(spark, sf_dir: str) -> DataFrame:
     """Balance of all 24 descriptors, by weights of a propensity model of all of them.
 

@@ -121,6 +121,22 @@ def shuffles(rows: DataFrame, replicates: int, seed: int, sequence: str = "seque
     return out.withColumn("distance", hamming(F.col("sequence"), F.col("shuffled"))).withColumn("repeated", again)
 
 
+def shuffle_effect(rows: DataFrame, scored: DataFrame, row: str = "row_idx") -> DataFrame:
+    """One row: what shuffling does to scores.  rows: row, label and score of originals; scored: row and score of shuffles.
+
+    Originals without shuffles are left out.  auc_shuffled is of each original's mean shuffled score; change is that
+    mean less the original's score.
+    """
+    mean = scored.groupBy(row).agg(F.count("*").alias("shuffles"), F.avg("score").alias("mean_score"))
+    both = rows.select(row, "label", "score").join(mean, row)
+    gap = F.col("mean_score") - F.col("score")
+    of = lambda c: F.avg(F.when(F.col("label") == c, gap))
+    change = both.agg(F.count("*").alias("originals"), F.sum("shuffles").alias("shuffles"), F.corr("score", "mean_score").alias("correlation"), F.avg(F.abs(gap)).alias("mean_absolute_change"), of(1).alias("positive_change"), of(0).alias("negative_change"))
+    auc = lambda c, n: metrics(both.select("label", F.col(c).alias("score")), []).select(F.col("auc").alias(n))
+    out = change.join(F.broadcast(auc("score", "auc"))).join(F.broadcast(auc("mean_score", "auc_shuffled")))  # one row each
+    return out.withColumn("auc_drop", F.col("auc") - F.col("auc_shuffled"))
+
+
 def shuffle_summary(ledger: DataFrame) -> DataFrame:
     """One row: draws, unchanged and repeated ones, mean, median and quantiles of the distance."""
     q = lambda p: F.percentile("distance", F.lit(p))

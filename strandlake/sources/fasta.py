@@ -75,3 +75,21 @@ def unique_record_ids(records: DataFrame, record_id: str = "record_id", row: str
     """records with their ids, or, if any id occurs twice, all ids as prefix, underscore and the row's number in five digits."""
     most = records.groupBy(record_id).agg(F.count("*").alias("n")).agg((F.coalesce(F.max("n"), F.lit(0)) > 1).alias("_twice"))  # one row
     return records.join(F.broadcast(most)).withColumn(record_id, F.when(F.col("_twice"), F.format_string(f"{prefix}_%05d", F.col(row).cast("long"))).otherwise(F.col(record_id))).drop("_twice")
+
+
+def load_sets(files: dict[str, tuple[DataFrame, int | None]], expected: dict[str, int] | None = None, alphabet: str = "ACDEFGHIKLMNPQRSTVWY") -> DataFrame:
+    """(split, file, record, header, record_id, sequence, label) of named sets of files, checked.
+
+    files maps a split to its (file, content) table and the label of all its records, null to read labels from the
+    last field of headers.  A sequence that is empty or leaves the alphabet raises, as does a split that has not
+    the expected number of records.
+    """
+    out = None
+    for split, (table, label) in files.items():
+        own = parse(table, strict=True).withColumns({"split": F.lit(split), "record_id": record_id(F.col("header")), "label": F.lit(label).cast("int") if label is not None else label_last_field(F.col("header"))})
+        out = own if out is None else out.unionByName(own)
+    counts = out.groupBy("split").agg(F.count("*").alias("n"), F.count_if(~F.col("sequence").rlike(f"^[{alphabet}]+$")).alias("bad")).collect()  # a row to each split
+    for r in counts:
+        if r["bad"] or (expected or {}).get(r["split"], r["n"]) != r["n"]:
+            raise ValueError(f"{r['split']}: {r['n']} records, {r['bad']} of them invalid")
+    return out.select("split", "file", "record", "header", "record_id", "sequence", "label")

@@ -286,3 +286,49 @@ def test_running_sums_and_tiles(spark):
         assert r["k"] == r["w"] and r["b"] == r["n"] and r["m"] == (34 if r["g"] in (None, 1) else 33)
     few = ranked.numbered(d.where("i < 7"), [], ["p"]).select(ranked.tile(F.col("k"), F.col("m"), 10).alias("b")).collect()
     assert sorted(r["b"] for r in few) == list(range(7))
+
+
+def test_refits_controls_and_saved_models(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 2))
+    y = (x[:, 0] - x[:, 1] + rng.normal(size=150) * 0.3 > 0).astype(int)
+    rows = spark.createDataFrame([(k, float(a), float(b), int(c), k % 3, "AC" * (1 + c) + "D" * (k % 4)) for k, ((a, b), c) in enumerate(zip(x, y, strict=True))], "row_idx long, a double, b double, label int, fold int, s string")
+    fit = lambda *f: lambda t: models.logistic(t, list(f))
+    out = models.refit_predict(rows.where("fold < 2"), rows.where("fold = 2"), {"a": fit("a"), "b": fit("b")}, 2).collect()
+    assert len(out) == 50 and all(0 < r[c] < 1 for r in out for c in ("p_a", "p_b", "p_mean", "p_stack"))
+    got = {r["model"]: r["auc"] for r in models.control_suite(rows, {"a": fit("a"), "ab": fit("a", "b")}, 3).collect()}
+    assert got["ab"] > got["a"] > 0.7
+    runs = models.repeated_runs(rows, [42, 43], lambda t, seed: t.agg(F.sum("label").alias("v")))
+    assert sorted(r["seed"] for r in runs.collect()) == [42, 43]
+    grams = models.ngram_logistic(rows.where("row_idx % 2 = 0"), "s")
+    found = models.probability(grams, rows.where("row_idx % 2 = 1"), "score")
+    assert metrics.metrics(found, []).first()["auc"] > 0.99 and "CountVectorizer" in " ".join(models.parameters(grams))
+    models.save(grams, f"{tmp_path}/g", spark)
+    again = models.probability(models.load(f"{tmp_path}/g", spark), rows.where("row_idx % 2 = 1"), "score")
+    assert audit.drift(found.select("row_idx", "score"), again.select("row_idx", "score"), ["row_idx"], "score", 1e-12) <= 1e-12
+    one = models.logistic(rows, ["a", "b"])
+    models.save(one, f"{tmp_path}/l", spark)
+    assert np.allclose(models.load(f"{tmp_path}/l", spark, "logistic").weights, one.weights)
+    pc = models.principal_components(rows, ["a", "b"], 2).select(F.variance("pc1").alias("u"), F.variance("pc2").alias("v"), F.corr("pc1", "pc2").alias("c")).first()
+    assert pc["u"] >= pc["v"] and abs(pc["c"]) < 1e-9 and math.isclose(pc["u"] + pc["v"], 2, rel_tol=1e-6)
+
+
+def test_load_sets(spark):
+    files = lambda t: spark.createDataFrame([("f", t)], "file string, content string")
+    got = fasta.load_sets({"dev": (files(">a x\nAC\n>b\nDE"), 1), "test": (files(">c|0\nKL"), None)}, {"dev": 2, "test": 1}).collect()
+    assert {(r["split"], r["record_id"], r["sequence"], r["label"]) for r in got} == {("dev", "a", "AC", 1), ("dev", "b", "DE", 1), ("test", "c|0", "KL", 0)}
+    for t, n in ((">a\nAZ", 1), (">a\nAC", 2), (">a\n", 1)):
+        with pytest.raises(ValueError):
+            fasta.load_sets({"dev": (files(t), 1)}, {"dev": n})
+
+
+def test_audit_items_and_ids(spark):
+    rows = [(0, 0, "x|1", "AC", 1, True), (1, 0, "x|0", "AC", 0, False), (2, 1, "x|0", "AC", 1, False), (3, 1, "none", "A?", 0, True), (4, 1, "x|1", "DE", 1, True)]
+    m = audit.label_manifest(spark.createDataFrame(rows, "row_idx long, split int, header string, sequence string, label int, found boolean"), fasta.label_delimited(F.col("header")))
+    got = {r["item"]: r["value"] for r in audit.label_audit_items(m, {"first": 0, "second": 1}, "second", (2, 3)).collect()}
+    assert len(got) == 21
+    assert (got["header_label_mismatches"], got["nonstandard_rows"], got["within_split_duplicate_rows"], got["overlap_sequences"], got["conflicting_label_rows"], got["counts_are_transposed"]) == ("1", "1", "2", "1", "3", "true")
+    assert (float(got["odds_ratio"]), float(got["fisher_p"])) == (2.0, 1.0)
+    ids = spark.createDataFrame([(0, "a"), (1, "b")], "row_idx long, record_id string")
+    assert [r["record_id"] for r in fasta.unique_record_ids(ids).orderBy("row_idx").collect()] == ["a", "b"]
+    assert [r["record_id"] for r in fasta.unique_record_ids(ids.withColumn("record_id", F.lit("a"))).orderBy("row_idx").collect()] == ["record_00000", "record_00001"]
