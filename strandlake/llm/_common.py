@@ -24,8 +24,10 @@ _own_dirs: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of this application only where that is unset."""
+    """The folder named by spark.checkpoint.dir; a temporary one where that is unset, on one machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
