@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "bpe", "warc", "urls", "neardup", "toxicity", "lm", "packing", "ann", "html_extract", "linededup", "crosstok")
+MODULES = ("quality", "bpe", "warc", "urls", "neardup", "toxicity", "lm", "packing", "ann", "html_extract", "linededup", "crosstok", "phrases")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

@@ -40,4 +40,4 @@ def test_stages(spark, tmp_path):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == [*range(1, 11), 12, 13] and set(queries.SQL) <= set(queries.QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == [*range(1, 14)] and set(queries.SQL) <= set(queries.QUERIES)
