@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as X
-from ..operators import audit, grouping, metrics, models, resample, similarity
+from ..operators import audit, grouping, metrics, models, resample, similarity, substring
 from ..sources import fasta, tables
 from .frames import SCORED, raw_words, scored, table, words, words_sql
 
@@ -189,7 +189,28 @@ def unseen_sequences(spark, sf_dir):
 @query("SELECT doc_id, coalesce(bool_or(contains(d.text, b.text)), false) AS contained FROM documents d LEFT JOIN benchmark b ON contains(d.text, b.text) GROUP BY doc_id")
 def substring_overlap(spark, sf_dir):
     """Documents that contain a benchmark item."""
-    return similarity.contains_any(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id", "contained")
+    return substring.contains_any(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id", "contained")
+
+
+@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def substring_matches(spark, sf_dir):
+    """Every document with every benchmark item that occurs in it."""
+    d, b = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    pairs = substring.substring_pairs(d, b)
+    digest = F.unhex(F.sha2("text", 256)).alias("digest")
+    return d.select("doc_id", digest).join(pairs, "digest").join(b.select("item_id", F.col("text").alias("needle")), "needle").select("doc_id", "item_id")
+
+
+@query(f"""WITH {words_sql()}, s AS (SELECT DISTINCT sequence FROM w WHERE sequence <> ''), {words_sql("benchmark", "item_id").replace("w AS", "v AS", 1)}, n AS (SELECT DISTINCT sequence AS needle FROM v WHERE sequence <> '')
+    SELECT needle, count(*) AS sequences, sum(length(sequence))::BIGINT AS residues FROM n JOIN s ON contains(sequence, needle) GROUP BY needle""")
+def contained_sequences(spark, sf_dir):
+    """For every sequence of the benchmark, the distinct sequences of the documents that contain it: needles of any length."""
+    s = raw_words(spark, sf_dir).select("word").distinct().select(X.residues_of(F.col("word")).alias("sequence")).where("sequence != ''").distinct()
+    n = words(spark, sf_dir, "benchmark", "item_id").select("sequence").where("sequence != ''").distinct()
+    s = grouping._written(s, "sequences")
+    pairs = substring.substring_pairs(s, n, "sequence", "sequence")
+    own = s.select(F.unhex(F.sha2("sequence", 256)).alias("digest"), F.length("sequence").cast("long").alias("k"))
+    return pairs.join(own, "digest").groupBy("needle").agg(F.count("*").alias("sequences"), F.sum("k").alias("residues"))
 
 
 @query(f"WITH {SCORED}, a AS (SELECT text FROM documents WHERE doc_id % 5 = 0), b AS (SELECT text FROM documents WHERE doc_id % 5 <> 0) SELECT 'both' AS side, count(*) AS n FROM (SELECT text FROM a INTERSECT SELECT text FROM b) UNION ALL SELECT 'left', count(*) FROM (SELECT text FROM a EXCEPT SELECT text FROM b) UNION ALL SELECT 'right', count(*) FROM (SELECT text FROM b EXCEPT SELECT text FROM a)")

@@ -161,7 +161,8 @@ def ngram_logistic(rows: DataFrame, text: str, longest: int = 3, c: float = 1.0,
 
     grams = f"flatten(transform(sequence(1, {longest}), n -> IF(length(`{text}`) < n, CAST(array() AS array<string>), transform(sequence(1, greatest(1, length(`{text}`) - n + 1)), i -> substr(`{text}`, i, n)))))"
     n = max(1, rows.count())
-    stages = [SQLTransformer(statement=f"SELECT *, {grams} AS _grams FROM __THIS__"), CountVectorizer(inputCol="_grams", outputCol="_x", minDF=1.0), LogisticRegression(featuresCol="_x", labelCol=label, regParam=1 / (c * n), elasticNetParam=0.0, standardization=False)]
+    kinds = max(1, rows.select(F.explode(F.expr(grams)).alias("g")).distinct().count())  # the vocabulary has no other bound
+    stages = [SQLTransformer(statement=f"SELECT *, {grams} AS _grams FROM __THIS__"), CountVectorizer(inputCol="_grams", outputCol="_x", minDF=1.0, vocabSize=kinds), LogisticRegression(featuresCol="_x", labelCol=label, regParam=1 / (c * n), elasticNetParam=0.0, standardization=False)]
     return Pipeline(stages=stages).fit(rows)
 
 

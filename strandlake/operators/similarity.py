@@ -347,30 +347,3 @@ def similarity_removal(train: DataFrame, test: DataFrame, identity: float = 0.6,
     hit = F.col("eligible_r_idx").isNotNull()
     best = lambda c: F.when(hit, F.col(f"eligible_{c}")).otherwise(F.col(c)).alias(c if c != "r_idx" else "nearest_idx")
     return n.select(F.col("l_idx").alias("row_idx"), best("r_idx"), best("identity"), best("coverage"), best("score"), hit.alias("removed"))
-
-
-def contains_any(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "text", limit: int = 1_000_000) -> DataFrame:
-    """texts with contained: whether any needle occurs in the text as a substring; one automaton reads each text once.
-
-    needles are a bounded list, of at most limit distinct strings, or an error is raised.  Empty needles occur
-    everywhere; a null text contains nothing.
-    """
-    import ahocorasick
-
-    words = [r[0] for r in needles.select(needle).where(F.col(needle).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(words) > limit:
-        raise ValueError(f"more than {limit} needles")
-    shared = texts.sparkSession.sparkContext.broadcast(words)
-    everywhere = "" in words
-
-    @F.pandas_udf("boolean")
-    def has(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        a = ahocorasick.Automaton()
-        for w in shared.value:
-            if w:
-                a.add_word(w, 1)
-        a.make_automaton()
-        for s in it:
-            yield s.map(lambda t: t is not None and (everywhere or (len(a) > 0 and next(a.iter(t), None) is not None)))
-
-    return texts.withColumn("contained", has(F.col(text)))

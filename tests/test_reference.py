@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as X
-from strandlake.operators import audit, grouping, metrics, models, resample, similarity
+from strandlake.operators import audit, grouping, metrics, models, resample, similarity, substring
 from strandlake.sources import fasta
 
 WORDS = ["ACDE", "ACDF", "ACDEF", "WYV", "WYVA", "KLMN", "KLMNP", "A", "GGGG", "GGGA", "AAAA", "WWYV"]
@@ -128,8 +128,8 @@ def test_nearest(spark, nodes):
 def test_contains_any(spark):
     d = spark.createDataFrame([("abc",), (None,), ("",), ("xyz",)], "text string")
     n = spark.createDataFrame([("bc",), ("q",)], "text string")
-    assert [r["contained"] for r in similarity.contains_any(d, n).collect()] == [True, False, False, False]
-    assert not any(r["contained"] for r in similarity.contains_any(d, n.limit(0)).collect())
+    assert [r["contained"] for r in substring.contains_any(d, n).collect()] == [True, False, False, False]
+    assert not any(r["contained"] for r in substring.contains_any(d, n.limit(0)).collect())
 
 
 def test_groups_follow_the_sequential_rules(spark, nodes):
