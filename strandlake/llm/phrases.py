@@ -143,13 +143,14 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     words = every.where(F.col("n") >= least)
     found, size = words.count(), totals.agg(F.sum("n")).first()[0] or 0
     floor = 0 if found <= one_read else frequent(words, one_read)
-    head = words.where(F.col("n") >= floor).toArrow().sort_by([("n", "descending"), ("lang", "ascending"), ("word", "ascending")])  # one_read rows at most
+    named = _numbered(words)
+    head = named.where(F.col("n") >= floor).select("lang", "word", "id").toArrow()  # one_read rows at most
     ids: dict[str, dict[bytes, int]] = {}
-    for k, (l, x) in enumerate(zip(head.column("lang").to_pylist(), head.column("word").to_pylist(), strict=True)):
+    for l, x, k in zip(*(c.to_pylist() for c in head.columns), strict=True):
         ids.setdefault(l, {b"": -2})[x.encode()] = k
     known = spark.sparkContext.broadcast(ids)
-    named = spark.createDataFrame(head.append_column("id", pa.array(np.arange(head.num_rows), pa.int64())), "lang string, word string, n long, id long") if head.num_rows else words.where("false").withColumn("id", F.lit(0).cast("long"))
-    tail = _numbered(words.where(F.col("n") < floor), head.num_rows) if floor else None
+    del head, ids
+    tail = named.where(F.col("n") < floor) if floor else None
     w = max(2, found.bit_length())
     if w > 31:
         raise ValueError("more than 2**31 words of that count")
@@ -157,7 +158,7 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text)
     filters = (_head_filters(source, known, w, prefix) if tail is None else _all_filters(source, known, tail, w, prefix))
     grams = C.materialize(_merged(filters, w, prefix, least, C.width(size, 1_000_000)), "phrases", "zstd")
-    return _best(grams, named, tail, totals, top)
+    return _best(grams, named, totals, top)
 
 
 def _head_filters(source: DataFrame, known, w: int, prefix: int) -> DataFrame:
@@ -208,25 +209,21 @@ def _all_filters(source: DataFrame, known, tail: DataFrame, w: int, prefix: int)
     return whole.mapInArrow(run, "range long, filter binary")
 
 
-def _numbered(words: DataFrame, begin: int) -> DataFrame:
-    """words with ids from begin on, without gaps."""
+def _numbered(words: DataFrame) -> DataFrame:
+    """words with ids from 0 on, without gaps."""
     low = (1 << 33) - 1  # the place within its partition
-    written = C.materialize(words.withColumn("_m", F.monotonically_increasing_id()), "tail", "zstd")
+    written = C.materialize(words.withColumn("_m", F.monotonically_increasing_id()), "ids", "zstd")
     part = F.shiftright("_m", 33).alias("part")
     sizes = sorted((r["part"], r["k"]) for r in written.groupBy(part).agg(F.count("*").alias("k")).collect())  # a row to a partition
     starts = np.cumsum([0, *(k for _, k in sizes)])
-    offsets = written.sparkSession.createDataFrame([(p, begin + int(s)) for (p, _), s in zip(sizes, starts, strict=False)] or [(0, begin)], "part long, start long")
+    offsets = written.sparkSession.createDataFrame([(p, int(s)) for (p, _), s in zip(sizes, starts, strict=False)] or [(0, 0)], "part long, start long")
     return written.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("id", F.col("start") + F.col("_m").bitwiseAND(low)).select("lang", "word", "n", "id")
 
 
-def _best(grams: DataFrame, named: DataFrame, tail: DataFrame | None, totals: DataFrame, top: int) -> DataFrame:
+def _best(grams: DataFrame, named: DataFrame, totals: DataFrame, top: int) -> DataFrame:
     def name(df: DataFrame, column: str) -> DataFrame:
         """df with the word, count and lang of an id."""
-        of = lambda t, p: t.select(F.col("id").alias(column), *(F.col(c).alias(f"{p}{column}_{c}") for c in ("word", "n", "lang")))
-        if tail is None:
-            return df.join(F.broadcast(of(named, "")), column, "left")
-        both = df.join(F.broadcast(of(named, "")), column, "left").join(of(tail, "_"), column, "left")
-        return both.withColumns({f"{column}_{c}": F.coalesce(f"{column}_{c}", f"_{column}_{c}") for c in ("word", "n", "lang")}).drop(*(f"_{column}_{c}" for c in ("word", "n", "lang")))
+        return df.join(named.select(F.col("id").alias(column), *(F.col(c).alias(f"{column}_{c}") for c in ("word", "n", "lang"))), column)
 
     two, three = grams.where("c < 0").select("a", "b", "n"), grams.where("c >= 0")
     longer = three.select("a", "b", "n").unionByName(three.select(F.col("b").alias("a"), F.col("c").alias("b"), "n")).groupBy("a", "b").agg(F.max("n").alias("longest"))
