@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as X
-from ..operators import audit, grouping, metrics, models, resample, similarity, substring
+from ..operators import audit, features, grouping, metrics, models, resample, similarity, substring
 from ..sources import fasta, tables
-from .frames import SCORED, raw_words, scored, table, words, words_sql
+from .frames import LOWER, SCORED, UPPER, raw_words, scored, table, words, words_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -104,6 +104,18 @@ def pair_composition(spark, sf_dir):
     return rounded(g.join(F.broadcast(total)).select("pair", "n", (F.col("n") / F.col("t")).alias("share")))
 
 
+@query(f"""WITH t AS (SELECT doc_id AS row_idx, regexp_replace(translate(coalesce(text, ''), '{LOWER}', '{UPPER}'), '[^{X.RESIDUES}]', '', 'g') AS s FROM documents),
+    p AS (SELECT row_idx, pair, count(*) AS n FROM (SELECT row_idx, unnest(list_transform(range(1, len(l)), lambda i: l[i] || l[i + 1])) AS pair FROM (SELECT row_idx, string_split(s, '') AS l FROM t WHERE s <> '')) GROUP BY ALL)
+    SELECT row_idx, position(pair[1] IN '{X.RESIDUES}') * 20 + position(pair[2] IN '{X.RESIDUES}') - 1 AS place, {r('n / sum(n) OVER (PARTITION BY row_idx)')} AS share FROM p
+    UNION ALL SELECT row_idx, i - 1, {r("(length(s) - length(replace(s, rs[i], ''))) / length(s)")} FROM (SELECT row_idx, s, rs, unnest(range(1, 21)) AS i FROM (SELECT row_idx, s, string_split('{X.RESIDUES}', '') AS rs FROM t)) WHERE contains(s, rs[i])
+    UNION ALL SELECT row_idx, 420, length(s)::DOUBLE FROM t WHERE s <> ''""")
+def feature_vectors(spark, sf_dir):
+    """What is not zero of the 421-wide vectors, residues, pairs and length, of every document."""
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), X.residues_of(F.coalesce("text", F.lit(""))).alias("sequence"))
+    v = features.handcrafted(t).select("row_idx", F.posexplode(features.vector()).alias("place", "share"))
+    return rounded(v.where("share != 0").select("row_idx", F.col("place").cast("long").alias("place"), "share"))
+
+
 def _sum_sql(weights: dict) -> str:
     return " + ".join(f"(length(sequence) - length(replace(sequence, '{k}', ''))) * ({v})" for k, v in weights.items())
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,15 +143,33 @@ def repeated_runs(rows: DataFrame, seeds: list[int], run) -> DataFrame:
     return out
 
 
-def control_suite(rows: DataFrame, fits: dict, folds: int, fold: str = "fold") -> DataFrame:
-    """Metrics of the out-of-fold probabilities of every model: (model, metrics' columns)."""
+def control_suite(rows: DataFrame, fits: dict, folds: int, fold: str = "fold", test: DataFrame | None = None, linear: dict[str, list[str]] | None = None) -> DataFrame:
+    """Metrics of every model: (evaluation, model, metrics' columns), of out-of-fold scores and, given test, of its scores
+    by models of all rows.
+
+    linear names the features of penalised logistic models, which are fitted all at once; fits are functions that take a
+    table and give a model, one fit to each fold and one to all rows.
+    """
+    from .crossfit import cross_fits
     from .metrics import metrics
 
-    long = None
+    linear = linear or {}
+    long: list[DataFrame] = []
+    add = lambda df, evaluation, name, column: long.append(df.select(F.lit(evaluation).alias("evaluation"), F.lit(name).alias("model"), "label", F.col(column).alias("score")))
+    if linear:
+        own, other = cross_fits(rows, linear, folds, fold, test)
+        for name in linear:
+            add(own, "out_of_fold", name, f"p_{name}")
+            if other is not None:
+                add(other, "test", name, f"p_{name}")
     for name, fit in fits.items():
-        own = cross_fit(rows, fit, folds, fold).select(F.lit(name).alias("model"), "label", F.col("probability").alias("score"))
-        long = own if long is None else long.unionByName(own)
-    return metrics(long, ["model"])
+        add(cross_fit(rows, fit, folds, fold), "out_of_fold", name, "probability")
+        if test is not None:
+            add(probability(fit(rows), test), "test", name, "probability")
+    every = long[0]
+    for x in long[1:]:
+        every = every.unionByName(x)
+    return metrics(every, ["evaluation", "model"])
 
 
 def ngram_logistic(rows: DataFrame, text: str, longest: int = 3, c: float = 1.0, label: str = "label") -> PipelineModel:
@@ -226,29 +244,41 @@ def calibration_line(rows: DataFrame, score: str = "score", label: str = "label"
     return a, b
 
 
-def calibration_lines(rows: DataFrame, keys: list[str], score: str = "score", label: str = "label", rounds: int = 12) -> DataFrame:
-    """(keys, intercept, slope) of logistic fits of labels on logits, for all keys at once.
+def calibration_lines(rows: DataFrame, keys: list[str], score: str = "score", label: str = "label", c: float = 1e8, rounds: int = 300, tolerance: float = 1e-9) -> DataFrame:
+    """(keys, intercept, slope) of logistic fits of labels on logits, for all keys at once, the slope penalised with inverse
+    strength c, so that classes which logits separate have a line too.
 
-    Every round of Newton's method is one grouped sum over distinct logits, joined with the lines so far; steps are at
-    most 1.  A key whose labels are all one, or whose scores are, has nulls.
+    Every round of Newton's method is one grouped sum over distinct logits, joined with the lines still moving; steps are
+    at most 1.  A key whose labels are all one, or whose scores are, has nulls.  A RuntimeError says that some did not settle.
     """
     from ..functions.sequence import logit, sigmoid
     from .grouping import _written
 
     z = rows.where(F.col(label).isin(0, 1) & F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*keys, logit(F.col(score)).alias("z")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("y"))
     z = _written(z, "logits")
-    fit = z.groupBy(*keys).agg(F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), ((F.sum("y") > 0) & (F.sum("y") < F.sum("n")) & (F.min("z") < F.max("z"))).alias("ok"))
+    ok = (F.sum("y") > 0) & (F.sum("y") < F.sum("n")) & (F.min("z") < F.max("z"))
+    moving = z.groupBy(*keys).agg(ok.alias("ok"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), F.lit(1.0).alias("moved")).where("ok").drop("ok")
+    settled = []
     for k in range(rounds):
         p = sigmoid(F.col("a") + F.col("z") * F.col("b"))
         w, g = F.col("n") * p * (1 - p), F.col("y") - F.col("n") * p
-        s = z.join(fit.where("ok"), keys).groupBy(*keys, "a", "b").agg(F.sum(w).alias("h0"), F.sum(w * F.col("z")).alias("h1"), F.sum(w * F.col("z") * F.col("z")).alias("h2"), F.sum(g).alias("g0"), F.sum(g * F.col("z")).alias("g1"))
+        s = z.join(moving, keys).groupBy(*keys, "a", "b").agg(F.sum(w).alias("h0"), F.sum(w * F.col("z")).alias("h1"), (F.sum(w * F.col("z") * F.col("z")) + 1 / c).alias("h2"), F.sum(g).alias("g0"), (F.sum(g * F.col("z")) - F.col("b") / c).alias("g1"))
         det = F.col("h0") * F.col("h2") - F.col("h1") * F.col("h1")
         s = s.withColumns({"da": F.try_divide(F.col("h2") * F.col("g0") - F.col("h1") * F.col("g1"), det), "db": F.try_divide(F.col("h0") * F.col("g1") - F.col("h1") * F.col("g0"), det)})
         s = s.withColumn("longest", F.greatest(F.lit(1.0), F.abs("da"), F.abs("db")))
-        step = s.select(*keys, (F.col("a") + F.col("da") / F.col("longest")).alias("a"), (F.col("b") + F.col("db") / F.col("longest")).alias("b"), F.lit(True).alias("ok"))
-        fit = step if k % 4 != 3 else _written(step, "lines")
-    every = z.select(*keys).distinct()
-    return every.join(fit.select(*keys, F.col("a").alias("intercept"), F.col("b").alias("slope")), keys, "left")
+        moving = s.select(*keys, (F.col("a") + F.col("da") / F.col("longest")).alias("a"), (F.col("b") + F.col("db") / F.col("longest")).alias("b"), F.greatest(F.abs("da"), F.abs("db")).alias("moved"))
+        if k % 8 == 7:  # lineage is cut, and what has settled leaves
+            now = _written(moving, "lines")
+            settled.append(now.where(F.col("moved") <= tolerance))
+            moving = now.where(~(F.col("moved") <= tolerance))
+            if not moving.limit(1).count():
+                break
+    else:
+        raise RuntimeError(f"lines did not settle in {rounds} rounds")
+    fit = settled[0]
+    for x in settled[1:]:
+        fit = fit.unionByName(x)
+    return z.select(*keys).distinct().join(fit.select(*keys, F.col("a").alias("intercept"), F.col("b").alias("slope")), keys, "left")
 
 
 def calibration_bundle(rows: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
@@ -302,19 +332,34 @@ def _documents(spark, sf_dir: str) -> tuple[DataFrame, list[str]]:
 
 
 def document_oof(spark, sf_dir: str) -> DataFrame:
+    from .crossfit import cross_fits
+
     rows, features = _documents(spark, sf_dir)
-    return cross_fit(rows, lambda t: logistic(t, features), 5).select("row_idx", "fold", "label", F.round("probability", 4).alias("probability"))
+    own, _ = cross_fits(rows, {"both": features}, 5)
+    return own.select("row_idx", "fold", "label", F.round("p_both", 4).alias("probability"))
+
+
+def document_features(spark, sf_dir: str) -> DataFrame:
+    """(row_idx, split, label, sequence, length, aac, dpc) of every labelled document's residue letters."""
+    from ..functions.sequence import residues_of
+    from ..jobs.frames import table
+    from .features import handcrafted
+
+    l = table(spark, sf_dir, "labels").where("quality IS NOT NULL").select(F.col("doc_id").alias("row_idx"), F.col("quality").cast("int").alias("label"))
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), (F.col("doc_id") % 5).cast("int").alias("split"), residues_of(F.coalesce("text", F.lit(""))).alias("sequence"))
+    return handcrafted(t.join(l, "row_idx"))
 
 
 def document_controls(spark, sf_dir: str) -> DataFrame:
-    """Out-of-fold metrics of models of length, of composition, and of both."""
+    """Simple representations as controls: out-of-fold scores in splits 1 to 4, and scores of split 0 as the test set."""
     from .grouping import _written
 
-    rows, features = _documents(spark, sf_dir)
-    rows = _written(rows.na.fill({"length": 0.0}), "documents")
-    fits = {"length": ["length"], "composition": features[1:], "both": features}
-    out = control_suite(rows, {k: (lambda t, own=v: logistic(t, own)) for k, v in fits.items()}, 5)
-    return out.select("model", "n", "positives", *(F.round(c, 4).alias(c) for c in ("auc", "average_precision", "brier", "log_loss", "mcc")))
+    rows = _written(document_features(spark, sf_dir).withColumn("fold", F.col("split") - 1), "controls")
+    linear = {"length": ["length"], "composition": ["aac", "length"], "pairs": ["aac", "dpc", "length"]}
+    trees = lambda t: Pipeline(stages=[VectorAssembler(inputCols=["_v"], outputCol="_x"), RandomForestClassifier(featuresCol="_x", labelCol="label", numTrees=100, featureSubsetStrategy="sqrt", seed=42)]).fit(t)
+    rows = rows.withColumn("_v", array_to_vector(F.concat("aac", "dpc", F.array("length"))))
+    out = control_suite(rows.where("split > 0"), {"pairs_forest": trees}, 4, test=rows.where("split = 0"), linear=linear)
+    return out.select("evaluation", "model", "n", "positives", *(F.round(c, 4).alias(c) for c in ("auc", "average_precision", "brier", "log_loss", "mcc")))
 
 
 def document_overlap(spark, sf_dir: str) -> DataFrame:

@@ -347,3 +347,85 @@ def similarity_removal(train: DataFrame, test: DataFrame, identity: float = 0.6,
     hit = F.col("eligible_r_idx").isNotNull()
     best = lambda c: F.when(hit, F.col(f"eligible_{c}")).otherwise(F.col(c)).alias(c if c != "r_idx" else "nearest_idx")
     return n.select(F.col("l_idx").alias("row_idx"), best("r_idx"), best("identity"), best("coverage"), best("score"), hit.alias("removed"))
+
+
+def least_edits(m: int, n: int, cutoff: float) -> int:
+    """Insertions and deletions that lengths m <= n may be apart with an indel ratio of cutoff; -1 if they can't reach it.
+
+    Their number is even or odd as n - m is.
+    """
+    k = int((1 - cutoff / 100) * (m + n) + 1e-9)
+    k -= (k - (n - m)) % 2
+    return k if k >= n - m else -1
+
+
+def segments(m: int, parts: int) -> list[tuple[int, int]]:
+    """(begin, length) of so many even parts of a string of length m, the shorter ones first."""
+    base, longer = divmod(m, parts)
+    out, at = [], 0
+    for i in range(parts):
+        size = base + (i >= parts - longer)
+        out.append((at, size))
+        at += size
+    return out
+
+
+def signatures(s: str, cutoff: float, as_shorter: bool, equal: bool = True) -> list[str]:
+    """Keys under which every pair of at least this ratio meets, of a string as its shorter or its longer side.
+
+    The shorter string is cut into one more part than edits are allowed, so one part is whole in the longer one.  Edits
+    before it are at most the deletions, or the insertions, that the lengths leave, which bounds where it may lie.
+    Where the shorter one has fewer letters than that needs, the pair of lengths is the only key.
+    """
+    size, share, out = len(s), cutoff / 100, []
+    reach = share / (2 - share)
+    others = range(size if equal else size + 1, int(size / reach + 1e-9) + 1) if as_shorter else range(max(1, int(np.ceil(size * reach - 1e-9))), size + equal)
+    for other in others:
+        m, n = (size, other) if as_shorter else (other, size)
+        k = least_edits(m, n, cutoff)
+        if k < 0:
+            continue
+        if k >= m:
+            out.append(f"{m} {n}")
+            continue
+        gone, come = (k - (n - m)) // 2, (k + (n - m)) // 2
+        for i, (at, length) in enumerate(segments(m, k + 1)):
+            if as_shorter:
+                out.append(f"{m} {n} {i} {s[at : at + length]}")
+            else:
+                out += {f"{m} {n} {i} {s[q : q + length]}" for q in range(max(0, at - gone), min(n - length, at + come) + 1)}
+    return out
+
+
+def _signed(rows: DataFrame, p: str, cutoff: float, as_shorter: bool, equal: bool = True) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = [signatures(s, cutoff, as_shorter, equal) for s in b["s"]]
+            n = [len(k) for k in keys]
+            yield pd.DataFrame({"key": [x for k in keys for x in k], f"{p}_idx": np.repeat(b["i"].to_numpy(), n), f"{p}_seq": np.repeat(b["s"].to_numpy(), n)})
+
+    own = rows.where(F.length("sequence") > 0).select(F.col("row_idx").cast("long").alias("i"), F.col("sequence").alias("s"))
+    return own.mapInPandas(run, f"key string, {p}_idx long, {p}_seq string")
+
+
+def signature_join(left: DataFrame, right: DataFrame | None = None, cutoff: float = 85.0) -> DataFrame:
+    """(l_idx, r_idx, ratio) with an indel ratio of at least cutoff, as ratio_join(), by keys that get selective as the cutoff rises.
+
+    Nulls and empty sequences take no part; row_idx is unique.  A self-join of l_idx < r_idx if right is None.
+    """
+    keep = ["l_idx", "l_seq", "r_idx", "r_seq"]
+    pairs = _signed(left, "l", cutoff, True).join(_signed(left if right is None else right, "r", cutoff, False), "key").select(*keep)
+    if right is None:
+        apart = F.length("l_seq") < F.length("r_seq")
+        pairs = pairs.where(apart | (F.col("l_idx") < F.col("r_idx")))
+    else:
+        pairs = pairs.unionByName(_signed(right, "r", cutoff, True, False).join(_signed(left, "l", cutoff, False, False), "key").select(*keep))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ratio = ratios(b["l_seq"].tolist(), b["r_seq"].tolist())
+            yield pd.DataFrame({"l_idx": b["l_idx"], "r_idx": b["r_idx"], "ratio": ratio})[ratio >= cutoff]
+
+    found = pairs.mapInPandas(run, "l_idx long, r_idx long, ratio double")
+    ends = (F.least("l_idx", "r_idx").alias("l_idx"), F.greatest("l_idx", "r_idx").alias("r_idx")) if right is None else ("l_idx", "r_idx")
+    return found.select(*ends, "ratio").distinct()

@@ -296,8 +296,9 @@ def test_refits_controls_and_saved_models(spark, tmp_path):
     fit = lambda *f: lambda t: models.logistic(t, list(f))
     out = models.refit_predict(rows.where("fold < 2"), rows.where("fold = 2"), {"a": fit("a"), "b": fit("b")}, 2).collect()
     assert len(out) == 50 and all(0 < r[c] < 1 for r in out for c in ("p_a", "p_b", "p_mean", "p_stack"))
-    got = {r["model"]: r["auc"] for r in models.control_suite(rows, {"a": fit("a"), "ab": fit("a", "b")}, 3).collect()}
-    assert got["ab"] > got["a"] > 0.7
+    got = {(r["evaluation"], r["model"]): r["auc"] for r in models.control_suite(rows, {"a": fit("a"), "ab": fit("a", "b")}, 3, test=rows, linear={"both": ["a", "b"]}).collect()}
+    assert got["out_of_fold", "ab"] > got["out_of_fold", "a"] > 0.7 and len(got) == 6
+    assert abs(got["out_of_fold", "both"] - got["out_of_fold", "ab"]) < 1e-12 and abs(got["test", "both"] - got["test", "ab"]) < 1e-12
     runs = models.repeated_runs(rows, [42, 43], lambda t, seed: t.agg(F.sum("label").alias("v")))
     assert sorted(r["seed"] for r in runs.collect()) == [42, 43]
     grams = models.ngram_logistic(rows.where("row_idx % 2 = 0"), "s")
