@@ -288,49 +288,128 @@ def alignment_join(rows: DataFrame, identity: float = 0.6, coverage: float = 0.8
     return aligned(pairs).where((F.col("identity") + 1e-12 >= identity) & (F.col("coverage") + 1e-12 >= coverage))
 
 
-#: Queries and rows of the pool of one block.
-QUERY_BLOCK, POOL_BLOCK = 256, 1024
+#: Queries and rows of the pool of one block, and the pairs of a query that a block aligns in a round.
+QUERY_BLOCK, POOL_BLOCK, ROUND = 256, 1024, 16
 
 
-def _packs(rows: DataFrame, size: int, idx: str, seq: str, pack: str) -> tuple[DataFrame, int]:
+def _packs(rows: DataFrame, size: int, idx: str, seq: str, pack: str, more: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     """(pack, idx and seq arrays) of about size rows each, and the number of packs."""
     n = max(1, -(-rows.count() // size))
-    dealt = rows.select(F.col("row_idx").alias(idx), F.coalesce("sequence", F.lit("")).alias(seq)).withColumn(pack, F.pmod(F.xxhash64(idx), F.lit(n)).cast("int"))
-    return dealt.groupBy(pack).agg(F.collect_list(F.struct(idx, seq)).alias("_p")).select(pack, F.col("_p")[idx].alias(idx), F.col("_p")[seq].alias(seq)), n
+    dealt = rows.select(F.col("row_idx").alias(idx), F.coalesce("sequence", F.lit("")).alias(seq), *more).withColumn(pack, F.pmod(F.xxhash64(idx), F.lit(n)).cast("int"))
+    return dealt.groupBy(pack).agg(F.collect_list(F.struct(idx, seq, *more)).alias("_p")).select(pack, *(F.col("_p")[c].alias(c) for c in (idx, seq, *more))), n
 
 
-def nearest(queries: DataFrame, pool: DataFrame, floor: float = 0.8, identity: float = 0.0, by_product: bool = False) -> DataFrame:
+def _residues(texts: list[str]) -> np.ndarray:
+    """(texts, 21) counts of residue codes; the last is of all other characters."""
+    out = np.zeros((len(texts), 21), np.int16)
+    for k, t in enumerate(texts):
+        points = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        out[k] = np.bincount(_CODES[np.where(points < 128, points, 0)], minlength=21)[:21]
+    return out
+
+
+def bounds(a: list[str], b: list[str]) -> np.ndarray:
+    """(a, b) upper bounds of identity times coverage: shared residues over the greater length.
+
+    Matches are at most the shared residues, and columns at least the coverage of the longer sequence.
+    """
+    x, y = _residues(a), _residues(b)
+    shared = np.zeros((len(a), len(b)), np.int32)
+    for c in range(x.shape[1]):
+        shared += np.minimum(x[:, c, None], y[None, :, c])
+    longest = np.maximum(np.array([len(t) for t in a])[:, None], np.array([len(t) for t in b])[None, :])
+    return shared / np.maximum(longest, 1)
+
+
+_BEST = "l_idx long, kind int, product double, identity double, coverage double, score int, r_idx long"
+_RANK = ["product", "identity", "coverage", "score"]
+
+
+def _bests(found: pd.DataFrame, floor: float, identity: float, by_product: bool) -> pd.DataFrame:
+    """Of aligned pairs the best of each query: of kind 0 among all, of kind 1 among those of enough coverage and identity."""
+    found = found[found["score"] > 0]
+    product = found["identity"] * found["coverage"] if by_product else found["identity"]
+    enough = (found["coverage"] + 1e-12 >= floor) & (found["identity"] + 1e-12 >= identity)
+    parts = [found.assign(product=product, kind=0), found[enough].assign(product=0.0, kind=1)]
+    both = pd.concat(parts).sort_values([*_RANK, "r_idx"], ascending=[False] * 4 + [True], kind="stable").drop_duplicates(["l_idx", "kind"])
+    return both[["l_idx", "kind", *_RANK, "r_idx"]]
+
+
+def nearest(queries: DataFrame, pool: DataFrame, floor: float = 0.8, identity: float = 0.0, by_product: bool = False, counted: dict | None = None) -> DataFrame:
     """For every query its best alignment in the pool, the first row winning ties; and its best among those of at least
     floor coverage and identity.
 
     Best is by (identity, coverage, score); by_product puts identity times coverage before, for the unrestricted one.
-    The stated queries meet the pool in blocks of QUERY_BLOCK by POOL_BLOCK rows; a block's bests are taken where it is
-    aligned, and only bests are shuffled.  Queries without alignment keep 0, 0 and null.
+    The stated queries meet the pool in blocks of QUERY_BLOCK by POOL_BLOCK rows, where residue counts bound every pair
+    (bounds()).  First each block aligns the ROUND pairs of each query with the highest bounds; then, the bests of all
+    blocks known, pairs are aligned in the order of their bounds until none that is left can win.  Only bests are
+    shuffled.  Queries without alignment keep 0, 0 and null.  counted, if given, gets the numbers of pairs and of alignments.
     """
-    q, _ = _packs(queries, QUERY_BLOCK, "l_idx", "l_seq", "_q")
-    p, parts = _packs(pool, POOL_BLOCK, "r_idx", "r_seq", "_r")
-    met = q.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(p, "_r")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for li, ls, ri, rs in zip(b["l_idx"], b["l_seq"], b["r_idx"], b["r_seq"], strict=True):
-                got = align_many(np.repeat(ls, len(rs)).tolist(), np.tile(rs, len(ls)).tolist())
-                got.insert(0, "l_idx", np.repeat(li, len(ri)))
-                got.insert(1, "r_idx", np.tile(ri, len(li)))
-                got = got[got["score"] > 0]
-                product = got["identity"] * got["coverage"] if by_product else got["identity"]
-                for kind, rows in ((0, got.assign(product=product)), (1, got[(got["coverage"] + 1e-12 >= floor) & (got["identity"] + 1e-12 >= identity)].assign(product=0.0))):
-                    best = rows.sort_values(["product", "identity", "coverage", "score", "r_idx"], ascending=[False] * 4 + [True], kind="stable").drop_duplicates("l_idx")
-                    yield best.assign(kind=kind)[["l_idx", "kind", "product", "identity", "coverage", "score", "r_idx"]]
-
     from ._arrow import one_row_batches
+    from .grouping import _written
 
-    with one_row_batches(queries.sparkSession):
-        from .grouping import _written
-
-        found = _written(met.select("l_idx", "l_seq", "r_idx", "r_seq").mapInPandas(run, "l_idx long, kind int, product double, identity double, coverage double, score int, r_idx long"), "bests")
-    order = W.partitionBy("l_idx", "kind").orderBy(F.desc("product"), F.desc("identity"), F.desc("coverage"), F.desc("score"), "r_idx")
-    top = found.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    p, parts = _packs(pool, POOL_BLOCK, "r_idx", "r_seq", "_r")
+    p = _written(p, "pool")
+    spark = queries.sparkSession
+    aligned_pairs = spark.sparkContext.accumulator(0)
+
+    def met(q: DataFrame) -> DataFrame:
+        return q.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(p, "_r")
+
+    def pairs_of(li, ls, ri, rs, a, b) -> pd.DataFrame:
+        got = align_many([ls[k] for k in a], [rs[k] for k in b])
+        aligned_pairs.add(len(a))
+        return got.assign(l_idx=np.asarray(li)[a], r_idx=np.asarray(ri)[b])
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for li, ls, ri, rs in zip(batch["l_idx"], batch["l_seq"], batch["r_idx"], batch["r_seq"], strict=True):
+                u = bounds(ls, rs)
+                top = np.argsort(-u, axis=1, kind="stable")[:, :ROUND]
+                yield _bests(pairs_of(li, ls, ri, rs, np.repeat(np.arange(len(ls)), top.shape[1]), top.ravel()), floor, identity, by_product)
+
+    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for li, ls, ri, rs, any_, some in zip(batch["l_idx"], batch["l_seq"], batch["r_idx"], batch["r_seq"], batch["any_"], batch["some_"], strict=True):
+                u = bounds(ls, rs)
+                order = np.argsort(-u, axis=1, kind="stable")
+                # What a pair must reach: any_ is (first rank, coverage) of the best of all, some_ the best identity of the eligible.
+                lead = np.array([[x["product"], x["coverage"]] for x in any_], float)
+                eligible = np.array([x["identity"] for x in some], float)
+                at, open_ = ROUND, np.arange(len(ls))
+                while len(open_) and at < order.shape[1]:
+                    v = u[open_, order[open_, at]] + 1e-9
+                    wins = v >= lead[open_, 0] if by_product else (lead[open_, 0] < 1) | (v >= lead[open_, 1])
+                    wins &= v > 1e-9
+                    qualifies = (v >= floor * identity) & (np.minimum(1, v / max(floor, 1e-9)) + 1e-9 >= eligible[open_])
+                    open_ = open_[wins | qualifies]
+                    if not len(open_):
+                        break
+                    here = order[open_, at : at + ROUND]
+                    got = _bests(pairs_of(li, ls, ri, rs, np.repeat(open_, here.shape[1]), here.ravel()), floor, identity, by_product)
+                    place = {x: k for k, x in enumerate(li)}
+                    for row in got.itertuples(index=False):
+                        k = place[row.l_idx]
+                        if row.kind == 0 and (row.product, row.coverage if row.product >= 1 else 0) > (lead[k, 0], lead[k, 1] if lead[k, 0] >= 1 else 0):
+                            lead[k] = row.product, row.coverage
+                        if row.kind == 1:
+                            eligible[k] = max(eligible[k], row.identity)
+                    yield got
+                    at += ROUND
+
+    order = W.partitionBy("l_idx", "kind").orderBy(*(F.desc(c) for c in _RANK), "r_idx")
+    best = lambda found: found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    with one_row_batches(spark):
+        q, _ = _packs(queries, QUERY_BLOCK, "l_idx", "l_seq", "_q")
+        early = _written(best(met(q).select("l_idx", "l_seq", "r_idx", "r_seq").mapInPandas(first, _BEST)), "bests")
+        known = lambda kind, name: early.where(F.col("kind") == kind).select(F.col("l_idx").alias("row_idx"), F.struct("product", "identity", "coverage").alias(name))
+        none = F.struct(F.lit(-1.0).alias("product"), F.lit(-1.0).alias("identity"), F.lit(-1.0).alias("coverage"))
+        led = queries.select("row_idx", "sequence").join(known(0, "any_"), "row_idx", "left").join(known(1, "some_"), "row_idx", "left").withColumns({c: F.coalesce(c, none) for c in ("any_", "some_")})
+        q, _ = _packs(led, QUERY_BLOCK, "l_idx", "l_seq", "_q", ("any_", "some_"))
+        late = _written(met(q).select("l_idx", "l_seq", "r_idx", "r_seq", "any_", "some_").mapInPandas(rest, _BEST), "later")
+    if counted is not None:
+        counted |= {"pairs": queries.count() * pool.count(), "aligned": aligned_pairs.value}
+    top = best(early.unionByName(late))
     pick = lambda k, p: top.where(F.col("kind") == k).select("l_idx", *(F.col(c).alias(f"{p}{c}") for c in ("identity", "coverage", "score", "r_idx")))
     out = queries.select(F.col("row_idx").alias("l_idx")).join(pick(0, ""), "l_idx", "left").join(pick(1, "eligible_"), "l_idx", "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("identity", "coverage", "score", "eligible_identity", "eligible_coverage", "eligible_score")}
