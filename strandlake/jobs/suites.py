@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, metrics, models, resample, similarity
+from ..operators import audit, grouping, metrics, models, resample, similarity
 from ..sources import fasta
 from .catalog import _BOOT, _EDGES, _HEADS, _REPLICATES, _SHUFFLE, _bench_sequences, _metric_sql, _sequences, query, r, rounded
 from ..functions.sequence import unit_hash
@@ -165,6 +165,27 @@ def nearest_hits(spark, sf_dir):
     return rounded(similarity.nearest(test, train))
 
 
+@query()
+def nearest_sequences(spark, sf_dir):
+    """J8 on all documents: of every test sequence the nearest among all sequences of the documents."""
+    return rounded(similarity.nearest(_two_sets(spark, sf_dir)[1], grouping._written(_sequences(spark, sf_dir), "sequences")))
+
+
+@query()
+def similar_sequences(spark, sf_dir):
+    """J6 on all documents: pairs of all their distinct sequences with an insertion-deletion ratio of 92.5 or more."""
+    return rounded(similarity.signature_join(grouping._written(_sequences(spark, sf_dir), "sequences"), cutoff=92.5))
+
+
+@query()
+def identity_sensitivity(spark, sf_dir):
+    """Metrics of test sequences whose nearest training sequence lies below each identity."""
+    train, test = _two_sets(spark, sf_dir)
+    near = similarity.nearest(test, train).select(F.col("l_idx").alias("row_idx"), F.col("eligible_identity").alias("identity"))
+    scores = test.join(near, "row_idx").select("row_idx", (F.length("sequence") % 2).alias("label"), unit_hash(F.lit("o"), "sequence").alias("score"), "identity")
+    return rounded(resample.cutoff_sensitivity(grouping._written(scores, "identities"), "identity", (0.0, 0.4, 0.5, 0.6), _REPLICATES, 70877))
+
+
 @query()
 def similarity_removal(spark, sf_dir):
     """Training sequences with their nearest test sequence, and whether they are too near."""

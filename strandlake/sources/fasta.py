@@ -29,6 +29,26 @@ def parse(files: DataFrame, file: str = "file", content: str = "content", strict
     return made if keep_case else made.withColumn("sequence", F.upper("sequence"))
 
 
+def scan(spark: SparkSession, path: str, strict: bool = False, keep_case: bool = False) -> DataFrame:
+    """parse() of the files at a path, read in byte ranges: a file of any size is many tasks' work.
+
+    Spark's reader cuts files into ranges at line ends.  A first pass counts the headers of every range, so each range
+    knows the number of its first record; lines before its first header belong to the last record of the ranges before.
+    Only the lines of one record meet in one row.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("pos"), F.trim(F.regexp_replace("value", "\r$", "")).alias("line")).where("line != ''")
+    lines = raw.withColumn("head", F.col("line").startswith(">"))
+    ranges = lines.groupBy("file", "range").agg(F.count_if("head").alias("heads"))  # a row to each range
+    before = ranges.withColumn("before", F.coalesce(F.sum("heads").over(W.partitionBy("file").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("heads")
+    own = F.sum(F.col("head").cast("long")).over(W.partitionBy("file", "range").orderBy("pos"))
+    numbered = lines.withColumn("own", own).join(F.broadcast(before), ["file", "range"]).withColumn("record", F.col("own") + F.col("before"))
+    if strict:
+        numbered = numbered.withColumn("record", F.when(F.col("record") == 0, F.raise_error("text before the first header")).otherwise(F.col("record")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("range", "pos", "line")))), lambda x: x["line"]), "")
+    made = numbered.where("record > 0").groupBy("file", "record").agg(F.max(F.when(F.col("head"), F.expr("trim(substring(line, 2))"))).alias("header"), F.replace(body, F.lit(" "), F.lit("")).alias("sequence"))
+    return made if keep_case else made.withColumn("sequence", F.upper("sequence"))
+
+
 def record_id(header: Column) -> Column:
     return F.split(header, r"\s+")[0]
 
@@ -77,19 +97,29 @@ def unique_record_ids(records: DataFrame, record_id: str = "record_id", row: str
     return records.join(F.broadcast(most)).withColumn(record_id, F.when(F.col("_twice"), F.format_string(f"{prefix}_%05d", F.col(row).cast("long"))).otherwise(F.col(record_id))).drop("_twice")
 
 
-def load_sets(files: dict[str, tuple[DataFrame, int | None]], expected: dict[str, int] | None = None, alphabet: str = "ACDEFGHIKLMNPQRSTVWY") -> DataFrame:
+def load_sets(files: dict[str, tuple[DataFrame, int | None]], expected: dict[str, int | tuple[int, int, int]] | None = None, alphabet: str = "ACDEFGHIKLMNPQRSTVWY", drop_invalid: bool = False, distinct: bool = False) -> DataFrame:
     """(split, file, record, header, record_id, sequence, label) of named sets of files, checked.
 
-    files maps a split to its (file, content) table and the label of all its records, null to read labels from the
-    last field of headers.  A sequence that is empty or leaves the alphabet raises, as does a split that has not
-    the expected number of records.
+    files maps a split to its (file, content) table, or its records as parse() and scan() give them, and the label of
+    all its records, null to read labels from the last field of headers.  A sequence that is empty or leaves the
+    alphabet raises, or goes with drop_invalid; distinct then keeps the first record, by file and number, of each
+    sequence of a split.  A split raises that has not the expected number of records, or of records, ones and zeros.
     """
     out = None
     for split, (table, label) in files.items():
-        own = parse(table, strict=True).withColumns({"split": F.lit(split), "record_id": record_id(F.col("header")), "label": F.lit(label).cast("int") if label is not None else label_last_field(F.col("header"))})
+        own = (table if "sequence" in table.columns else parse(table, strict=True)).select("file", "record", "header", "sequence")
+        own = own.withColumns({"split": F.lit(split), "record_id": record_id(F.col("header")), "label": F.lit(label).cast("int") if label is not None else label_last_field(F.col("header"))})
         out = own if out is None else out.unionByName(own)
-    counts = out.groupBy("split").agg(F.count("*").alias("n"), F.count_if(~F.col("sequence").rlike(f"^[{alphabet}]+$")).alias("bad")).collect()  # a row to each split
-    for r in counts:
-        if r["bad"] or (expected or {}).get(r["split"], r["n"]) != r["n"]:
-            raise ValueError(f"{r['split']}: {r['n']} records, {r['bad']} of them invalid")
+    valid = F.col("sequence").rlike(f"^[{alphabet}]+$")
+    if drop_invalid:
+        out = out.where(valid)
+    if distinct:
+        rest = F.struct("file", "record", "header", "record_id", "label")
+        out = out.groupBy("split", "sequence").agg(F.min(rest).alias("_r")).select("split", "sequence", "_r.*")
+    counts = {r["split"]: r for r in out.groupBy("split").agg(F.count("*").alias("n"), F.count_if(~valid).alias("bad"), F.count_if(F.col("label") == 1).alias("ones"), F.count_if(F.col("label") == 0).alias("zeros")).collect()}  # a row to each split
+    for split in files:
+        n, bad, ones, zeros = (counts[split][c] for c in ("n", "bad", "ones", "zeros")) if split in counts else (0, 0, 0, 0)
+        want = (expected or {}).get(split)
+        if bad or want is not None and want not in (n, (n, ones, zeros)):
+            raise ValueError(f"{split}: {n} records, {ones} ones and {zeros} zeros, {bad} of them invalid; expected {want}")
     return out.select("split", "file", "record", "header", "record_id", "sequence", "label")

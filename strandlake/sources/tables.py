@@ -40,6 +40,38 @@ def import_matrix(spark: SparkSession, path: str, parts: int = 8) -> DataFrame:
     return out.repartition(parts)
 
 
+def scan_matrix(spark: SparkSession, path: str, rows: int = 10_000) -> DataFrame:
+    """(row_idx, values) of a two-dimensional .npy file of numbers in a folder that all executors share, each task reading row ranges of
+    its own; the driver reads the header alone.  A file that is no such matrix, or too short for its header, raises."""
+    import os
+
+    import numpy as np
+    import pyarrow as pa
+
+    with open(path, "rb") as f:
+        version = np.lib.format.read_magic(f)
+        shape, by_column, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+        begin = f.tell()
+    if len(shape) != 2 or by_column or kind.kind not in "iuf":
+        raise ValueError(f"{path} is no matrix of numbers by rows")
+    n, width = shape
+    if os.path.getsize(path) < begin + n * width * kind.itemsize:
+        raise ValueError(f"{path} ends early")
+
+    def run(batches):
+        for b in batches:
+            for lo in b.column(0).to_pylist():
+                hi = min(lo + rows, n)
+                with open(path, "rb") as f:
+                    f.seek(begin + lo * width * kind.itemsize)
+                    block = np.frombuffer(f.read((hi - lo) * width * kind.itemsize), kind).astype(np.float64)
+                values = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * width), pa.array(block))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, hi)), values], names=["row_idx", "values"])
+
+    blocks = max(1, -(-n // rows))
+    return spark.range(0, n, rows, min(blocks, 10_000)).mapInArrow(run, "row_idx long, values array<double>")
+
+
 def true_text(column: Column) -> Column:
     """Whether a text says true, 1 or yes, in any case and with spaces around."""
     return F.lower(F.trim(column)).isin("true", "1", "yes")
