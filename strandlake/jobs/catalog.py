@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as X
-from ..operators import audit, features, grouping, metrics, models, resample, similarity, substring
+from ..operators import audit, crossfit, features, grouping, metrics, models, quantiles, resample, similarity, substring
 from ..sources import fasta, tables
 from .frames import LOWER, SCORED, UPPER, raw_words, scored, table, words, words_sql
 
@@ -269,6 +269,15 @@ def audit_items(spark, sf_dir):
     return audit.items(d.agg(F.count("*").alias("documents"), F.count("label").alias("labelled"), F.count_if(F.col("label") == 1).alias("positive")).join(F.broadcast(t)))
 
 
+@query(f"""SELECT l_returnflag, l_linestatus, unnest([0.025, 0.5, 0.975])::DOUBLE AS share, {r('unnest([quantile_cont(l_extendedprice, 0.025), quantile_cont(l_extendedprice, 0.5), quantile_cont(l_extendedprice, 0.975)])')} AS quantile FROM lineitem GROUP BY 1, 2
+    UNION ALL SELECT NULL, NULL, 0.9, {r('quantile_cont(length(text), 0.9)')} FROM documents""")
+def group_quantiles(spark, sf_dir):
+    """Exact quantiles of groups, and of one group of all documents, by narrowing ranges."""
+    q = quantiles.quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.025, 0.5, 0.975], few=500)
+    one = quantiles.quantiles(table(spark, sf_dir, "documents").select(F.length("text").alias("n")), [], "n", [0.9], few=100)
+    return rounded(q.unionByName(one, allowMissingColumns=True))
+
+
 @query(f"WITH {SCORED} SELECT cutoff, row_idx, score FROM d, (SELECT unnest([0.4, 0.5, 0.6])::DOUBLE AS cutoff) WHERE score < cutoff")
 def retained_by_cutoff(spark, sf_dir):
     """rows whose value lies strictly below each cutoff."""
@@ -462,6 +471,18 @@ def unique_shuffles(spark, sf_dir):
     return resample.unique_shuffles(_sequences(spark, sf_dir), 10, 3)
 
 
+@query(f"""WITH {words_sql()}, s AS (SELECT sequence, min(doc_id * 4294967296 + pos) AS row_idx, any_value(length(sequence))::INT AS n FROM w WHERE sequence <> '' GROUP BY 1)
+    SELECT row_idx, least(10, CASE WHEN n <= 20 THEN (factorial(least(n, 20)) // {" // ".join(f"factorial(least({c}, 20)::INT)" for c in _COUNTS)} - 1)::BIGINT WHEN replace(sequence, sequence[1], '') = '' THEN 0 ELSE 10 END) AS shuffles,
+    least(10, CASE WHEN n <= 20 THEN (factorial(least(n, 20)) // {" // ".join(f"factorial(least({c}, 20)::INT)" for c in _COUNTS)} - 1)::BIGINT WHEN replace(sequence, sequence[1], '') = '' THEN 0 ELSE 10 END) AS kinds, 0::BIGINT AS unchanged, 0::BIGINT AS strangers FROM s""")
+def unique_shuffle_counts(spark, sf_dir):
+    """Of every sequence the orders drawn, the distinct ones, those equal to it and those of other residues."""
+    s = grouping._written(_sequences(spark, sf_dir), "sequences")
+    u = resample.unique_shuffles(s, 10, 3).withColumnRenamed("row_idx", "r")
+    j = s.join(u, F.col("row_idx") == F.col("r"), "left")
+    residues = lambda c: F.array_sort(F.split(c, ""))
+    return j.groupBy("row_idx").agg(F.count("shuffled").alias("shuffles"), F.countDistinct("shuffled").alias("kinds"), F.count_if(F.col("shuffled") == F.col("sequence")).alias("unchanged"), F.count_if(residues("shuffled") != residues("sequence")).alias("strangers"))
+
+
 @query(f"""WITH {SCORED} SELECT row_idx, label, CASE WHEN percent_rank() OVER (PARTITION BY label ORDER BY ('0x' || substr(md5('13|' || row_idx), 1, 8))::BIGINT, row_idx) < 0.9 THEN 'train' ELSE 'test' END AS part FROM d WHERE label IS NOT NULL""")
 def stratified_split(spark, sf_dir):
     """R12."""
@@ -501,12 +522,42 @@ def fold_audit(spark, sf_dir):
 # Models
 
 
+@query(f"""WITH RECURSIVE {SCORED}, l AS (SELECT row_idx, split::INT AS fold, label, coalesce(length, 0)::DOUBLE AS x FROM d WHERE label IS NOT NULL),
+    k AS (SELECT unnest(range(5))::INT AS f), st AS (SELECT f, avg(x) AS m, stddev_pop(x) AS s FROM k JOIN l ON fold <> f GROUP BY f),
+    tr AS MATERIALIZED (SELECT f, (x - m) / s AS z, count(*) AS n, sum(label)::DOUBLE AS y FROM st JOIN l ON fold <> f GROUP BY ALL),
+    it AS (SELECT 0 AS i, f, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b, 1.0::DOUBLE AS moved FROM k UNION ALL
+        SELECT i + 1, f, w - (hbb * gw - hwb * gb) / (hww * hbb - hwb * hwb), b - (hww * gb - hwb * gw) / (hww * hbb - hwb * hwb), greatest(abs((hbb * gw - hwb * gb) / (hww * hbb - hwb * hwb)), abs((hww * gb - hwb * gw) / (hww * hbb - hwb * hwb))) FROM (
+            SELECT i, f, w, b, sum((n * p - y) * z) + w AS gw, sum(n * p - y) + b AS gb, sum(n * p * (1 - p) * z * z) + 1 AS hww, sum(n * p * (1 - p) * z) AS hwb, sum(n * p * (1 - p)) + 1 AS hbb FROM (
+                SELECT i, it.f, w, b, z, n, y, 1 / (1 + exp(-(b + w * z))) AS p FROM it JOIN tr ON tr.f = it.f WHERE i < 60 AND moved > 1e-11) GROUP BY i, f, w, b)),
+    fin AS (SELECT f, arg_max(w, i) AS w, arg_max(b, i) AS b FROM it GROUP BY f)
+    SELECT row_idx, fold, label, {r('1 / (1 + exp(-(b + w * (x - m) / s)))')} AS probability FROM l JOIN st ON st.f = fold JOIN fin ON fin.f = fold""")
+def length_cross_fit(spark, sf_dir):
+    """M2, M9: out-of-fold probabilities of a penalised logistic model of length, all folds in one go."""
+    rows = scored(spark, sf_dir).where("label IS NOT NULL").select("row_idx", F.col("split").cast("int").alias("fold"), "label", F.coalesce(F.col("length").cast("double"), F.lit(0.0)).alias("length"))
+    own, _ = crossfit.cross_fits(rows, {"length": ["length"]}, 5)
+    return rounded(own.select("row_idx", "fold", "label", F.col("p_length").alias("probability")))
+
+
 @query()
 def cross_fitted_scores(spark, sf_dir):
     """M2, M9: out-of-fold probabilities of a penalised logistic model of length and composition."""
     return models.document_oof(spark, sf_dir)
 
 
+@query()
+def external_scores(spark, sf_dir):
+    """A model learnt in splits 1 to 4 and applied to split 0: branches and fusions, out of fold and on the test set."""
+    rows, names = models._documents(spark, sf_dir)
+    rows = grouping._written(rows.withColumn("fold", F.col("fold") - 1), "external")
+    fits = {"length": names[:1], "composition": names[1:], "both": names}
+    own, test = crossfit.external(rows.where("fold >= 0"), rows.where("fold < 0"), fits, ("length", "composition"), 4)
+    columns = [f"p_{m}" for m in fits] + ["p_mean", "p_logit"]
+    long = lambda df, which, c: df.select("row_idx", "label", F.lit(which).alias("evaluation"), F.expr(f"stack({len(c)}, {', '.join(f'"{x[2:]}", {x}' for x in c)}) AS (model, score)"))
+    every = grouping._written(long(own, "out_of_fold", columns).unionByName(long(test, "test", [*columns, "p_stack"])), "scores")
+    out = metrics.metrics(every, ["evaluation", "model"])
+    return out.select("evaluation", "model", "n", "positives", *(F.round(c, 4).alias(c) for c in ("auc", "average_precision", "brier", "log_loss", "mcc")))
+
+
 @query()
 def overlap_balance(spark, sf_dir):
     """M8, Q2: overlap weights from a propensity model, and the balance that they give."""

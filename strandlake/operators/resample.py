@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import random
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -165,26 +169,59 @@ def rows_of_draws(spark, draws: np.ndarray) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"replicate": np.repeat(np.arange(len(draws)), draws.shape[1]), "row_idx": draws.ravel()}))
 
 
-def next_orders(text: str):
-    """Distinct orders of the characters of text, in alphabetic order, without text itself."""
-    now = sorted(text)
-    while True:
-        if "".join(now) != text:
-            yield "".join(now)
-        k = len(now) - 2
-        while k >= 0 and now[k] >= now[k + 1]:
-            k -= 1
-        if k < 0:
-            return
-        j = max(i for i in range(k + 1, len(now)) if now[i] > now[k])
-        now[k], now[j] = now[j], now[k]
-        now[k + 1 :] = reversed(now[k + 1 :])
+def _choices(counts: dict[str, int]) -> int:
+    """Number of distinct orders of characters that occur so often."""
+    out = math.factorial(sum(counts.values()))
+    for n in counts.values():
+        out //= math.factorial(n)
+    return out
+
+
+def order_at(text: str, index: int) -> str:
+    """The distinct order of the characters of text with this index, from 0, in alphabetic order of all of them."""
+    counts = dict(sorted(Counter(text).items()))
+    ways, left, out = _choices(counts), len(text), []
+    while left:
+        for c, n in counts.items():
+            own = ways * n // left  # orders that begin with c
+            if index < own:
+                break
+            index -= own
+        out.append(c)
+        ways, left = own, left - 1
+        counts[c] -= 1
+    return "".join(out)
+
+
+def order_index(text: str) -> int:
+    """The inverse of order_at(): how many distinct orders of its characters come before text."""
+    counts = dict(sorted(Counter(text).items()))
+    ways, left, out = _choices(counts), len(text), 0
+    for x in text:
+        out += sum(ways * n // left for c, n in counts.items() if c < x)
+        ways, left = ways * counts[x] // left, left - 1
+        counts[x] -= 1
+    return out
+
+
+def drawn_orders(text: str, target: int, rng: random.Random) -> list[str]:
+    """min(target, possible) distinct orders other than text, every set of them equally likely."""
+    possible = _choices(Counter(text)) - 1
+    if possible <= 2 * target:
+        picked = rng.sample(range(possible), min(target, possible))
+    else:
+        picked = {}
+        while len(picked) < target:
+            picked[rng.randrange(possible)] = None
+    own = order_index(text)
+    return [order_at(text, k + (k >= own)) for k in picked]
 
 
 def unique_shuffles(rows: DataFrame, target: int, seed: int, sequence: str = "sequence", row: str = "row_idx") -> DataFrame:
-    """(row, shuffle_index, shuffled): up to target distinct orders other than the sequence itself.
+    """(row, shuffle_index, shuffled): min(target, possible) distinct orders other than the sequence itself.
 
-    Random orders first; if they run dry, all orders in alphabetic order fill what is missing.
+    Indexes of orders are drawn without replacement and each order is computed from its index, so nothing is drawn
+    twice or listed.  A null or empty sequence, or one of equal characters, has none.
     """
     import pandas as pd
 
@@ -192,20 +229,7 @@ def unique_shuffles(rows: DataFrame, target: int, seed: int, sequence: str = "se
         for b in batches:
             out = []
             for key, s in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
-                rng, seen = np.random.default_rng([seed, int(key)]), []
-                for _ in range(target * 20 if len(set(s or "")) > 1 else 0):
-                    t = "".join(rng.permutation(list(s)))
-                    if t != s and t not in seen:
-                        seen.append(t)
-                        if len(seen) == target:
-                            break
-                if len(seen) < target and s:
-                    for t in next_orders(s):
-                        if t not in seen:
-                            seen.append(t)
-                            if len(seen) == target:
-                                break
-                out += [(key, k, t) for k, t in enumerate(seen)]
+                out += [(key, k, t) for k, t in enumerate(drawn_orders(s or "", target, random.Random(f"{seed}|{key}")))]
             yield pd.DataFrame(out, columns=["row_idx", "shuffle_index", "shuffled"])
 
     return rows.select(F.col(row).cast("long").alias("row_idx"), F.col(sequence)).mapInPandas(run, "row_idx long, shuffle_index int, shuffled string")

@@ -9,7 +9,7 @@ import pytest
 from strandlake.jobs import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"cross_fitted_scores", "overlap_balance"}
+SLOW = {"overlap_balance", "control_models"}
 
 
 @pytest.fixture(scope="module")
