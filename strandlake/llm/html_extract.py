@@ -55,6 +55,24 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^'
 _PARTS = re.compile(r"[a-z]+")
 
 
+#: Ends of sentences, and the scripts that put no spaces between words: two characters of those count as a word.
+_ENDS = ".!?…。！？"
+_UNSPACED = re.compile("[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+
+
+def name_parts(value: str) -> list[str]:
+    """Names in a class, id, role or itemprop: one or two parts of each, of longer ones the last, which says what the others qualify."""
+    out = []
+    for token in value.lower().split():
+        parts = _PARTS.findall(token)
+        out += [f".{x}" for x in (parts if len(parts) <= 2 else parts[-1:])]
+    return out
+
+
+def word_count(text: str) -> int:
+    return max(text.count(" ") + 1, 0 if text.isascii() else len(_UNSPACED.findall(text)) // 2)
+
+
 class Path(NamedTuple):
     """The open elements of a block, of fixed size however many they are."""
 
@@ -180,7 +198,7 @@ def blocks_of(page: str) -> list[Block]:
         names = [tag]
         if "=" in tok:
             for a in _ATTRIBUTE.finditer(tok):
-                names += [f".{x}" for x in _PARTS.findall((a.group(2) or a.group(3) or a.group(4) or "").lower())]
+                names += name_parts(a.group(2) or a.group(3) or a.group(4) or "")
         stack.append((tag, top().below(tuple(names))))
         opened[tag] += 1
     flush()
@@ -200,7 +218,7 @@ def weak_labels(page: list[Block], repeated: frozenset[str] = frozenset()) -> li
         elif t in repeated or linked > LINK_SHARE * len(t):
             sure.append(0)
         else:
-            sure.append(1 if t[-1] in ".!?…" and t.count(" ") + 1 >= SENTENCE_WORDS else None)
+            sure.append(1 if t[-1] in _ENDS and word_count(t) >= SENTENCE_WORDS else None)
     votes: Counter[int] = Counter()
     for x, (_, path, _) in zip(sure, page, strict=True):
         votes[path.parent] += 0 if x is None else 2 * x - 1
@@ -230,7 +248,9 @@ def vectors(pages: list[list[Block]], places: np.ndarray | None = None) -> np.nd
         out[a:z, -1] = np.log1p(w.counts) / 6
         out[a:z, -2] = np.log1p(np.diff(own)) / 8
     out[:, -3] = np.minimum(1, [k / max(1, len(t)) for t, _, k in flat])
-    out[:, -4] = [t[-1] in ".!?…" for t, _, _ in flat]
+    out[:, -4] = [t[-1] in _ENDS for t, _, _ in flat]
+    unspaced = [k for k, (t, _, _) in enumerate(flat) if not t.isascii() and _UNSPACED.search(t)]
+    out[unspaced, -1] = np.log1p([word_count(flat[k][0]) for k in unspaced]) / 6
     out[:, -5] = [min(p.depth, 100) / 10 for _, p, _ in flat]
     out[:, -6] = np.concatenate([np.arange(len(p)) / max(1, len(p)) for p in pages]) if places is None else places
     return out
@@ -390,11 +410,19 @@ def rearranged(article: list[Block], rng: random.Random) -> list[tuple[Block, in
     blank = lambda: "." + "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(2, 7)))
     shells = [("article",), ("main",), ("div", ".content"), ("section", ".post"), ("div", ".article"), ("main", "article"), ("div", ".entry", ".content"), ("div", ".story")]
     plain = [("div",), ("section",), ("div", blank()), ("section", blank()), ("div", blank(), blank()), ("div", "div", blank())]
-    outer = [(), ("div",), ("div", ".container"), ("div", ".page"), ("div", ".wrapper"), ("div", blank())]
+    outer = [(), ("div",), ("div", ".container"), ("div", ".page"), ("div", ".wrapper"), ("div", blank()), ("div", ".page", blank()), ("div", blank(), blank()), ("div", blank(), "div", blank()), ("div", ".site"), ("div", ".page", ".site")]
     shell, around = rng.choice(shells if rng.random() < 0.6 else plain), ("html", "body", *rng.choice(outer))
     leaf = lambda x: x if x in ("h1", "h2", "h3", "li", "blockquote", "pre", "td", "p", "figcaption") else "p"
     inner = ("section",) if rng.random() < 0.2 else ()
-    mine = [((t, path_of(*around, *shell, *inner, leaf(path.leaf)), k), 1) for t, path, k in article]
+    inside_of = {"li": rng.choice([("ul",), ("ol",)]), "td": ("table", "tr"), "figcaption": ("figure",)}
+    part = lambda x: (*inside_of.get(x, ()), x)
+    mine = [((t, path_of(*around, *shell, *inner, *part(leaf(path.leaf))), k), 1) for t, path, k in article]
+    # Headings, lists and tables of the article's own, short as they are.
+    for _ in range(rng.choice([0, 1, 1, 2, 3])):
+        kind = rng.choice([("h2",), ("h3",), ("ul", "li"), ("ol", "li"), ("table", "tr", "td"), ("table", "tbody", "tr", "td"), ("blockquote", "p"), ("figure", "figcaption"), ("dl", "dd"), ("pre",)])
+        own = [((phrase(1, 9), path_of(*around, *shell, *inner, *kind), 0), 1) for _ in range(1 if kind[0][0] in "hfbp" else rng.randint(2, 6))]
+        at = rng.randint(min(1, len(mine)), len(mine))
+        mine[at:at] = own
 
     def side(inside: tuple[str, ...]) -> list[tuple[Block, int]]:
         name, made = rng.choice(sorted(SIDE_NAMES)), []

@@ -28,12 +28,16 @@ def brute(rows):
             linked.append(Counter())
             continue
         ends = [set(np.cumsum([len(x) for x in p]).tolist()) for p in (a_parts, b_parts)]
-        groups, shared = defaultdict(lambda: ([], [])), sorted(ends[0] & ends[1])
+        groups, shared = defaultdict(lambda: ([], [])), np.array(sorted(ends[0] & ends[1]))
         for side, (ids, parts) in enumerate(((a, a_parts), (b, b_parts))):
             for k, at in zip(ids, np.cumsum([len(x) for x in parts]), strict=True):
                 groups[int(np.searchsorted(shared, at))][side].append(k)
         groups = [groups[k] for k in sorted(groups)]
-        linked.append(Counter((x, y) for xs, ys in groups for x in xs for y in ys))
+        linked.append(Counter())
+        for xs, ys in groups:
+            for x, k in Counter(xs).items():
+                for y, m in Counter(ys).items():
+                    linked[-1][x, y] += k * m
         out.append((len(a), len(b), groups))
     n = Counter(p for c in linked for p in c)
     best = defaultdict(int)

@@ -126,3 +126,45 @@ def test_network_goes_beyond_names(spark):
         good += [int(p >= 0.5) for p in model.label([blocks])[0]] == want
         named += any(b[1].main for b in blocks)
     assert good >= 57 and named == 0
+
+
+def test_class_names_and_scripts_without_spaces():
+    assert H.name_parts("page social-news-site ad-box") == [".page", ".site", ".ad", ".box"]
+    page = H.blocks_of("<div class='page social-news-site'><article><p>Text</p></article></div><div class='page-social-share'>Share</div>")
+    assert [(p.main, p.side) for _, p, _ in page] == [(True, False), (False, True)]
+    text = "这是一个关于森林和河流的长句子它没有任何空格但是有很多字。"
+    page = H.blocks_of(f"<div><h2>标题</h2><p>{text}</p></div><div><a href=x>首页</a></div>")
+    assert H.weak_labels(page) == [1, 1, 0]
+
+
+def test_articles_keep_lists_tables_and_headings(spark):
+    model = H.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    rng = random.Random(3)
+    word = lambda n: " ".join(rng.choice("alder birch cedar dogwood elm fir gum hazel ivy juniper the of and in with".split()) for _ in range(n))
+    exact = 0
+    for k in range(24):
+        body, want = [], []
+
+        def add(tag, text):
+            want.append(text)
+            return f"<{tag}>{text}</{tag.split()[0]}>"
+
+        body.append(add("h1", word(4)))
+        for j in range(rng.randint(2, 4)):
+            body.append(add("p", "这片森林里有很多高大的树木和清澈的小河。" * 3 if k % 8 == 7 else word(rng.randint(15, 50)) + "."))
+            kind = (k + j) % 4
+            if kind == 0:
+                body.append(add("h2", word(3)))
+            elif kind == 1:
+                body.append("<ul>" + "".join(add("li", word(rng.randint(2, 8))) for _ in range(3)) + "</ul>")
+            elif kind == 2:
+                body.append("<table><tr>" + "".join(add("td", word(2)) for _ in range(2)) + "</tr></table>")
+        body.append(add("p", word(20) + "."))
+        shell = ["article", "main", "div class=content", "div class='post-content'"][k % 4]
+        outer = ["div class='page social-news-site'", "div id=wrapper", "div", "div class=has-sidebar-left"][k // 4 % 4]
+        menu = "".join(f"<li><a href=/{j}>{word(2)}</a></li>" for j in range(5))
+        html = f"<html><body><{outer}><nav><ul>{menu}</ul></nav><{shell}>{''.join(body)}</{shell.split()[0]}><div class=related><p>{word(20)}.</p></div><footer><p>&copy; {word(6)}</p></footer></div></body></html>"
+        blocks = H.blocks_of(html)
+        got = [b[0] for b, p in zip(blocks, model.label([blocks])[0], strict=True) if p >= 0.5]
+        exact += got == want
+    assert exact >= 21
