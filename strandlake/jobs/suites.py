@@ -123,15 +123,25 @@ _ITEMS = {
     "total_n": "count(*)", "total_positive": "count(*) FILTER (label = 1)", "total_negative": "count(*) FILTER (label = 0)",
     "header_label_mismatches": f"count(*) FILTER ({_SECOND} AND NOT header_label_consistent)", "nonstandard_rows": "count(*) FILTER (NOT valid_alphabet)", "within_split_duplicate_rows": "count(*) FILTER (duplicated_within_split)",
     "overlap_sequences": "count(DISTINCT sequence) FILTER (cross_split_overlap)", "conflicting_label_rows": "count(*) FILTER (conflicting_label)",
-    "found_positive": "count(*) FILTER (found_elsewhere AND label = 1)", "found_negative": "count(*) FILTER (found_elsewhere AND label = 0)", "reported_positive": "1528", "reported_negative": "1509", "counts_are_transposed": "count(*) FILTER (label = 1) = 1509 AND count(*) FILTER (label = 0) = 1528",
+    "found_positive": "count(*) FILTER (found_elsewhere AND label = 1)", "found_negative": "count(*) FILTER (found_elsewhere AND label = 0)", # Fixed values: counts that the audited report gives.
+    "reported_positive": "1528", "reported_negative": "1509", "counts_are_transposed": "count(*) FILTER (label = 1) = 1509 AND count(*) FILTER (label = 0) = 1528",
 }
 
 
-@query(f"""WITH {SCORED}, {_MANIFEST}, one AS (SELECT {', '.join(f"({v})::VARCHAR AS {k}" for k, v in _ITEMS.items())} FROM man)
+_LF = lambda x: f"lgamma({x} + 1)"
+#: Fisher's two-sided test of being found against the label, in logarithms of factorials; null without any found.
+_FISHER = f"""ft AS (SELECT count(*) FILTER (found_elsewhere AND label = 1) AS a, count(*) FILTER (NOT found_elsewhere AND label = 1) AS b, count(*) FILTER (found_elsewhere AND label = 0) AS c, count(*) FILTER (NOT found_elsewhere AND label = 0) AS d FROM man),
+    fl AS (SELECT *, {_LF('a + b')} + {_LF('c + d')} + {_LF('a + c')} + {_LF('b + d')} - {_LF('a + b + c + d')} - {_LF('x')} - {_LF('a + b - x')} - {_LF('a + c - x')} - {_LF('d - a + x')} AS lp FROM (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x FROM ft)),
+    fi AS (SELECT a * d / (b * c) AS odds_ratio, least(1, sum(exp(lp)) FILTER (lp <= own + 1e-7)) AS fisher_p FROM (SELECT *, max(lp) FILTER (x = a) OVER () AS own FROM fl) GROUP BY a, b, c, d)"""
+
+
+@query(f"""WITH {SCORED}, {_MANIFEST}, {_FISHER}, one AS (SELECT {', '.join(f"({v})::VARCHAR AS {k}" for k, v in _ITEMS.items())}, (SELECT printf('%.6f', odds_ratio) FROM fi) AS odds_ratio, (SELECT printf('%.6f', fisher_p) FROM fi) AS fisher_p FROM man)
     SELECT * FROM (UNPIVOT one ON COLUMNS(*) INTO NAME item VALUE value)""")
 def label_audit(spark, sf_dir):
-    """The counts of the audit's report; its odds ratio and p value are tested apart."""
-    return audit.label_audit_items(_manifest(spark, sf_dir), {"first": 0, "second": 1}, "second", (1528, 1509)).where("item NOT IN ('odds_ratio', 'fisher_p')")
+    """The counts of the audit's report, with the odds ratio and p value of being found elsewhere."""
+    items = audit.label_audit_items(_manifest(spark, sf_dir), {"first": 0, "second": 1}, "second", (1528, 1509))
+    shown = F.when(F.col("item").isin("odds_ratio", "fisher_p"), F.format_string("%.6f", F.expr("try_cast(value AS double)"))).otherwise(F.col("value"))
+    return items.withColumn("value", shown)
 
 
 @query(f"""WITH {SCORED}, i AS (SELECT row_idx, 'id' || (row_idx % 7) AS record_id FROM d), m AS (SELECT row_idx, CASE WHEN (SELECT max(n) FROM (SELECT count(*) AS n FROM i GROUP BY record_id)) > 1 THEN 'record_' || lpad(row_idx::VARCHAR, greatest(5, length(row_idx::VARCHAR))::INT, '0') ELSE record_id END AS record_id FROM i)
