@@ -168,6 +168,16 @@ def _two_sets(spark, sf_dir):
     return rows.where(~tested), rows.where(tested)
 
 
+@query(f"""WITH {SCORED}, p AS (SELECT row_idx, unnest(['half', 'score', 'spoilt']) AS model, unnest([0.5, score, CASE row_idx % 7 WHEN 0 THEN NULL WHEN 1 THEN 'NaN'::DOUBLE WHEN 2 THEN 1 + score WHEN 3 THEN '-Infinity'::DOUBLE ELSE rival END]) AS v FROM d)
+    SELECT model, count(*) AS n, count(*) FILTER (v IS NULL) AS missing, count(*) FILTER (isnan(v) OR isinf(v)) AS non_finite, count(*) FILTER (NOT isnan(v) AND NOT isinf(v) AND (v < 0 OR v > 1)) AS outside, (SELECT count(*) - count(DISTINCT row_idx) FROM d) AS repeated FROM p GROUP BY model""")
+def prediction_contract(spark, sf_dir):
+    """what breaks the contract of prediction vectors, in good ones and in one that is spoilt here."""
+    d = scored(spark, sf_dir)
+    k = F.col("row_idx") % 7
+    spoilt = F.when(k == 0, None).when(k == 1, float("nan")).when(k == 2, 1 + F.col("score")).when(k == 3, float("-inf")).otherwise(F.col("rival"))
+    return audit.prediction_counts(d.select("row_idx", "score", F.lit(0.5).alias("half"), spoilt.alias("spoilt")), ["half", "score", "spoilt"])
+
+
 @query()
 def nearest_hits(spark, sf_dir):
     """Of every test sequence the nearest training sequence, and the nearest of enough coverage."""

@@ -152,3 +152,30 @@ def file_integrity(spark, path: str, manifest: DataFrame) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("_n"), F.sha2("content", 256).alias("_h"))
     status = F.when(F.col("_n").isNull(), "missing").when(F.col("_n") != F.col("bytes"), "size").when(F.col("_h") != F.col("sha256"), "hash").otherwise("ok")
     return manifest.join(files, "name", "left").select("name", status.alias("status"))
+
+
+def prediction_counts(rows: DataFrame, models: list[str], row: str = "row_idx") -> DataFrame:
+    """(model, n, missing, non_finite, outside, repeated): of every prediction column its rows, nulls, NaN and infinite
+    values, values outside 0 to 1, and rows whose id was there before."""
+    stacked = rows.select(F.col(row).alias("_row"), F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("p")) for m in models))).alias("x")).select("_row", "x.*")
+    p = F.col("p")
+    odd = F.isnan(p) | (F.abs(p) == math.inf)
+    ids = rows.groupBy(F.col(row).alias("_row")).agg(F.count("*").alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("repeated"))  # one row
+    each = stacked.groupBy("model").agg(F.count("*").alias("n"), F.count_if(p.isNull()).alias("missing"), F.count_if(odd).alias("non_finite"), F.count_if(~odd & ((p < 0) | (p > 1))).alias("outside"))
+    return each.join(F.broadcast(ids))
+
+
+def require_predictions(rows: DataFrame, models: list[str], expected: int, row: str = "row_idx") -> DataFrame:
+    """rows, if every model has a finite probability for each of the expected rows; else ValueError says what is amiss.
+
+    No model at all raises too.
+    """
+    if not models:
+        raise ValueError("no predictions")
+    found = {r["model"]: r for r in prediction_counts(rows, models, row).collect()}  # a row to each model
+    for m in models:
+        r = found[m].asDict() if m in found else {"n": 0}
+        amiss = {k: v for k, v in r.items() if k not in ("model", "n") and v}
+        if r["n"] != expected or amiss:
+            raise ValueError(f"{m}: {r['n']} rows of {expected}, {amiss}")
+    return rows
