@@ -20,11 +20,11 @@ def _bundle_sql(source: str, keys: str, name: str) -> str:
     c = "greatest(least(score, 1 - 1e-6), 1e-6)"
     return f"""{name}_z AS (SELECT {keys}, ln({c} / (1 - {c})) AS z, count(*) AS n, sum(label)::DOUBLE AS y FROM {source} GROUP BY ALL),
     {name}_it AS (SELECT 0 AS k, {keys}, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 1.0::DOUBLE AS moved FROM {name}_z GROUP BY {keys} HAVING sum(y) > 0 AND sum(y) < sum(n) AND min(z) < max(z)
-        UNION ALL SELECT k + 1, {keys}, a + da / greatest(1, abs(da), abs(db)), b + db / greatest(1, abs(da), abs(db)), greatest(abs(da), abs(db)) FROM (
+        UNION ALL SELECT k + 1, {keys}, a + da / greatest(1, far), b + db / greatest(1, far), far FROM (SELECT *, greatest(abs(da) / greatest(1, abs(a)), abs(db) / greatest(1, abs(b))) AS far FROM (
             SELECT k, {keys}, a, b, (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS da, (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS db FROM (
                 SELECT k, {keys}, a, b, sum(w) AS h0, sum(w * z) AS h1, sum(w * z * z) + 1e-8 AS h2, sum(g) AS g0, sum(g * z) - 1e-8 * b AS g1 FROM (
-                    SELECT k, {own("i")}, a, b, z, n / (1 + exp(-(a + b * z))) * (1 - 1 / (1 + exp(-(a + b * z)))) AS w, y - n / (1 + exp(-(a + b * z))) AS g FROM {name}_it i JOIN {name}_z x ON {join("i", "x")} WHERE k < 300 AND moved > 1e-9)
-                GROUP BY k, {keys}, a, b))),
+                    SELECT k, {own("i")}, a, b, z, n / (1 + exp(-(a + b * z))) * (1 - 1 / (1 + exp(-(a + b * z)))) AS w, y - n / (1 + exp(-(a + b * z))) AS g FROM {name}_it i JOIN {name}_z x ON {join("i", "x")} WHERE k < 160 AND moved > 1e-8)
+                GROUP BY k, {keys}, a, b)))),
     {name}_w AS (SELECT {keys}, sum(n * coalesce(gap, 0)) / sum(n) AS e FROM (SELECT {keys}, len(list_filter([{_EDGES}], lambda e: e <= score AND e < 1.0)) AS bin, count(*) AS n, abs(avg(score) - avg(label)) AS gap FROM {source} GROUP BY ALL) GROUP BY {keys}),
     {name}_f AS (SELECT {keys}, sum(n * gap) / sum(n) AS e FROM (SELECT {keys}, bin, count(*) AS n, abs(avg(score) - avg(label)) AS gap FROM (SELECT {keys}, score, label, ntile(10) OVER (PARTITION BY {keys} ORDER BY score, row_idx, label) AS bin FROM {source}) GROUP BY ALL) GROUP BY {keys}),
     {name}_m AS (SELECT {keys}, avg(pow({c} - label, 2)) AS brier, avg(-ln(CASE WHEN label = 1 THEN {c} ELSE 1 - {c} END)) AS log_loss FROM {source} GROUP BY {keys}),

@@ -244,12 +244,12 @@ def calibration_line(rows: DataFrame, score: str = "score", label: str = "label"
     return a, b
 
 
-def calibration_lines(rows: DataFrame, keys: list[str], score: str = "score", label: str = "label", c: float = 1e8, rounds: int = 300, tolerance: float = 1e-9) -> DataFrame:
+def calibration_lines(rows: DataFrame, keys: list[str], score: str = "score", label: str = "label", c: float = 1e8, rounds: int = 160, tolerance: float = 1e-8) -> DataFrame:
     """(keys, intercept, slope) of logistic fits of labels on logits, for all keys at once, the slope penalised with inverse
     strength c, so that classes which logits separate have a line too.
 
-    Every round of Newton's method is one grouped sum over distinct logits, joined with the lines still moving; steps are
-    at most 1.  A key whose labels are all one, or whose scores are, has nulls.  A RuntimeError says that some did not settle.
+    Every round of Newton's method is one grouped sum over distinct logits, joined with the lines still moving; no step
+    more than doubles the line.  A key whose labels are all one, or whose scores are, has nulls.  A RuntimeError says that some did not settle.
     """
     from ..functions.sequence import logit, sigmoid
     from .grouping import _written
@@ -265,9 +265,10 @@ def calibration_lines(rows: DataFrame, keys: list[str], score: str = "score", la
         s = z.join(moving, keys).groupBy(*keys, "a", "b").agg(F.sum(w).alias("h0"), F.sum(w * F.col("z")).alias("h1"), (F.sum(w * F.col("z") * F.col("z")) + 1 / c).alias("h2"), F.sum(g).alias("g0"), (F.sum(g * F.col("z")) - F.col("b") / c).alias("g1"))
         det = F.col("h0") * F.col("h2") - F.col("h1") * F.col("h1")
         s = s.withColumns({"da": F.try_divide(F.col("h2") * F.col("g0") - F.col("h1") * F.col("g1"), det), "db": F.try_divide(F.col("h0") * F.col("g1") - F.col("h1") * F.col("g0"), det)})
-        s = s.withColumn("longest", F.greatest(F.lit(1.0), F.abs("da"), F.abs("db")))
-        moving = s.select(*keys, (F.col("a") + F.col("da") / F.col("longest")).alias("a"), (F.col("b") + F.col("db") / F.col("longest")).alias("b"), F.greatest(F.abs("da"), F.abs("db")).alias("moved"))
-        if k % 8 == 7:  # lineage is cut, and what has settled leaves
+        s = s.withColumn("far", F.greatest(F.abs("da") / F.greatest(F.lit(1.0), F.abs("a")), F.abs("db") / F.greatest(F.lit(1.0), F.abs("b"))))
+        longest = F.greatest(F.lit(1.0), F.col("far"))
+        moving = s.select(*keys, (F.col("a") + F.col("da") / longest).alias("a"), (F.col("b") + F.col("db") / longest).alias("b"), F.col("far").alias("moved"))
+        if k % 3 == 2:  # lineage is cut, and what has settled leaves
             now = _written(moving, "lines")
             settled.append(now.where(F.col("moved") <= tolerance))
             moving = now.where(~(F.col("moved") <= tolerance))
