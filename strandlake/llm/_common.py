@@ -62,16 +62,25 @@ class batch_rows:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
     def __init__(self, spark: SparkSession, rows: int):
-        self.spark, self.rows = spark, rows
+        self.spark, self.value = spark, str(rows)
 
     def __enter__(self) -> None:
         self.old = self.spark.conf.get(self.key)
-        self.spark.conf.set(self.key, str(self.rows))
+        self.spark.conf.set(self.key, self.value)
 
     def __exit__(self, *_) -> None:
         self.spark.conf.set(self.key, self.old)
 
 
+class shuffles_dropped(batch_rows):
+    """Shuffle files go as soon as a table is written inside, not when the driver happens to collect its garbage."""
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.value = spark, "true"
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows of Arrow batches, so that a batch of long texts stays small; smaller settings stay.
 

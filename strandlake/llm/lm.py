@@ -304,7 +304,8 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", held_o
     written = C.materialize(blocks(rows), "lm-blocks", "zstd")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     shards, bits = max(1, math.ceil(chars / SHARD_CHARS)), key_bits(chars)
-    with C.batch_rows(spark, 1):
+    # The questions are the largest of what is shuffled: they go before the replies are shuffled.
+    with C.batch_rows(spark, 1), C.shuffles_dropped(spark):
         asked = ask(written, shards, bits).repartition(math.ceil(shards / PER_TASK), "shard")
         replies = C.materialize(reply(asked), "lm-counts", "zstd")
     total, kinds = (x or 0 for x in replies.agg(F.sum("tokens"), F.sum("kinds")).first())

@@ -177,6 +177,36 @@ def test_language_model(spark, monkeypatch):
     assert none["train_tokens"] == 0 and none["n_known"] == 0
 
 
+def test_questions_leave_the_disk_before_replies_are_shuffled(spark, monkeypatch):
+    import os
+    import time
+
+    from strandlake.llm import lm
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {f: os.path.getsize(f) for f in files if "/shuffle_" in f and f.endswith(".data") and os.path.exists(f)}
+
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 5_000)
+    monkeypatch.setattr(lm, "SHARD_CHARS", 40_000)
+    docs = spark.createDataFrame([(k, sentence(k, 400, [f"v{j}" for j in range(3_000)])) for k in range(100)], "doc_id long, text string")
+    left, real = {}, C.materialize
+
+    def materialize(df, name, *rest):
+        before, out, end = set(shuffled()), real(df, name, *rest), time.time() + 2
+        size = lambda: sum(n for f, n in shuffled().items() if f not in before)
+        while size() > 50_000 and time.time() < end:
+            time.sleep(0.1)
+        left[name] = size()
+        return out
+
+    monkeypatch.setattr(C, "materialize", materialize)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key)
+    assert lm.score(docs).count() == 100
+    assert left["lm-counts"] <= 50_000 and spark.conf.get(key) == old
+
+
 def test_automaton_sums_to_one():
     from strandlake.llm import lm
 
