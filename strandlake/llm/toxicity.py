@@ -221,24 +221,32 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, bounds: tuple[int,
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # of a bounded number of rows
 
 
+def class_grams(texts: pa.Array, toxic: np.ndarray) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...]]]:
+    """n-grams of each chunk of texts and class, with their counts as count_grams() names them.
+
+    A chunk's arrays, and the tables of powers that a worker keeps, are many times its bytes: it is no longer than others.
+    """
+    for a, to, data, offsets in C.chunks(texts):
+        w = C.Words(data, offsets, fold_case=True)
+        for c in (True, False):
+            found = [(np.zeros(0, _U), np.zeros(0, np.int64))]
+            for d in np.flatnonzero(toxic[a:to] == c):
+                found.append(np.unique(word_grams(w, np.arange(w.bounds[d], w.bounds[d + 1]))[0], return_counts=True))
+            own, back = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+            times, docs = np.bincount(back, np.concatenate([n for _, n in found]), len(own)).astype(np.int64), np.bincount(back, minlength=len(own))
+            none = np.zeros(len(own), np.int64)
+            yield own, (times, none, docs, none) if c else (none, times, none, docs)
+
+
 def count_grams(rows: DataFrame) -> DataFrame:
     """(gram, toxic, ordinary, toxic_docs, ordinary_docs) of (text, toxic): occurrences and documents of each class."""
     C.small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            toxic = b.column(1).to_numpy(zero_copy_only=False) == 1
-            for a, to, data, offsets in C.chunks(b.column(0), 4 * C.CHUNK_BYTES):
-                w = C.Words(data, offsets, fold_case=True)
-                for c in (True, False):
-                    found = [(np.zeros(0, _U), np.zeros(0, np.int64))]
-                    for d in np.flatnonzero(toxic[a:to] == c):
-                        found.append(np.unique(word_grams(w, np.arange(w.bounds[d], w.bounds[d + 1]))[0], return_counts=True))
-                    own, back = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
-                    times, docs = np.bincount(back, np.concatenate([n for _, n in found]), len(own)).astype(np.int64), np.bincount(back, minlength=len(own))
-                    none = np.zeros(len(own), np.int64)
-                    columns = (times, none, docs, none) if c else (none, times, none, docs)
-                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), *map(pa.array, columns)], names=["gram", "toxic", "ordinary", "toxic_docs", "ordinary_docs"])
+            for own, columns in class_grams(b.column(0), b.column(1).to_numpy(zero_copy_only=False) == 1):
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), *map(pa.array, columns)], names=["gram", "toxic", "ordinary", "toxic_docs", "ordinary_docs"])
+        pa.default_memory_pool().release_unused()  # the worker stays beside the stages that follow
 
     found = rows.select("text", "toxic").mapInArrow(run, "gram long, toxic long, ordinary long, toxic_docs long, ordinary_docs long")
     return found.groupBy("gram").agg(*(F.sum(c).alias(c) for c in found.columns[1:]))
@@ -298,6 +306,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             logs = text_likelihoods(m, b.column(at))
             s = m.score(logs[:, 0] - logs[:, 1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(logs[:, 0]), pa.array(logs[:, 1]), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*b.schema.names, *made])
+        pa.default_memory_pool().release_unused()  # the worker stays beside the stages that follow
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(k, t) for k, t in made.items())]))
 

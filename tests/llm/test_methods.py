@@ -58,6 +58,29 @@ def test_kneser_ney_probabilities(spark):
     assert math.isclose(sum(own(1, context + bytes([b])) for b in range(256)), 1, abs_tol=1e-6)
 
 
+def test_counting_grams_keeps_no_large_tables(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(C, "CHUNK_BYTES", 1 << 14)
+    monkeypatch.setattr(C, "chunks", lambda column, size=1 << 14, real=C.chunks: real(column, size))
+    monkeypatch.setattr(C, "_powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    texts, toxic = [sentence(k, 100) for k in range(300)] + [None, ""], np.arange(302) % 3 == 0
+    got = Counter()
+    for own, columns in toxicity.class_grams(pa.array(texts), toxic):
+        for g, *n in zip(own.tolist(), *(x.tolist() for x in columns), strict=True):
+            got.update({(g, k): x for k, x in enumerate(n) if x})
+    assert sum(len(t or "") for t in texts) > 8 * C.CHUNK_BYTES and len(C._powers[0]) <= C.CHUNK_BYTES + 2
+    want = Counter()
+    for t, c in zip(texts, toxic, strict=True):
+        own = []
+        for w in (t or "").split():
+            b = bytes(toxicity.ORDER - 1) + w.encode() + b" "
+            own += [int.from_bytes(b[k : k + toxicity.ORDER], "big") for k in range(len(b) - toxicity.ORDER + 1)]
+        want.update((g, 0 if c else 1) for g in own)
+        want.update((g, 2 if c else 3) for g in set(own))
+    assert got == want
+
+
 def test_likelihoods_are_sums_over_the_table():
     import pyarrow as pa
 
