@@ -13,10 +13,20 @@ from strandlake.llm import _common as C
 from strandlake.llm import neardup, packing, quality, toxicity
 
 
+#: Tasks of a scan that one task of the first stage takes, as long as every core still has two.
+SCANS = 3
+
+
+def gathered(docs: DataFrame) -> DataFrame:
+    """All rows of docs in fewer tasks: each task of a stage writes a file, and a local disk's every file starts processes."""
+    tasks = docs.rdd.getNumPartitions()
+    return docs.coalesce(max(tasks // SCANS, 2 * docs.sparkSession.sparkContext.defaultParallelism))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learnt from labelled rows of the stage's input, does not predict as toxic."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    return toxicity.score(gathered(docs), model).where("predicted = 0").select(docs.columns)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,9 +6,10 @@ UTF-8 bytes without decoding them.  A null text has no words.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +91,23 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(batch_rows.key, str(ARROW_ROWS))
 
 
+def give_back() -> None:
+    """Free memory that Arrow and the C library keep for later goes back to the machine, where the C library can do so."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(ctypes.c_size_t(0))
+
+
+def gives_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, whose worker gives free memory back at the end of a task: it stays beside the stages that follow."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 #: A class of equal rows is hot if it has more than one row in so many; so there are at most so many hot classes.
 HOT = 1000
 

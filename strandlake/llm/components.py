@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     n = now.count()
     if not n:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    tasks, mark = C.width(2 * n), None
+    tasks, mark = C.width(2 * n, least=2), None  # a small graph's rounds write few files
     for _ in range(max_rounds):
         new = C.materialize(_star(_star(now, False, tasks), True, tasks), "edges")
         state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

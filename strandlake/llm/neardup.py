@@ -134,7 +134,7 @@ def fingerprint(docs: DataFrame, text: str, id_column: str) -> DataFrame:
                     lo.append(int((s * s ^ s >> _U(31)).sum(dtype=_U).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["doc_id", "n_shingles", "fp_hi", "fp_lo"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_shingles long, fp_hi long, fp_lo long")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text).mapInArrow(C.gives_back(run), "doc_id long, n_shingles long, fp_hi long, fp_lo long")
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                     registers = sketches([sets[k] for k in own]).astype("<i2")
                     yield pa.RecordBatch.from_arrays([ids.slice(a, to - a).take(pa.array(own)), pa.array([len(sets[k]) for k in own], pa.int64()), pa.array([r.tobytes() for r in registers], pa.binary())], names=["doc_id", "size", "registers"])
 
-    return docs.mapInArrow(run, "doc_id long, size long, registers binary")
+    return docs.mapInArrow(C.gives_back(run), "doc_id long, size long, registers binary")
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -164,7 +164,7 @@ def bands(known: DataFrame) -> DataFrame:
             keys = band_keys(_registers(b.column(1)))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS), pa.int64())], names=["key", "doc_id"])
 
-    return known.select("doc_id", "registers").mapInArrow(run, "key long, doc_id long")
+    return known.select("doc_id", "registers").mapInArrow(C.gives_back(run), "key long, doc_id long")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
             for a, to, sets in _sets_of(b):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, to - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "size", "items"])
 
-    return docs.mapInArrow(run, "doc_id long, size long, items binary")
+    return docs.mapInArrow(C.gives_back(run), "doc_id long, size long, items binary")
 
 
 def _of_pairs(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -201,7 +201,7 @@ def plausible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
             keep &= estimate(_registers(b.column("a_registers")), _registers(b.column("b_registers"))) >= least
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(keep))
 
-    return _of_pairs(pairs, known, ["size", "registers"]).mapInArrow(run, "u long, v long")
+    return _of_pairs(pairs, known, ["size", "registers"]).mapInArrow(C.gives_back(run), "u long, v long")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -216,7 +216,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep[k] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep))
 
-    return _of_pairs(pairs, sets, ["items"]).mapInArrow(run, "u long, v long")
+    return _of_pairs(pairs, sets, ["items"]).mapInArrow(C.gives_back(run), "u long, v long")
 
 
 def between_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

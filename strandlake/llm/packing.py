@@ -181,7 +181,7 @@ def cut(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "key"]
     schema = pa.schema([(k, pa.binary() if k == "ids" else pa.int64()) for k in names])
-    return docs.mapInArrow(run, PIECE + ", key long")
+    return docs.mapInArrow(C.gives_back(run), PIECE + ", key long")
 
 
 class Shard:
@@ -276,7 +276,7 @@ def pack(docs: DataFrame, text: str = "text", id_column: str = "doc_id", path: s
 
     dealt = cuts.where("sequence_id IS NULL").select("doc_id", "start", "doc_tokens", "ids", "key").repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "start")
     names = [x.split()[0] for x in PIECE.split(", ")]
-    return cuts.where("sequence_id IS NOT NULL").select(names).unionByName(dealt.mapInArrow(run, PIECE))
+    return cuts.where("sequence_id IS NOT NULL").select(names).unionByName(dealt.mapInArrow(C.gives_back(run), PIECE))
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

@@ -246,9 +246,8 @@ def count_grams(rows: DataFrame) -> DataFrame:
         for b in batches:
             for own, columns in class_grams(b.column(0), b.column(1).to_numpy(zero_copy_only=False) == 1):
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), *map(pa.array, columns)], names=["gram", "toxic", "ordinary", "toxic_docs", "ordinary_docs"])
-        pa.default_memory_pool().release_unused()  # the worker stays beside the stages that follow
 
-    found = rows.select("text", "toxic").mapInArrow(run, "gram long, toxic long, ordinary long, toxic_docs long, ordinary_docs long")
+    found = rows.select("text", "toxic").mapInArrow(C.gives_back(run), "gram long, toxic long, ordinary long, toxic_docs long, ordinary_docs long")
     return found.groupBy("gram").agg(*(F.sum(c).alias(c) for c in found.columns[1:]))
 
 
@@ -266,7 +265,7 @@ def fit(rows: DataFrame) -> Model:
             logs = text_likelihoods(model, b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(logs[:, 0] - logs[:, 1]), b.column(1)], names=["x", "toxic"])
 
-    c = rows.where("calibrate").select("text", "toxic").mapInArrow(measure, "x double, toxic int").toArrow()
+    c = rows.where("calibrate").select("text", "toxic").mapInArrow(C.gives_back(measure), "x double, toxic int").toArrow()
     model.slope, model.shift = curve(c["x"].to_numpy(), c["toxic"].to_numpy().astype(float))
     return model
 
@@ -306,9 +305,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             logs = text_likelihoods(m, b.column(at))
             s = m.score(logs[:, 0] - logs[:, 1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(logs[:, 0]), pa.array(logs[:, 1]), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*b.schema.names, *made])
-        pa.default_memory_pool().release_unused()  # the worker stays beside the stages that follow
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(k, t) for k, t in made.items())]))
+    return docs.mapInArrow(C.gives_back(run), T.StructType([*docs.schema.fields, *(T.StructField(k, t) for k, t in made.items())]))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:

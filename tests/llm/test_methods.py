@@ -81,6 +81,39 @@ def test_counting_grams_keeps_no_large_tables(monkeypatch):
     assert got == want
 
 
+def test_workers_give_free_memory_back():
+    import ctypes
+    import re
+
+    import pyarrow as pa
+    import pytest
+
+    libc = ctypes.CDLL(None)
+    if not hasattr(libc, "malloc_trim"):
+        pytest.skip("the C library gives nothing back")
+    libc.malloc.restype, libc.malloc.argtypes, libc.free.argtypes = ctypes.c_void_p, [ctypes.c_size_t], [ctypes.c_void_p]
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+    pins = []
+
+    def run(batches):
+        for b in batches:
+            blocks = [libc.malloc(4096) for _ in range(20_000)]
+            for x in blocks:
+                ctypes.memset(x, 1, 4096)
+            pins.append(libc.malloc(4096))  # above the blocks: the library gives back only what is free at the top
+            for x in blocks:
+                libc.free(x)
+            yield b
+
+    batch = pa.record_batch({"x": [1, 2]})
+    before = held()
+    plain = list(run(iter([batch])))
+    kept = held() - before
+    assert list(C.gives_back(run)(iter([batch]))) == plain and kept > 60 and held() - before < 20
+    for x in pins:
+        libc.free(x)
+
+
 def test_likelihoods_are_sums_over_the_table():
     import pyarrow as pa
 

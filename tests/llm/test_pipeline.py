@@ -39,5 +39,26 @@ def test_stages(spark, tmp_path):
     assert last.agg(F.sum("length")).first()[0] == last.select("doc_id", "doc_tokens").distinct().agg(F.sum("doc_tokens")).first()[0]
 
 
+def test_first_stage_writes_fewer_files(spark, tmp_path):
+    from strandlake.llm import toxicity
+
+    text = lambda k: " ".join(WORDS[(k * j) % 100] for j in range(60)) + (" vilest" if k % 4 == 0 else "")
+    rows = [(k, text(k), "en", "s", 0) for k in range(160)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(40).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(160)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        most = max(docs.rdd.getNumPartitions() // 3, 2 * spark.sparkContext.defaultParallelism)
+        out = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+        assert docs.rdd.getNumPartitions() == 40 and out.rdd.getNumPartitions() <= most < 40
+        model = toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+        whole = toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+        got, want = (sorted(map(tuple, df.collect())) for df in (out, whole))
+        assert got == want and 0 < len(got)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == [*range(1, 14)] and set(queries.SQL) <= set(queries.QUERIES)
