@@ -42,3 +42,49 @@ def test_joins(spark, cutoff):
     two = [(x["l_idx"], x["r_idx"]) for x in similarity.signature_join(l, r, cutoff).collect()]
     assert len(two) == len({*two}) and {*two} == {(i, j) for i, a in enumerate(words) for j, b in enumerate(words) if i % 3 == 0 and j % 3 and a and b and similarity.indel_ratio(a, b) >= cutoff}
     assert similarity.signature_join(rows.limit(0)).count() == 0
+
+
+def _meet(left, right, cutoff, equal=True):
+    """Pairs of a shorter and a longer string that share a key, and how often pairs meet under keys."""
+    under = {}
+    for b in right:
+        for key in similarity.signatures(b, cutoff, False, equal):
+            under.setdefault(key, []).append(b)
+    met = [(a, b) for a in left for key in similarity.signatures(a, cutoff, True, equal) for b in under.get(key, ()) if len(a) <= len(b)]
+    return {*met}, len(met)
+
+
+def test_words_of_a_common_half_meet_only_if_similar():
+    rng = np.random.default_rng(4)
+    ends = {"".join(rng.choice(list("ACDEFGHIKL"), 5)) for _ in range(400)}
+    short = sorted({"ACDEF" + w for w in ends} | {w + "ACDEF" for w in ends})
+    longer = sorted({w[:7] + "Y" + w[7:] for w in short[::5]} | {w + "W" for w in short[1::5]} | {"ACDEF" + w[5:] + "AC"[k % 2] for k, w in enumerate(short[2::3])})
+    met, times = _meet(short, longer, 92.5)
+    want = {(a, b) for a in short for b in longer if similarity.indel_ratio(a, b) >= 92.5}
+    assert len(want) > 200 and met == want
+    assert times == len(want)
+
+
+@pytest.mark.parametrize("cutoff", [75.0, 92.5])
+def test_subsequences_and_parts_lose_no_pair(monkeypatch, cutoff):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("ACDE"), n)) for n in (1, 2, 3, 9, 14, 15, 20, 24, 27, 31, 45, 60)]
+    for w in words[:]:
+        for edits in (1, 2, 3, 4):
+            own = list(w)
+            for _ in range(edits):
+                at = rng.integers(0, len(own) + 1)
+                own[at : at + rng.integers(0, 2)] = rng.choice(list("ACDEÄ😀"), rng.integers(0, 2))
+            words.append("".join(own))
+    words = [*dict.fromkeys(w for w in words if w)]
+    want = {(a, b) for a in words for b in words if len(a) <= len(b) and similarity.indel_ratio(a, b) >= cutoff}
+    for most in (0, 20, 256, 3000):
+        monkeypatch.setattr(similarity, "SUBSEQUENCES", most)
+        assert want <= _meet(words, words, cutoff)[0]
+
+
+def test_a_string_has_each_key_once():
+    for s in ("A" * 14, "ACACACACACACACAC", "A" * 40):
+        for as_shorter in (True, False):
+            keys = similarity.signatures(s, 92.5, as_shorter)
+            assert len(keys) == len({*keys})
